@@ -1,12 +1,74 @@
-"""A training-data pipeline in stages; each takes and returns a table of documents."""
+"""A training-data pipeline in stages; each takes and returns a table of documents.
+
+quality rules -> near-dedup -> substring dedup -> mixture -> token ids. Every
+stage works on all that its predecessor kept. The last returns a row per
+document: doc_id, lang, source, n_tokens, ids and the digests of op3.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkframe.llm import bpe, minhash, mixing, quality, substring
+from inkframe.llm.store import Store
+from inkframe.session import prepare
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the rules reject, and frequent lines of the others."""
+    prepare(spark)
+    return quality.clean(docs, "source")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least doc_id of each group of near-duplicates."""
+    prepare(spark)
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    return joined.select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts spans that start in an earlier document, and drops documents of which nothing is left."""
+    prepare(spark)
+    found = substring.duplicate_spans(docs)
+    cut = found.filter("n_removed > 0").select(F.col("doc_id").alias("__cut"), "kept_text").dropDuplicates(["__cut"])
+    joined = docs.join(cut, docs["doc_id"].cast("long") == F.col("__cut"), "left").filter("__cut IS NULL OR kept_text <> ''")
+    text = F.coalesce("kept_text", "text")
+    columns = {"text": text, "n_chars": F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast("long")}
+    return joined.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents so that token weights meet the marginals."""
+    prepare(spark)
+    return mixing.mix(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document's whole text."""
+    prepare(spark)
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mix_sources", mix_sources),
+    ("encode_tokens", encode_tokens),
+]
+#: Sketches, rakes and tokenizers have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the table ``documents``; each result is written and read again."""
+    store = Store(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store.put(name, stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm import minhash, sharding, substring, urlfilter
+from inkframe.llm import ann, bpe, langid, minhash, mixing, quality, sharding, substring, tokenfile, urlfilter
+from inkframe.llm.store import Store
 from inkframe.session import prepare, table
 
 
@@ -19,11 +21,29 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(prepare(spark), folder, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(prepare(spark), folder, "documents")
+    return bpe.digest_documents(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_rlz_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring.duplicate_spans(table(prepare(spark), folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_ivf_pq(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(prepare(spark), folder, "embeddings"), "id % 50 = 0", 5)
+
+
+def op6_line_frequency_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.assess(table(prepare(spark), folder, "documents"), "source")
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(prepare(spark), folder, "documents")
+    return langid.predict(documents, langid.learn(documents))
+
+
 def _listed_host() -> F.Column:
     """The host list of the query: about one host in sixteen, by its MD5."""
     return F.substring(F.md5("host"), 1, 1) == "7"
@@ -33,11 +53,28 @@ def op8_url_bloom_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.filter_pages(table(prepare(spark), folder, "pages"), _listed_host())
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(prepare(spark), folder, "documents")
+    files = Store(spark, "tokenfiles").path("files")
+    tokenfile.write_tokens(documents, files, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return tokenfile.read_tokens(spark, files)
+
+
+def op10_ipf_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.assign(table(prepare(spark), folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_tree": op1_shard_tree,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_rlz_substring_dedup": op4_rlz_substring_dedup,
+    "op5_ivf_pq": op5_ivf_pq,
+    "op6_line_frequency_quality": op6_line_frequency_quality,
+    "op7_language_id": op7_language_id,
     "op8_url_bloom_cascade": op8_url_bloom_cascade,
+    "op9_token_files": op9_token_files,
+    "op10_ipf_mixture": op10_ipf_mixture,
 }
 
 SQL: dict[str, str] = {}
