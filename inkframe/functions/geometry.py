@@ -8,26 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Box:
-    """Four columns of a box in page coordinates."""
+class Shape:
+    """What follows from the four columns of a box."""
 
     x1: Column
     y1: Column
     x2: Column
     y2: Column
 
-    @classmethod
-    def of(cls, prefix: str = "") -> "Box":
-        """Columns ``<prefix>x1`` to ``<prefix>y2``."""
-        return cls(*(F.col(prefix + n) for n in ("x1", "y1", "x2", "y2")))
-
-    @classmethod
-    def field(cls, column: str | Column) -> "Box":
-        """The fields of a struct column."""
-        c = F.col(column) if isinstance(column, str) else column
-        return cls(c["x1"], c["y1"], c["x2"], c["y2"])
-
     def struct(self) -> Column:
         return F.struct(self.x1.alias("x1"), self.y1.alias("y1"), self.x2.alias("x2"), self.y2.alias("y2"))
 
@@ -48,61 +36,94 @@ class Box:
         return (self.y1 + self.y2) / 2
 
 
+@dataclass(frozen=True)
+class Box(Shape):
+    """Four columns of a box in page coordinates."""
+
+    x1: Column
+    y1: Column
+    x2: Column
+    y2: Column
+
+    @staticmethod
+    def of(prefix: str = "") -> "Named":
+        """Columns ``<prefix>x1`` to ``<prefix>y2``."""
+        return Named(prefix)
+
+    @classmethod
+    def field(cls, column: str | Column) -> "Box":
+        """The fields of a struct column."""
+        c = F.col(column) if isinstance(column, str) else column
+        return cls(c["x1"], c["y1"], c["x2"], c["y2"])
+
+
+@dataclass(frozen=True)
+class Named(Shape):
+    """A box of columns with a common prefix; usable before there is a session."""
+
+    prefix: str
+
+    x1 = property(lambda self: F.col(self.prefix + "x1"))
+    y1 = property(lambda self: F.col(self.prefix + "y1"))
+    x2 = property(lambda self: F.col(self.prefix + "x2"))
+    y2 = property(lambda self: F.col(self.prefix + "y2"))
+
+
 def _zero(x: Column) -> Column:
     return F.greatest(x, F.lit(0))
 
 
-def area(b: Box) -> Column:
+def area(b: Shape) -> Column:
     """Width times height, each at least 0."""
     return _zero(b.width) * _zero(b.height)
 
 
-def ordering_area(b: Box) -> Column:
+def ordering_area(b: Shape) -> Column:
     """Width times height, each at least 1; for sorting boxes."""
     return F.greatest(b.width, F.lit(1)) * F.greatest(b.height, F.lit(1))
 
 
-def overlap_width(a: Box, b: Box) -> Column:
+def overlap_width(a: Shape, b: Shape) -> Column:
     return _zero(F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1))
 
 
-def overlap_height(a: Box, b: Box) -> Column:
+def overlap_height(a: Shape, b: Shape) -> Column:
     return _zero(F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1))
 
 
-def intersection(a: Box, b: Box) -> Column:
+def intersection(a: Shape, b: Shape) -> Column:
     """Area of the common part."""
     return overlap_width(a, b) * overlap_height(a, b)
 
 
-def iom(a: Box, b: Box) -> Column:
+def iom(a: Shape, b: Shape) -> Column:
     """Common area over the smaller area; 0 if that is 0."""
     least = F.least(area(a), area(b))
     return F.when(least > 0, intersection(a, b) / least).otherwise(F.lit(0.0))
 
 
-def iou(a: Box, b: Box) -> Column:
+def iou(a: Shape, b: Shape) -> Column:
     """Common area over the joint area, which counts as 1 at least."""
     common = intersection(a, b)
     return common / F.greatest(area(a) + area(b) - common, F.lit(1))
 
 
-def coverage(line: Box, box: Box) -> Column:
+def coverage(line: Shape, box: Shape) -> Column:
     """Share of the line's area (1 at least) that the box covers."""
     return intersection(line, box) / F.greatest(area(line), F.lit(1))
 
 
-def overlaps(a: Box, b: Box) -> Column:
+def overlaps(a: Shape, b: Shape) -> Column:
     """Whether the insides meet; touching edges do not count."""
     return (a.x1 < b.x2) & (b.x1 < a.x2) & (a.y1 < b.y2) & (b.y1 < a.y2)
 
 
-def contains_point(b: Box, x: Column, y: Column) -> Column:
+def contains_point(b: Shape, x: Column, y: Column) -> Column:
     """Whether a point is inside or on the edge."""
     return x.between(b.x1, b.x2) & y.between(b.y1, b.y2)
 
 
-def contains_centre(outer: Box, inner: Box) -> Column:
+def contains_centre(outer: Shape, inner: Shape) -> Column:
     """Whether the centre of ``inner`` is in ``outer``; on doubled coordinates, so exact for integers."""
     x, y = inner.x1 + inner.x2, inner.y1 + inner.y2
     return x.between(2 * outer.x1, 2 * outer.x2) & y.between(2 * outer.y1, 2 * outer.y2)
@@ -112,12 +133,12 @@ def hypot(x: Column, y: Column) -> Column:
     return F.sqrt((x * x + y * y).cast("double"))
 
 
-def point_distance(x: Column, y: Column, b: Box) -> Column:
+def point_distance(x: Column, y: Column, b: Shape) -> Column:
     """Distance of a point from a box, 0 inside."""
     return hypot(F.greatest(b.x1 - x, F.lit(0), x - b.x2), F.greatest(b.y1 - y, F.lit(0), y - b.y2))
 
 
-def gap_distance(a: Box, b: Box) -> Column:
+def gap_distance(a: Shape, b: Shape) -> Column:
     """Distance between two boxes, 0 if they meet."""
     return hypot(
         F.greatest(a.x1 - b.x2, b.x1 - a.x2, F.lit(0)),
@@ -125,7 +146,7 @@ def gap_distance(a: Box, b: Box) -> Column:
     )
 
 
-def relative_centre_distance(face: Box, body: Box) -> Column:
+def relative_centre_distance(face: Shape, body: Shape) -> Column:
     """Distance of the centres in units of the body's diagonal (1 at least)."""
     return hypot(face.cx - body.cx, face.cy - body.cy) / F.greatest(hypot(body.width, body.height), F.lit(1.0))
 
@@ -135,7 +156,7 @@ def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.greatest(low, F.least(high, x))
 
 
-def rectangle(b: Box) -> Column:
+def rectangle(b: Shape) -> Column:
     """Corners clockwise from the top left."""
     corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     return F.array(corner(b.x1, b.y1), corner(b.x2, b.y1), corner(b.x2, b.y2), corner(b.x1, b.y2))
@@ -174,12 +195,12 @@ def orientation(w: Column, h: Column) -> Column:
     )
 
 
-def rescale(b: Box, sx: Column, sy: Column, width: Column, height: Column) -> Box:
+def rescale(b: Shape, sx: Column, sy: Column, width: Column, height: Column) -> Box:
     """Scale a box and clamp it to a grid."""
     return Box(clamp(b.x1 * sx, 0.0, width), clamp(b.y1 * sy, 0.0, height), clamp(b.x2 * sx, 0.0, width), clamp(b.y2 * sy, 0.0, height))
 
 
-def union_crop(face: Box, body: Box, padding: float, width: Column, height: Column) -> Box:
+def union_crop(face: Shape, body: Shape, padding: float, width: Column, height: Column) -> Box:
     """The box around both (nulls skipped), padded by a share of its sides, inside the page."""
     x1, y1 = F.least(face.x1, body.x1), F.least(face.y1, body.y1)
     x2, y2 = F.greatest(face.x2, body.x2), F.greatest(face.y2, body.y2)
@@ -189,7 +210,7 @@ def union_crop(face: Box, body: Box, padding: float, width: Column, height: Colu
     )
 
 
-def crop_bounds(b: Box, padding: int, width: Column, height: Column) -> Box:
+def crop_bounds(b: Shape, padding: int, width: Column, height: Column) -> Box:
     """A box with absolute padding inside the page, at least one pixel wide and high."""
     x1, y1 = clamp(F.floor(b.x1) - padding, F.lit(0), width - 1), clamp(F.floor(b.y1) - padding, F.lit(0), height - 1)
     return Box(
@@ -200,7 +221,7 @@ def crop_bounds(b: Box, padding: int, width: Column, height: Column) -> Box:
     )
 
 
-def clip_detection(b: Box, width: Column, height: Column) -> Box:
+def clip_detection(b: Shape, width: Column, height: Column) -> Box:
     """A detection clipped to the page with its corners in order."""
     xa, xb = clamp(b.x1, F.lit(0), width), clamp(b.x2, F.lit(0), width)
     ya, yb = clamp(b.y1, F.lit(0), height), clamp(b.y2, F.lit(0), height)
@@ -218,7 +239,7 @@ def fit_dimensions(width: Column, height: Column, long_side: int, patch: int) ->
 INFINITY = float("inf")
 
 
-def tail_segment(tail: Box, text: Box) -> Column:
+def tail_segment(tail: Shape, text: Shape) -> Column:
     """Root and tip of a speech tail: the ray from the text's centre through the tail, cut at the tail's box."""
     dx, dy = tail.cx - text.cx, tail.cy - text.cy
     length = F.greatest(hypot(dx, dy), F.lit(1e-6))
@@ -234,7 +255,7 @@ def tail_segment(tail: Box, text: Box) -> Column:
     )
 
 
-def diagonal_segments(tail: Box, text: Box) -> Column:
+def diagonal_segments(tail: Shape, text: Shape) -> Column:
     """Both diagonals of a tail's box, oriented away from the text, best aligned first."""
     dx, dy = tail.cx - text.cx, tail.cy - text.cy
     found = []
@@ -251,7 +272,7 @@ def diagonal_segments(tail: Box, text: Box) -> Column:
     return F.array_sort(F.array(*found))
 
 
-def ray_interval(ox: Column, oy: Column, dx: Column, dy: Column, b: Box) -> Column:
+def ray_interval(ox: Column, oy: Column, dx: Column, dy: Column, b: Shape) -> Column:
     """The parameters from 0 on at which a ray enters and leaves a box, as struct(enter, leave); null if it misses.
 
     A direction component under 1e-9 is parallel: the origin must lie between
@@ -270,12 +291,12 @@ def ray_interval(ox: Column, oy: Column, dx: Column, dy: Column, b: Box) -> Colu
     return F.when(x_ok & y_ok & (leave >= enter), F.struct(enter.alias("enter"), leave.alias("leave")))
 
 
-def ray_hit(ox: Column, oy: Column, dx: Column, dy: Column, b: Box) -> Column:
+def ray_hit(ox: Column, oy: Column, dx: Column, dy: Column, b: Shape) -> Column:
     """The first parameter t >= 0 at which a ray is in a box, 0 from inside; null if it misses."""
     return ray_interval(ox, oy, dx, dy, b)["enter"]
 
 
-def ray_exit(ox: Column, oy: Column, dx: Column, dy: Column, b: Box) -> Column:
+def ray_exit(ox: Column, oy: Column, dx: Column, dy: Column, b: Shape) -> Column:
     """The parameter at which a ray from inside leaves a box; 0 if it does not."""
     sides = []
     for o, d, low, high in ((ox, dx, b.x1, b.x2), (oy, dy, b.y1, b.y2)):

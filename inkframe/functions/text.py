@@ -139,12 +139,12 @@ def is_other(name: Column) -> Column:
 
 def percent(value: Column) -> Column:
     """``75.23%``, or ``?`` for null."""
-    return F.coalesce(F.format_string("%.2f%%", value * 100), F.lit("?"))
+    return F.when(value.isNull(), "?").otherwise(F.format_string("%.2f%%", value * 100))
 
 
 def signed_points(value: Column) -> Column:
     """``+1.23 pp``, or ``?`` for null."""
-    return F.coalesce(F.format_string("%+.2f pp", value * 100), F.lit("?"))
+    return F.when(value.isNull(), "?").otherwise(F.format_string("%+.2f pp", value * 100))
 
 
 def characters(text: Column) -> Column:

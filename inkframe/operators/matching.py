@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.functions.geometry import Box, area, contains_centre, intersection, ordering_area
+from inkframe.functions.geometry import Shape, area, contains_centre, intersection, ordering_area
 
 
 def spatial_pairs(left: DataFrame, right: DataFrame, on: list[str], condition: Column) -> DataFrame:
@@ -18,7 +18,7 @@ def spatial_pairs(left: DataFrame, right: DataFrame, on: list[str], condition: C
     return joined.filter(condition)
 
 
-def assign_panels(boxes: DataFrame, frames: DataFrame, page: str, box_id: str, box: Box, frame_id: str, frame: Box, fallback: bool = True) -> DataFrame:
+def assign_panels(boxes: DataFrame, frames: DataFrame, page: str, box_id: str, box: Shape, frame_id: str, frame: Shape, fallback: bool = True) -> DataFrame:
     """page, box_id and panel of every box: the smallest frame with its centre, the first at ties.
 
     With ``fallback`` a box without such a frame takes the frame that covers
@@ -80,7 +80,7 @@ def best_match(left: DataFrame, right: DataFrame, page: str, left_id: str, right
     return found.select(page, left_id, F.when(accepted, F.col("__b.id")).alias(right_id), F.col("__b.score").alias("score"))
 
 
-def concat_lines(boxes: DataFrame, lines: DataFrame, page: str, box_id: str, box: Box, line: Box, text: str, least: float = 0.35) -> DataFrame:
+def concat_lines(boxes: DataFrame, lines: DataFrame, page: str, box_id: str, box: Shape, line: Shape, text: str, least: float = 0.35) -> DataFrame:
     """The text in each box: lines whose centre is inside or that are covered enough, right to left, then down."""
     covered = intersection(line, box) / F.greatest(area(line), F.lit(1)) >= F.lit(least)
     inside = F.coalesce(contains_centre(box, line) | covered, F.lit(False))
