@@ -28,8 +28,15 @@ def session(app: str = "inkframe", master: str | None = None, **conf: str) -> Sp
     return prepare(builder.getOrCreate())
 
 
+#: What one Arrow batch holds at most. Spark's defaults let 10,000 long texts through at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers that start from now on import this package."""
+    """Let Python workers that start from now on import this package, and bound Arrow batches unless the caller has."""
+    for key, bound in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, bound)
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
