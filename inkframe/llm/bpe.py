@@ -94,8 +94,6 @@ class Codec:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks, each pre-token separately, and remember them."""
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
         each = [self.split.findall(c) for c in chunks]
         mapped = [p.encode().decode("latin-1").translate(self.table) for found in each for p in found]
         ids = iter(self.model.encode(mapped, out_type=int, num_threads=1))
@@ -104,7 +102,11 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         chunks = CHUNK.findall(text)
-        missing = list({c for c in chunks if c not in self.known})
+        needed = set(chunks)
+        missing = list(needed.difference(self.known))
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known.clear()
+            missing = list(needed)
         if missing:
             self._learn(missing)
         ids = list(chain.from_iterable(map(self.known.__getitem__, chunks)))
