@@ -204,10 +204,8 @@ def union_crop(face: Shape, body: Shape, padding: float, width: Column, height:
     """The box around both (nulls skipped), padded by a share of its sides, inside the page."""
     x1, y1 = F.least(face.x1, body.x1), F.least(face.y1, body.y1)
     x2, y2 = F.greatest(face.x2, body.x2), F.greatest(face.y2, body.y2)
-    px, py = (x2 - x1) * F.lit(padding), (y2 - y1) * F.lit(padding)
-    return Box(
-        F.floor(_zero(x1 - px)), F.floor(_zero(y1 - py)), F.ceil(F.least(width, x2 + px)), F.ceil(F.least(height, y2 + py))
-    )
+    px, py = F.rint((x2 - x1) * F.lit(padding)).cast("long"), F.rint((y2 - y1) * F.lit(padding)).cast("long")
+    return Box(_zero(x1 - px), _zero(y1 - py), F.least(width, x2 + px), F.least(height, y2 + py))
 
 
 def crop_bounds(b: Shape, padding: int, width: Column, height: Column) -> Box:

@@ -1 +1 @@
-"""streaming."""
+"""Uploads that land in a folder, as a stream."""
