@@ -203,4 +203,4 @@ def ablation(runs: DataFrame, expected: DataFrame, baseline: str) -> DataFrame:
     order = Window.partitionBy("run").orderBy(F.desc("metric"), "epoch")
     best = runs.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
     base = best.agg(F.max(F.when(F.col("run") == baseline, F.col("metric"))).alias("__base"))  # one row
-    return expected.join(best, "run", "left").crossJoin(base).withColumn("delta", F.col("metric") - F.col("__base")).drop("__base")
+    return expected.join(best, "run", "left").crossJoin(F.broadcast(base)).withColumn("delta", F.col("metric") - F.col("__base")).drop("__base")

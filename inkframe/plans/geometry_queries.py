@@ -56,9 +56,10 @@ def speaker_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {_pair_sql()}
 SELECT page_id, t_region_id AS text_id, b_region_id AS body_id, CAST({IW} * {IH} AS BIGINT) AS inter,
-  round({IW} * {IH} / least(t_w * t_h, b_w * b_h), 6) AS iom,
-  round({IW} * {IH} / greatest(t_w * t_h + b_w * b_h - {IW} * {IH}, 1), 6) AS iou
-FROM pair WHERE {MEET}"""
+  round({IW} * {IH} / least(t_w * t_h, b_w * b_h), 9) AS iom,
+  round({IW} * {IH} / greatest(t_w * t_h + b_w * b_h - {IW} * {IH}, 1), 9) AS iou
+FROM pair WHERE {MEET}""",
+    digits=9,
 )
 def iom_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """F5 (bounding boxes), D3, D4, D5, D6, D8: overlapping text and body pairs."""
@@ -167,6 +168,12 @@ def panels_of(regions: DataFrame, fallback: bool = True) -> DataFrame:
     return matching.assign_panels(boxes, frames, "page_id", "region_id", Box.of(), "f_id", Box.of("f_"), fallback)
 
 
+def frames_of(regions: DataFrame, name: str) -> DataFrame:
+    """page_id, the frame's id under ``name``, and its box as p_x1 to p_y2."""
+    frames = regions.filter("cls = 'frame'")
+    return frames.select("page_id", F.col("region_id").alias(name), *(F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")))
+
+
 @query(f"WITH {R}, {PANEL_SQL} SELECT page_id, region_id, panel FROM panel")
 def panel_assign(spark: SparkSession, folder: str) -> DataFrame:
     """F8: the panel of every region, by centre or else by overlap."""
@@ -199,10 +206,10 @@ SELECT page_id, query, candidate, distance_rank, is_nearest, same_panel, same_co
 def rank_normalized(spark: SparkSession, folder: str) -> DataFrame:
     """Distance ranks, nearest flags and counts of each text's candidates."""
     frame = X.regions(spark, folder)
-    panel = panels_of(frame).select("region_id", "panel")
+    panel = panels_of(frame)
     edges = X.edges(spark, folder).select("page_id", "query", "candidate", (-F.col("score")).alias("d"))
-    joined = edges.join(panel.select(F.col("region_id").alias("query"), F.col("panel").alias("pt")), "query").join(
-        panel.select(F.col("region_id").alias("candidate"), F.col("panel").alias("pb")), "candidate"
+    joined = edges.join(panel.withColumnsRenamed({"region_id": "query", "panel": "pt"}), ["page_id", "query"]).join(
+        panel.withColumnsRenamed({"region_id": "candidate", "panel": "pb"}), ["page_id", "candidate"]
     )
     group = ["page_id", "query"]
     w = ranking.Window.partitionBy(*group)
@@ -221,11 +228,11 @@ def rank_normalized(spark: SparkSession, folder: str) -> DataFrame:
 def features_45(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, query, candidate and the 45 features of a text and a body, in their fixed order."""
     regions = X.regions(spark, folder)
-    frames = regions.filter("cls = 'frame'").select(F.col("region_id").alias("pt"), *(F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")))
-    panel = panels_of(regions).select("region_id", "panel")
+    frames = frames_of(regions, "pt")
+    panel = panels_of(regions)
     pairs = _pairs(spark, folder)
-    pairs = pairs.join(panel.select(F.col("region_id").alias("t_region_id"), F.col("panel").alias("pt")), "t_region_id")
-    pairs = pairs.join(panel.select(F.col("region_id").alias("b_region_id"), F.col("panel").alias("pb")), "b_region_id").join(frames, "pt", "left")
+    pairs = pairs.join(panel.withColumnsRenamed({"region_id": "t_region_id", "panel": "pt"}), ["page_id", "t_region_id"])
+    pairs = pairs.join(panel.withColumnsRenamed({"region_id": "b_region_id", "panel": "pb"}), ["page_id", "b_region_id"]).join(frames, ["page_id", "pt"], "left")
     group = ["page_id", "t_region_id"]
     one = F.lit(1.0)
     # Doubled coordinates keep the ranked distance a whole number.
@@ -265,7 +272,7 @@ def features_45(spark: SparkSession, folder: str) -> DataFrame:
         iw / side(T.width), iw / side(B.width), ih / side(T.height), ih / side(B.height),
         F.log(side(ab) / side(at)),
         flag(F.col("__same")), flag(F.col("pt").isNotNull()), flag(F.col("pb").isNotNull()),
-        inside(dx / pw), inside(dy / ph), inside(distance / G.hypot(pw, ph)), F.coalesce(G.ordering_area(P) / page_area, F.lit(0.0)),
+        inside(dx / pw), inside(dy / ph), inside(distance / G.hypot(pw, ph)), F.when(F.col("pt").isNotNull(), G.ordering_area(P) / page_area).otherwise(F.lit(0.0)),
         flag(F.col("__n")), flag(F.col("__ns")),
         (F.col("__r") - 1) / F.greatest(F.lit(1), F.col("__n") - 1),
         F.when(F.col("__same"), (F.col("__rs") - 1) / F.greatest(F.lit(1), F.col("__ns") - 1)).otherwise(one),
@@ -292,17 +299,18 @@ k AS (
   FROM j WINDOW g AS (PARTITION BY page_id, t_region_id)
 )
 SELECT page_id, t_region_id AS query, b_region_id AS candidate,
-  round((t_x1 + t_x2) / 2.0 / 1600, 6) AS f0, round(area_t / 3520000.0, 6) AS f4, round(((b_x1 + b_x2) - (t_x1 + t_x2)) / 2.0 / 1600, 6) AS f10,
-  round(sqrt(d) / 2 / sqrt(1600.0 * 1600 + 2200.0 * 2200), 6) AS f14,
-  round(sqrt(CAST(power(greatest(0, t_x1 - b_x2, b_x1 - t_x2), 2) + power(greatest(0, t_y1 - b_y2, b_y1 - t_y2), 2) AS DOUBLE)) / sqrt(1600.0 * 1600 + 2200.0 * 2200), 6) AS f17,
-  round(iw * ih / greatest(area_t + area_b - iw * ih, 1), 6) AS f18, round(iw * ih / greatest(area_t, 1), 6) AS f19, round(ih / greatest(b_h, 1), 6) AS f24, round(ln(area_b / area_t), 6) AS f25,
+  round((t_x1 + t_x2) / 2.0 / 1600, 9) AS f0, round(area_t / 3520000.0, 9) AS f4, round(((b_x1 + b_x2) - (t_x1 + t_x2)) / 2.0 / 1600, 9) AS f10,
+  round(sqrt(d) / 2 / sqrt(1600.0 * 1600 + 2200.0 * 2200), 9) AS f14,
+  round(sqrt(CAST(power(greatest(0, t_x1 - b_x2, b_x1 - t_x2), 2) + power(greatest(0, t_y1 - b_y2, b_y1 - t_y2), 2) AS DOUBLE)) / sqrt(1600.0 * 1600 + 2200.0 * 2200), 9) AS f17,
+  round(iw * ih / greatest(area_t + area_b - iw * ih, 1), 9) AS f18, round(iw * ih / greatest(area_t, 1), 9) AS f19, round(ih / greatest(b_h, 1), 9) AS f24, round(ln(area_b / area_t), 9) AS f25,
   CASE WHEN same THEN 1.0 ELSE 0.0 END AS f26, CASE WHEN pb IS NOT NULL THEN 1.0 ELSE 0.0 END AS f28,
-  round(CASE WHEN same THEN ((b_x1 + b_x2) - (t_x1 + t_x2)) / 2.0 / greatest(fw, 1) ELSE 0 END, 6) AS f29,
-  round(CASE WHEN same THEN sqrt(d) / 2 / sqrt(CAST(fw * fw + fh * fh AS DOUBLE)) ELSE 0 END, 6) AS f31, round(coalesce(fw * fh / 3520000.0, 0), 6) AS f32,
-  CAST(n AS DOUBLE) AS f33, CAST(ns AS DOUBLE) AS f34, round((r - 1) / greatest(1, n - 1), 6) AS f35, round(CASE WHEN same THEN (rs - 1) / greatest(1, ns - 1) ELSE 1 END, 6) AS f36,
+  round(CASE WHEN same THEN ((b_x1 + b_x2) - (t_x1 + t_x2)) / 2.0 / greatest(fw, 1) ELSE 0 END, 9) AS f29,
+  round(CASE WHEN same THEN sqrt(d) / 2 / sqrt(CAST(fw * fw + fh * fh AS DOUBLE)) ELSE 0 END, 9) AS f31, round(coalesce(fw * fh / 3520000.0, 0), 9) AS f32,
+  CAST(n AS DOUBLE) AS f33, CAST(ns AS DOUBLE) AS f34, round((r - 1) / greatest(1, n - 1), 9) AS f35, round(CASE WHEN same THEN (rs - 1) / greatest(1, ns - 1) ELSE 1 END, 9) AS f36,
   CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END AS f37, CASE WHEN same AND rs = 1 THEN 1.0 ELSE 0.0 END AS f38, CASE WHEN b_x1 + b_x2 < t_x1 + t_x2 THEN 1.0 ELSE 0.0 END AS f39,
   CASE WHEN (b_x1 + b_x2) BETWEEN 2 * t_x1 AND 2 * t_x2 AND (b_y1 + b_y2) BETWEEN 2 * t_y1 AND 2 * t_y2 THEN 1.0 ELSE 0.0 END AS f43
-FROM k"""
+FROM k""",
+    digits=9,
 )
 def pair_features_45(spark: SparkSession, folder: str) -> DataFrame:
     """Text-body features; the columns shown cover every kind of feature."""
@@ -376,7 +384,7 @@ SELECT page_id, count(*) AS left_over FROM region WHERE cls = 'text' AND region_
 def leftover_anti(spark: SparkSession, folder: str) -> DataFrame:
     """Texts that overlap no body enough, per page."""
     texts = X.of_class(X.regions(spark, folder), "text", "t")
-    return matching.leftovers(texts, _overlap_edges(spark, folder), ["t_region_id"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("left_over"))
+    return matching.leftovers(texts, _overlap_edges(spark, folder), ["page_id", "t_region_id"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("left_over"))
 
 
 @query(
@@ -398,9 +406,9 @@ def overlap_components(spark: SparkSession, folder: str) -> DataFrame:
 def _same_panel_tails(spark: SparkSession, folder: str) -> DataFrame:
     """Texts and faces (as tails) of one panel with their gap."""
     frame = X.regions(spark, folder)
-    panel = panels_of(frame).select("region_id", "panel").filter("panel IS NOT NULL")
-    texts = X.of_class(frame, "text", "t").join(panel.withColumnRenamed("region_id", "t_region_id"), "t_region_id")
-    tails = X.of_class(frame, "face", "b").join(panel.withColumnRenamed("region_id", "b_region_id"), "b_region_id")
+    panel = panels_of(frame).filter("panel IS NOT NULL")
+    texts = X.of_class(frame, "text", "t").join(panel.withColumnRenamed("region_id", "t_region_id"), ["page_id", "t_region_id"])
+    tails = X.of_class(frame, "face", "b").join(panel.withColumnRenamed("region_id", "b_region_id"), ["page_id", "b_region_id"])
     return texts.join(tails, ["page_id", "panel"])
 
 
@@ -419,14 +427,13 @@ def tail_rays(spark: SparkSession, folder: str) -> DataFrame:
     frame = X.regions(spark, folder)
     tails = tail_assignment(spark, folder)
     texts, faces, bodies = X.of_class(frame, "text", "t"), X.of_class(frame, "face", "b"), X.of_class(frame, "body", "c")
-    panel = panels_of(frame).select("region_id", "panel")
-    frames = frame.filter("cls = 'frame'").select(F.col("region_id").alias("panel"), *(F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")))
+    panel = panels_of(frame)
     joined = (
         tails.withColumnsRenamed({"text_id": "t_region_id", "tail_id": "b_region_id"})
         .join(texts, ["page_id", "t_region_id"])
         .join(faces, ["page_id", "b_region_id"])
-        .join(panel.withColumnRenamed("region_id", "t_region_id"), "t_region_id")
-        .join(frames, "panel")
+        .join(panel.withColumnRenamed("region_id", "t_region_id"), ["page_id", "t_region_id"])
+        .join(frames_of(frame, "panel"), ["page_id", "panel"])
         .withColumn("seg", G.tail_segment(B, T))
         .withColumn("diagonal", F.get(G.diagonal_segments(B, T), F.lit(0))["diagonal"])
     )
@@ -434,7 +441,7 @@ def tail_rays(spark: SparkSession, folder: str) -> DataFrame:
     rays = joined.withColumns({"dx": (F.col("seg.tip_x") - F.col("seg.root_x")) / norm, "dy": (F.col("seg.tip_y") - F.col("seg.root_y")) / norm})
     ox, oy, dx, dy = F.col("seg.tip_x"), F.col("seg.tip_y"), F.col("dx"), F.col("dy")
     rays = rays.withColumn("exit", G.ray_exit(ox, oy, dx, dy, Box.of("p_")))
-    own = bodies.join(panel.select(F.col("region_id").alias("c_region_id"), F.col("panel").alias("c_panel")), "c_region_id")
+    own = bodies.join(panel.withColumnsRenamed({"region_id": "c_region_id", "panel": "c_panel"}), ["page_id", "c_region_id"])
     pairs = rays.join(own, "page_id")
     C = Box.of("c_")
     vx, vy = C.cx - ox, C.cy - oy
@@ -503,9 +510,9 @@ def body_labels(spark: SparkSession, folder: str) -> DataFrame:
 def _face_body_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """F11 candidates: faces and bodies of one character, the centre inside or in one panel and near."""
     frame = X.regions(spark, folder)
-    panel = panels_of(frame, fallback=False).select("region_id", "panel")
-    faces = X.of_class(frame, "face", "t").join(panel.select(F.col("region_id").alias("t_region_id"), F.col("panel").alias("pt")), "t_region_id")
-    bodies = X.of_class(frame, "body", "b").join(panel.select(F.col("region_id").alias("b_region_id"), F.col("panel").alias("pb")), "b_region_id")
+    panel = panels_of(frame, fallback=False)
+    faces = X.of_class(frame, "face", "t").join(panel.withColumnsRenamed({"region_id": "t_region_id", "panel": "pt"}), ["page_id", "t_region_id"])
+    bodies = X.of_class(frame, "body", "b").join(panel.withColumnsRenamed({"region_id": "b_region_id", "panel": "pb"}), ["page_id", "b_region_id"])
     same_id = F.col("t_supp_key") % 7 == F.col("b_supp_key") % 7
     pairs = faces.join(bodies, "page_id").filter(same_id)
     inside, same = G.contains_centre(B, T), F.coalesce(F.col("pt") == F.col("pb"), F.lit(False))

@@ -15,25 +15,30 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def tidy(frame: DataFrame) -> DataFrame:
-    """Whole numbers as long; other numbers rounded to six digits for output."""
+def tidy(frame: DataFrame, digits: int = 6) -> DataFrame:
+    """Whole numbers as long; other numbers rounded for output."""
     columns = []
     for name, kind in frame.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("int", "smallint", "tinyint"):
             c = c.cast("long")
         elif kind in ("double", "float"):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double"), digits)
         columns.append(c.alias(name))
     return frame.select(*columns)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name; ``sql`` is the same query for another engine."""
+def query(sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
+    """Register a function under its name; ``sql`` is the same query for another engine.
+
+    ``digits`` is chosen so that no exact quotient ends in a five one digit later.
+    """
 
     def add(f: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return tidy(f(prepare(spark), folder))
+            # Rows that are dealt by page stay where they are for joins on page and region.
+            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+            return tidy(f(prepare(spark), folder), digits)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run

@@ -542,7 +542,7 @@ def renamed_clusters(spark: SparkSession, folder: str) -> DataFrame:
 def review_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The next cluster id and counts after an edit."""
     rows = _instances(spark, folder)
-    return review.next_cluster(rows).crossJoin(review.summary(rows))
+    return review.summary(rows).crossJoin(F.broadcast(review.next_cluster(rows)))  # one row each
 
 
 # ---- clusterings -------------------------------------------------------------------------
