@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where that is unset (tests
     in local mode) a temporary folder of this user."""
@@ -33,7 +36,16 @@ class Store:
         return f"{self.base}/{name}"
 
     def put(self, name: str, frame: DataFrame) -> DataFrame:
-        frame.write.mode("overwrite").parquet(self.path(name))
+        """Write a table and read it; its own shuffle files are deleted when it is written."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            frame.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.get(name, frame.schema)
 
     def get(self, name: str, schema=None) -> DataFrame:

@@ -104,7 +104,7 @@ def sample_anchors(documents: DataFrame, s: Settings) -> DataFrame:
 
 
 def index_blocks(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, text and (at, block) of the windows whose anchor is in ``shared``.
+    """doc_id and (at, block) of the windows whose anchor is in ``shared``.
 
     An anchor in any document's list is shared whichever document has it, so
     the lists of a batch are pooled.
@@ -130,14 +130,13 @@ def index_blocks(documents: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(low, high - low),
-                        batch.column("text").slice(low, high - low),
                         _lists((at - w.first[text]).astype(np.int32), counts, pa.int32()),
                         _lists(block.view(np.int64), counts, pa.int64()),
                     ],
-                    names=["doc_id", "text", "at", "block"],
+                    names=["doc_id", "at", "block"],
                 )
 
-    return documents.mapInArrow(run, "doc_id long, text string, at array<int>, block array<long>")
+    return documents.mapInArrow(run, "doc_id long, at array<int>, block array<long>")
 
 
 def remove_factors(found: DataFrame, s: Settings) -> DataFrame:
@@ -218,9 +217,27 @@ def duplicate_spans(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     source nor judged. Texts with fewer words than a block, empty texts and an
     empty table are returned as they are, words joined by one space.
     """
-    spark = documents.sparkSession
-    store = Store(spark, "factors")
+    store = Store(documents.sparkSession, "factors")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Each step is a written table; the frames of a step end with its call, so
+    # that Spark can delete its shuffle files before the next one.
+    marks = store.put("marks", _mark_shared(rows, s))
+    store.release()
+    blocks = store.put("blocks", index_blocks(rows.join(marks, "doc_id"), s).filter(F.size("at") > 0))
+    store.drop("marks")
+    store.release()
+    found = store.put("found", _look_up(blocks))
+    store.drop("blocks")
+    store.release()
+    return remove_factors(rows.join(found, "doc_id", "left"), s)
+
+
+def _mark_shared(rows: DataFrame, s: Settings) -> DataFrame:
+    """doc_id and those of its anchors that another document has, too.
+
+    An anchor's least and greatest document are aggregated before the shuffle;
+    the list of a document is as long as the document at most.
+    """
     samples = sample_anchors(rows.filter("doc_id IS NOT NULL"), s)
     spots = samples.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = (
@@ -229,30 +246,15 @@ def duplicate_spans(documents: DataFrame, s: Settings = Settings()) -> DataFrame
         .filter("low < high")
         .select("anchor")
     )
-    marked = spots.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
-    marks = store.put("marks", marked)
-    store.release()
+    return spots.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
 
-    blocks = store.put(
-        "blocks",
-        index_blocks(rows.join(marks, "doc_id", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>"))), s),
-    )
-    store.drop("marks")
-    store.release()
 
-    cut = blocks.filter(F.size("at") > 0).select("doc_id", F.explode(F.arrays_zip("at", "block")).alias("z"))
+def _look_up(blocks: DataFrame) -> DataFrame:
+    """doc_id and ascending (at, source) of its blocks that the index has under an earlier document."""
+    cut = blocks.select("doc_id", F.explode(F.arrays_zip("at", "block")).alias("z"))
     cut = cut.select("doc_id", F.col("z.at").alias("at"), F.col("z.block").alias("block"))
     index = (
         cut.groupBy("block").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).filter("source < high").select("block", "source")
     )
-    hits = (
-        cut.join(index, "block")
-        .filter("source < doc_id")
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct("at", "source"))).alias("hits"))
-        .select("doc_id", F.col("hits.at").alias("at"), F.col("hits.source").alias("source"))
-    )
-    found = store.put("found", hits)
-    store.release()
-    texts = blocks.select("doc_id", "text").join(found, "doc_id", "left")
-    return remove_factors(texts, s)
+    hits = cut.join(index, "block").filter("source < doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "source"))).alias("hits"))
+    return hits.select("doc_id", F.col("hits.at").alias("at"), F.col("hits.source").alias("source"))
