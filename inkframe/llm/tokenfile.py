@@ -115,8 +115,6 @@ class Encoder:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
         plain: list[tuple[bytes, str]] = []
         for raw in words:
             word = raw.decode()
@@ -144,7 +142,11 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [t.split() for t in texts]
-        missing = set().union(*split).difference(self.known)
+        needed = set().union(*split)
+        missing = needed.difference(self.known)
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known.clear()
+            missing = needed
         if missing:
             self._learn(list(missing))
         get = self.known.__getitem__
