@@ -72,7 +72,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offs
 
 
-def slices(offsets: np.ndarray, limit: int = 4 * PIECE) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text, or of one row."""
     low, n = 0, len(offsets) - 1
     while low < n:
