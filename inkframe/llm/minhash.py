@@ -25,7 +25,8 @@ class Settings:
     At the threshold 0.75, 32 bands of 4 rows miss a link with probability
     (1 - 0.75 ** 4) ** 32, about 5e-6. Signatures reject below ``least`` of
     equal rows, five standard deviations under 0.75. ``block`` is the number
-    of members of a group that one task compares with each other.
+    of members of a group that one task compares with each other; the full
+    shingle sets of a block have about ``block_bytes`` at most.
     """
 
     shingle: int = 5
@@ -34,6 +35,7 @@ class Settings:
     rows: int = 4
     least: float = 0.56
     block: int = 512
+    block_bytes: int = 64 << 20
 
     @property
     def hashes(self) -> int:
@@ -133,7 +135,8 @@ def sketch(documents: DataFrame, s: Settings) -> DataFrame:
 
 def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
     _, offsets, data = column.buffers()
-    first = np.frombuffer(offsets, np.int32)[column.offset] if len(column) else 0
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    first = np.frombuffer(offsets, wide)[column.offset] if len(column) else 0
     size = np.dtype(kind).itemsize
     return np.frombuffer(data, np.uint8)[first : first + len(column) * width * size].view(kind).reshape(len(column), width)
 
@@ -191,6 +194,16 @@ def full_sets(documents: DataFrame, s: Settings) -> DataFrame:
     return documents.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", signature binary, shingles binary")
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+
+
 def true_links(families: DataFrame, s: Settings) -> DataFrame:
     """Edges that connect documents whose full shingle sets reach the similarity."""
     least, percent = s.least * s.hashes, s.percent
@@ -200,12 +213,9 @@ def true_links(families: DataFrame, s: Settings) -> DataFrame:
         ids = rows.column("doc_id").to_numpy()[order].tolist()
         signatures = _matrix(rows.column("signature"), s.hashes, np.uint32)[order]
         packed = rows.column("shingles")
-        sets: dict[int, frozenset] = {}
 
-        def of(i: int) -> frozenset:
-            if i not in sets:
-                sets[i] = frozenset(np.frombuffer(packed[int(order[i])].as_buffer(), np.int64).tolist())
-            return sets[i]
+        def of(i: int) -> np.ndarray:
+            return np.frombuffer(packed[int(order[i])].as_buffer(), U)
 
         for i, low in meetings:
             equal = np.count_nonzero(signatures[low:] == signatures[i], axis=1)
@@ -214,7 +224,7 @@ def true_links(families: DataFrame, s: Settings) -> DataFrame:
             for j in (near[np.argsort(-equal[near], kind="stable")] + low).tolist():
                 if forest.root(ids[i]) != forest.root(ids[j]):
                     x, y = of(i), of(j)
-                    common = len(x & y)
+                    common = _common(x, y)
                     if 100 * common >= percent * (len(x) + len(y) - common):
                         forest.join(ids[i], ids[j])
                         edges.append((ids[i], ids[j]))
@@ -245,7 +255,7 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
         "reps",
         sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("short").alias("short")),
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("short").alias("short")),
     )
     spots = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -254,10 +264,11 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     families = store.put("families", components(close, store, "family").withColumnsRenamed({"node": "doc_id", "component": "family"}))
     store.release()
 
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    volumes = reps.groupBy(F.col("rep").alias("doc_id")).agg((8 * F.max("n_shingles")).alias("volume"))
+    sizes = families.join(volumes, "doc_id").groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("volume").alias("volume"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(families, "doc_id").dropDuplicates(["doc_id"])
     sets = full_sets(texts, s).join(sizes, "family")
-    links = store.put("links", true_links(deal_blocks(sets, "family", F.col("members"), "doc_id", s.block), s))
+    links = store.put("links", true_links(deal_blocks(sets, "family", F.col("members"), "doc_id", s.block, F.col("volume"), s.block_bytes), s))
     labels = store.put("labels", components(links, store, "component"))
     store.drop("close", "families")
     store.release()

@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def deal_blocks(frame: DataFrame, group: str, size: Column, member: str, block: int) -> DataFrame:
+def deal_blocks(frame: DataFrame, group: str, size: Column, member: str, block: int, volume: Column | None = None, block_bytes: int = 1) -> DataFrame:
     """Copy each row to the pairs of blocks in which its group's members meet.
 
     A group of up to ``block`` members is one block. A larger one is cut by a
     hash into about size / block blocks; columns __a <= __b name a pair of
-    blocks. Every two members of a group meet in exactly one pair.
+    blocks. Every two members of a group meet in exactly one pair. ``volume``
+    is the bytes of a group; with it, blocks have about ``block_bytes`` at most.
     """
     blocks = F.ceil(size / F.lit(block)).cast("int")
+    if volume is not None:
+        blocks = F.greatest(blocks, F.ceil(volume / F.lit(block_bytes)).cast("int"))
     return (
         frame.withColumn("__k", blocks)
         .withColumn("__mine", F.pmod(F.xxhash64(F.lit("block"), F.col(member)), F.col("__k")).cast("int"))
@@ -56,6 +59,15 @@ EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 Compare = Callable[[pa.RecordBatch, np.ndarray, bool, Forest, list[tuple[int, int]]], None]
 
 
+def one_batch(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """All rows of ``held``; offsets of bytes have 64 bits, as 32 end at 2 GiB and would leave several batches."""
+    schema = pa.schema([f.with_type(pa.large_binary()) if pa.types.is_binary(f.type) else f for f in held[0].schema])
+    made = pa.Table.from_batches(held).cast(schema).combine_chunks().to_batches()
+    if len(made) != 1:
+        raise RuntimeError(f"a pair of blocks came out as {len(made)} batches")
+    return made[0]
+
+
 def compare_groups(dealt: DataFrame, group: str, columns: list[str], compare: Compare) -> DataFrame:
     """Run ``compare(rows, block of each row, same block, forest, edges)`` on each pair of blocks.
 
@@ -72,10 +84,9 @@ def compare_groups(dealt: DataFrame, group: str, columns: list[str], compare: Co
         def close() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+            one = one_batch(held)
             edges: list[tuple[int, int]] = []
-            if rows and rows[0].num_rows > 1:
-                one = rows[0]
+            if one.num_rows > 1:
                 same = one.column("__a")[0].as_py() == one.column("__b")[0].as_py()
                 compare(one, one.column("__mine").to_numpy(), same, forest, edges)
             held.clear()

@@ -110,6 +110,28 @@ def test_every_two_members_meet_once(spark):
     assert set(met.values()) == {1} and len(met) == 50 * 49 // 2 + 1
 
 
+def test_blocks_beyond_two_gib():
+    import pyarrow as pa
+
+    raw = pa.py_buffer(np.zeros(11 << 27, np.uint8))
+    held = [
+        pa.RecordBatch.from_arrays([pa.array([i]), pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, 11 << 27], np.int32)), raw])], names=["id", "bytes"])
+        for i in range(2)
+    ]
+    assert len(pa.Table.from_batches(held).combine_chunks().to_batches()) == 2  # what 32-bit offsets give
+    assert pairs.one_batch(held).column("id").to_pylist() == [0, 1]
+
+
+def test_blocks_are_cut_by_bytes(spark):
+    docs = spark.createDataFrame(variants(60, 2), "doc_id long, text string")
+    settings = minhash.Settings(block_bytes=4000)
+    rows = docs.withColumn("g", F.lit(1))
+    dealt = pairs.deal_blocks(rows, "g", F.lit(60), "doc_id", settings.block, F.lit(60 * 8 * 76), settings.block_bytes)
+    assert dealt.select("__mine").distinct().count() == 10
+    got = by_id(minhash.near_duplicates(docs, settings))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == near_groups(texts_of(docs))
+
+
 # ---- 1 sharding ---------------------------------------------------------------------
 
 
