@@ -114,11 +114,22 @@ class Encoder:
     def _alone(self, word: str) -> bytes:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _one_part(self, raw: bytes, word: str) -> bool:
+        """Whether the normaliser leaves exactly one part of a word.
+
+        White space beyond ASCII becomes a space or goes, so such a word gives
+        none or several. Printable ASCII holds none of it.
+        """
+        if raw.isascii() and word.isprintable():
+            return True
+        made = self.whole.normalizer.normalize_str(word)
+        return bool(made) and " " not in made
+
     def _learn(self, words: list[bytes]) -> None:
         plain: list[tuple[bytes, str]] = []
         for raw in words:
             word = raw.decode()
-            if any(s in word for s in self.special):
+            if any(s in word for s in self.special) or not self._one_part(raw, word):
                 self.known[raw] = self._alone(word)
             else:
                 plain.append((raw, word))
@@ -131,7 +142,7 @@ class Encoder:
             reach = np.cumsum(self.size[ids])
             cuts = np.searchsorted(reach, ends)
             if len(parts) != len(group) or not len(ids) or reach[-1] != ends[-1] or (reach[cuts] != ends).any():
-                for raw, word in group:  # a word holds white space beyond ASCII
+                for raw, word in group:  # an id spans words, or parts and bytes do not add up
                     self.known[raw] = self._alone(word)
                 continue
             packed, low = ids.tobytes(), 0

@@ -533,6 +533,16 @@ def test_encoder_when_memory_fills(monkeypatch):
         assert np.frombuffer(made.encode([t.encode()])[0], "<u4").tolist() == made.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_with_wide_spaces():
+    made = tokenfile.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for space in "\u00a0\u3000\u0085\u2028\x1c":
+        group = ["alpha", space, f"beta{space}gamma", "delta"]
+        made.known.clear()
+        made._learn([w.encode() for w in group])
+        for w in group:
+            assert np.frombuffer(made.known[w.encode()], "<u4").tolist() == made.whole.encode(w, add_special_tokens=False).ids
+
+
 # ---- 10 mixing --------------------------------------------------------------------------------------------------
 
 
