@@ -23,9 +23,10 @@ class Settings:
     Centroids and codebooks are fitted on at most ``sample`` vectors drawn by a
     hash of their id; every vector is indexed. There are about ``lists_per_root``
     times the root of the number of vectors lists. A query opens the share
-    ``probe`` of them, ``least_lists`` at least, and ranks the best ``rerank``
-    of each block by their true cosine; ``block`` rows of a list are searched
-    in one task. The share is wide because vectors without clusters need it:
+    ``probe`` of them, ``least_lists`` at least, and more until they hold that
+    share of the vectors and k candidates. It ranks the best ``rerank`` of each
+    block, and all that tie with the last, by their true cosine; ``block`` rows
+    of a list are searched in one task. The share is wide because vectors without clusters need it:
     0.35 finds 84 of 100 true neighbours among 10,000 such vectors, 0.7 finds 97.
     """
 
@@ -116,6 +117,34 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda v: v != 0))
 
 
+def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
+    """v and its ``keep`` smallest ids, one row per distinct vector.
+
+    Spark cuts the ranks before the shuffle, so that a vector with many copies
+    sends few rows.
+    """
+    order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    least = rows.withColumn("__r", order).filter(F.col("__r") <= keep)
+    copies = least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return copies.select(F.get("ids", F.lit(0)).alias("id"), "v", "ids")
+
+
+def candidates(near: np.ndarray, n: int) -> np.ndarray:
+    """Where the n smallest values are, and all that equal the largest of them."""
+    if len(near) <= n:
+        return np.arange(len(near))
+    return np.flatnonzero(near <= np.partition(near, n - 1)[n - 1])
+
+
+def open_lists(order: np.ndarray, rows: np.ndarray, ids: np.ndarray, least: int, share: float, k: int) -> list[np.ndarray]:
+    """The lists each query opens: ``least``, and more until they hold ``share``
+    of all vectors and k ids besides the query's own; ``rows`` and ``ids`` count
+    the vectors and ids of each list."""
+    enough = (np.cumsum(rows[order], axis=1) >= share * rows.sum()) & (np.cumsum(ids[order], axis=1) > k)
+    first = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, order.shape[1])
+    return [lists[:n] for lists, n in zip(order, np.maximum(first, least).tolist(), strict=True)]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -127,8 +156,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
     or non-finite components take no part, nor do rows with a null id. Vectors
     must have one length; those of another length than the most common are left
     out, too. Rows that repeat an id are one vector. Equal cosines go to the
-    smaller id. A query with fewer than k candidates in the lists it opens gets
-    those; lists are opened until they hold the wanted share of all vectors. An
+    smaller id. Equal vectors are indexed once, with their k + 1 smallest ids.
+    Lists are opened until they hold the wanted share of all distinct vectors
+    and k candidates, so only a table with fewer gives a query fewer rows. An
     empty table, or one without queries, gives an empty result.
     """
     spark = vectors.sparkSession
@@ -138,10 +168,11 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
     empty = spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
     if width is None:
         return empty
-    n = width["count"]
     rows = store.put("vectors", rows.filter(F.size("v") == width["d"]).dropDuplicates(["id"]))
+    distinct = store.put("distinct", distinct_vectors(rows, k + 1))
+    n = distinct.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(s.seed), F.col("id")), 11).cast("double") / F.lit(float(1 << 53))
-    chosen = rows.filter(draw < min(1.0, s.sample / n)).orderBy(F.xxhash64(F.lit(s.seed), F.col("id")), "id").limit(s.sample).toArrow()
+    chosen = distinct.filter(draw < min(1.0, s.sample / n)).orderBy(F.xxhash64(F.lit(s.seed), F.col("id")), "id").limit(s.sample).toArrow()
     index = fit(unit(_matrix(chosen.column("v").combine_chunks())), n, s)
     sent = spark.sparkContext.broadcast(index)  # at most most_lists + codes rows of one vector's width
 
@@ -154,12 +185,16 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
             place = made.place(x)
             codes = made.encode(x, place)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("v"), pa.array(place, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())],
-                names=["id", "v", "list", "codes"],
+                [*(batch.column(c) for c in ("id", "v", "ids")), pa.array(place, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())],
+                names=["id", "v", "ids", "list", "codes"],
             )
 
-    listed = store.put("lists", rows.mapInArrow(assign, "id long, v array<double>, list int, codes binary"))
-    sizes = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"))
+    listed = store.put("lists", distinct.mapInArrow(assign, "id long, v array<double>, ids array<long>, list int, codes binary"))
+    counted = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids"))
+    sizes = counted.select("list", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"))
+    held = np.zeros((2, len(index.centroids)), np.int64)
+    for r in counted.collect():  # at most most_lists rows
+        held[:, r["list"]] = r["n"], r["ids"]
     opened = min(len(index.centroids), max(s.least_lists, math.ceil(s.probe * len(index.centroids))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +202,14 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = made.nearest_lists(unit(_matrix(batch.column("v"))), opened)
+            order = made.nearest_lists(unit(_matrix(batch.column("v"))), len(made.centroids))
+            lists = open_lists(order, held[0], held[1], opened, s.probe, k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("v"), pa.array(lists.tolist(), pa.list_(pa.int32()))], names=["id", "v", "lists"]
+                [batch.column("id"), batch.column("v"), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=["id", "v", "lists"]
             )
 
     block = F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.col("blocks")).cast("int")
-    stored = listed.join(F.broadcast(sizes), "list").select("list", block.alias("block"), "id", "v", "codes")
+    stored = listed.join(F.broadcast(sizes), "list").select("list", block.alias("block"), "v", "ids", "codes")
     asked = rows.filter(is_query).mapInArrow(probe, "id long, v array<double>, lists array<int>")
     asked = asked.select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
@@ -182,19 +218,24 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
         made, place = sent.value, int(key_[0])
         out: list[tuple[int, int, float]] = []
         if len(left) and len(right):
-            ids = right["id"].to_numpy()
+            ids = np.concatenate(right["ids"].to_list())
+            copies = right["ids"].map(len).to_numpy()
+            first = np.cumsum(copies) - copies
             x = np.stack(right["v"].to_list())
             norms = np.sqrt((x * x).sum(1))
             codes = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1)
             for query, q in zip(left["id"].tolist(), left["v"], strict=True):
                 length = float(np.sqrt((q * q).sum()))
                 near = made.distances(q / length, place, codes)
-                near[ids == query] = np.inf
-                take = np.argpartition(near, s.rerank)[: s.rerank] if len(near) > s.rerank else np.arange(len(near))
-                take = take[ids[take] != query]
-                score = x[take] @ q / (norms[take] * length)
-                best = np.lexsort((ids[take], -score))[:k]
-                out.extend(zip([query] * len(best), ids[take[best]].tolist(), score[best].tolist(), strict=True))
+                # One more than k, as the query's own vector may be among them.
+                take = candidates(near, max(s.rerank, k + 1))
+                each = np.repeat(take, copies[take])
+                inside = np.arange(len(each)) - np.repeat(np.cumsum(copies[take]) - copies[take], copies[take])
+                found = ids[first[each] + inside]
+                score = np.repeat(x[take] @ q / (norms[take] * length), copies[take])
+                found, score = found[found != query], score[found != query]
+                best = np.lexsort((found, -score))[:k]
+                out.extend(zip([query] * len(best), found[best].tolist(), score[best].tolist(), strict=True))
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
     pairs = asked.groupBy("list", "block").cogroup(stored.groupBy("list", "block")).applyInPandas(meet, "query_id long, id long, score double")

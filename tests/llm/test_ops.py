@@ -337,6 +337,45 @@ def test_nearest_neighbour_edge_cases(spark):
     assert got[0]["score"] == 1.0
 
 
+def copies_and_near_copies():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 32))
+    x = np.concatenate([x, np.repeat(x[:3], 400, axis=0), np.repeat(x[3:6], 200, axis=0) + rng.normal(size=(600, 32)) * 1e-4])
+    return rng.permutation(len(x)), x
+
+
+def test_nearest_neighbours_among_copies(spark):
+    ids, x = copies_and_near_copies()
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(rows, "id % 5 = 0").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = {tuple(v): sorted(ids[(x == v).all(axis=1)].tolist()) for v in x[:3]}
+    near_hits = near = 0
+    for place in np.flatnonzero(ids % 5 == 0):
+        query = int(ids[place])
+        mine = [i for _, i in sorted(got[query])]
+        assert len(mine) == 5
+        same = exact.get(tuple(x[place]))
+        if same:  # the smallest ids of the equal vectors
+            assert mine == [i for i in same if i != query][:5]
+        elif place >= 1800:
+            score = np.round(u @ u[place], 14)
+            score[place] = -9
+            want = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+            near_hits, near = near_hits + len(want & set(mine)), near + 5
+    assert near_hits / near >= 0.9
+
+
+def test_lists_are_opened_until_they_hold_enough():
+    order = np.array([[0, 1, 2, 3], [3, 2, 1, 0]])
+    rows = np.array([1, 1, 2, 6])
+    assert [len(x) for x in ann.open_lists(order, rows, rows, 1, 0.2, 3)] == [3, 1]
+    assert [len(x) for x in ann.open_lists(order, rows, rows, 2, 0.2, 30)] == [4, 4]
+    assert ann.candidates(np.array([2.0, 1.0, 2.0, 2.0, 3.0]), 2).tolist() == [0, 1, 2, 3]
+
+
 # ---- 6 quality --------------------------------------------------------------------------------------
 
 
