@@ -35,21 +35,33 @@ def permutation(seed: int, epoch: int, key: str) -> Column:
     return F.row_number().over(Window.orderBy(hash_order(seed + epoch, key), key))
 
 
+def hash_numbers(frame: DataFrame, order: Column, key: str, name: str) -> DataFrame:
+    """Number rows from 0 by an MD5 and ``key``, without a task that holds all rows.
+
+    The first three digits of the MD5 cut the order into 4096 ranges (and one of
+    nulls); rows are numbered inside a range and moved by the sizes before it.
+    """
+    cut = frame.withColumn("__o", order).withColumn("__r", F.coalesce(F.substring("__o", 1, 3), F.lit("")))
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("__r").agg(F.count(F.lit(1)).alias("__c")).select("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
+    inside = F.row_number().over(Window.partitionBy("__r").orderBy("__o", key)) - 1
+    return cut.withColumn("__i", inside).join(F.broadcast(starts), "__r").withColumn(name, F.col("__i") + F.col("__s")).drop("__o", "__r", "__i", "__s")
+
+
 def bucketed_batches(pages: DataFrame, key: str, seed: int, epoch: int, batch: int, pool: int = 32) -> DataFrame:
     """Batches of pages of similar shape: hash order is cut into pools, pools sorted by shape, cut into batches.
 
     Shape is (rounded 8 w/h, dialogues x candidates, candidates). Batches are
-    then put into a hash order of their own. One row stands for one page, so
-    the first window holds keys and four numbers per page.
+    then put into a hash order of their own. No window holds more than a pool
+    or a range of a hash order.
     """
-    order = hash_order(seed + epoch, key)
-    numbered = pages.withColumn("__n", F.row_number().over(Window.orderBy(order, key)) - 1)
+    numbered = hash_numbers(pages, hash_order(seed + epoch, key), key, "__n")
     pooled = numbered.withColumn("__p", F.floor(F.col("__n") / (batch * pool)))
     shape = (F.bround(8 * F.col("width") / F.col("height")), F.col("dialogues") * F.col("candidates"), F.col("candidates"))
     inside = F.floor((F.row_number().over(Window.partitionBy("__p").orderBy(*shape, "__n")) - 1) / batch)
     cut = pooled.withColumn("__b", F.col("__p") * pool + inside)
-    shuffled = F.dense_rank().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed + epoch}|batch|"), F.col("__b").cast("string"))), "__b")) - 1
-    return cut.withColumn("batch", shuffled).drop("__n", "__p", "__b")
+    batches = hash_numbers(cut.select("__b").distinct(), F.md5(F.concat(F.lit(f"{seed + epoch}|batch|"), F.col("__b").cast("string"))), "__b", "batch")
+    return cut.join(batches, "__b").drop("__n", "__p", "__b")
 
 
 def identity_batches(frame: DataFrame, identity: str, key: str, seed: int, identities: int, rows: int) -> DataFrame:

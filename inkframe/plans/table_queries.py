@@ -238,6 +238,14 @@ def permutation(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").select("s_suppkey", sampling.permutation(SEED, 3, "s_suppkey").alias("place"), ranking.chunk([], ["s_suppkey"], 7).alias("chunk"))
 
 
+def _batches(orders: DataFrame) -> DataFrame:
+    c = F.col("o_custkey")
+    pages = orders.select(
+        F.col("o_orderkey").alias("key"), F.lit(1600).alias("width"), (2000 + c % 400).alias("height"), (c % 9).alias("dialogues"), (c % 7).alias("candidates")
+    )
+    return sampling.bucketed_batches(pages, "key", SEED, 1, 4).select("key", "batch")
+
+
 @query(
     f"""WITH p AS (SELECT o_orderkey AS key, 1600 AS width, 2000 + o_custkey % 400 AS height, o_custkey % 9 AS dialogues, o_custkey % 7 AS candidates FROM orders WHERE o_orderkey < 2000),
 n AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED + 1}|' || key), key) - 1 AS n FROM p), q AS (SELECT *, n // 128 AS pool FROM n),
@@ -246,11 +254,18 @@ SELECT key, CAST(dense_rank() OVER (ORDER BY md5('{SEED + 1}|batch|' || b), b) -
 )
 def bucketed_batches(spark: SparkSession, folder: str) -> DataFrame:
     """K5: batches of pages of like shape."""
-    c = F.col("o_custkey")
-    pages = table(spark, folder, "orders").filter("o_orderkey < 2000").select(
-        F.col("o_orderkey").alias("key"), F.lit(1600).alias("width"), (2000 + c % 400).alias("height"), (c % 9).alias("dialogues"), (c % 7).alias("candidates")
-    )
-    return sampling.bucketed_batches(pages, "key", SEED, 1, 4).select("key", "batch")
+    return _batches(table(spark, folder, "orders").filter("o_orderkey < 2000"))
+
+
+@query(
+    f"""WITH p AS (SELECT o_orderkey AS key, 1600 AS width, 2000 + o_custkey % 400 AS height, o_custkey % 9 AS dialogues, o_custkey % 7 AS candidates FROM orders),
+n AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED + 1}|' || key), key) - 1 AS n FROM p), q AS (SELECT *, n // 128 AS pool FROM n),
+b AS (SELECT *, pool * 32 + (row_number() OVER (PARTITION BY pool ORDER BY round_even(8 * width / height, 0), dialogues * candidates, candidates, n) - 1) // 4 AS b FROM q)
+SELECT key, CAST(dense_rank() OVER (ORDER BY md5('{SEED + 1}|batch|' || b), b) - 1 AS BIGINT) AS batch FROM b"""
+)
+def bucketed_batches_all(spark: SparkSession, folder: str) -> DataFrame:
+    """K5: the same over all orders."""
+    return _batches(table(spark, folder, "orders"))
 
 
 @query(

@@ -1,12 +1,14 @@
 """Raster overlap, hooks and hash-ordered sampling."""
 
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from inkframe.functions.raster import polygon_mask, rect_polygon_iom
 from inkframe.operators import sampling
-from inkframe.plans import plugins
+from inkframe.plans import catalog, plugins
 
 
 def test_raster_of_boxes_and_triangles():
@@ -59,3 +61,16 @@ def test_batches_hold_like_shapes(spark):
     sizes = [r["count"] for r in got.groupBy("batch").count().collect()]
     assert sum(sizes) == 100 and max(sizes) <= 10
     assert sampling.repeated_trials(spark.range(2), 3, (1, 5), ("a",)).count() == 12
+
+
+def test_batches_of_all_orders(spark, small):
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    got = catalog.QUERIES["bucketed_batches_all"](spark, small)
+    assert got.select("key").exceptAll(orders.select("o_orderkey")).isEmpty() and got.count() == orders.count() > 0
+
+
+def test_hash_numbers(spark):
+    rows = spark.range(9000).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    got = sampling.hash_numbers(rows, sampling.hash_order(3, "id"), "id", "n").orderBy("n").collect()
+    want = [None, *sorted(range(9000), key=lambda i: hashlib.md5(f"3|{i}".encode()).hexdigest())]
+    assert [r["id"] for r in got] == want and [r["n"] for r in got] == list(range(9001))
