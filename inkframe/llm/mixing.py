@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from inkframe.llm import words as W
 from inkframe.llm.store import Store
 
-#: Every source or language that is not among the largest.
+#: Every source or language that is not among the largest, if Settings bounds them.
 REST = "~rest"
+#: Up to so many cells the driver rakes and documents are joined by broadcast.
+LOCAL_CELLS = 200_000
 AXES = ("source", "language", "topic")
 
 
@@ -24,18 +26,17 @@ class Settings:
 
     A marginal's target share is its share of the tokens to a power, scaled to
     sum to one: 1 keeps the corpus's shares, 0 makes them equal. The sample has
-    ``fraction`` of all tokens in expectation. The largest ``sources`` sources
-    and ``languages`` languages have cells of their own and all others one cell
-    together, so the table of cells, which the driver rakes, has at most
-    (sources + 1) x (languages + 1) x (topics + 1) rows.
+    ``fraction`` of all tokens in expectation. Every source and language has a
+    margin of its own. Who wants less sets ``sources`` or ``languages``: then all
+    but the largest so many are one margin together.
     """
 
     fraction: float = 0.6
     source_power: float = 0.7
     language_power: float = 0.7
     topic_power: float = 0.5
-    sources: int = 256
-    languages: int = 32
+    sources: int | None = None
+    languages: int | None = None
     topics: int = 16
     topic_word_bytes: int = 7
     seed: int = 7
@@ -120,54 +121,151 @@ def label(documents: DataFrame, s: Settings, keep: list[str]) -> DataFrame:
     return read.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "__tokens long", "__topic int"]))
 
 
-def _grouped(column: Column, largest: list[str]) -> Column:
+def _grouped(column: Column, largest: list[str] | None) -> Column:
     known = F.coalesce(column, F.lit(""))
-    return F.when(known.isin(largest), known).otherwise(F.lit(REST)) if largest else F.lit(REST)
+    if largest is None:
+        return known
+    # A real name that starts with ~ gets another, so that none is REST.
+    own = F.when(known.startswith("~"), F.concat(F.lit("~"), known)).otherwise(known)
+    return F.when(known.isin(largest), own).otherwise(F.lit(REST)) if largest else F.lit(REST)
 
 
-def _largest(labelled: DataFrame, column: str, n: int) -> list[str]:
+def _largest(labelled: DataFrame, column: str, n: int | None) -> list[str] | None:
+    if n is None:
+        return None
     sums = labelled.groupBy(F.coalesce(column, F.lit("")).alias("name")).agg(F.sum("__tokens").alias("tokens"))
     return [r["name"] for r in sums.orderBy(F.desc("tokens"), "name").limit(n).collect()]
 
 
 @dataclass(frozen=True)
 class Plan:
-    """The raked cells: rows of (source, language, topic, tokens, weight, probability)."""
+    """The raked cells: (__s, __l, __topic, __cell_tokens, __weight, __probability)."""
 
-    sources: list[str]
-    languages: list[str]
-    rows: list[tuple[str, str, int, int, float, float]]
+    sources: list[str] | None
+    languages: list[str] | None
+    cells: DataFrame
+    small: bool
 
-    SCHEMA = "__s string, __l string, __t int, __cell_tokens long, __weight double, __probability double"
+    SCHEMA = "__s string, __l int, __t int, __cell_tokens long, __weight double, __probability double"
+
+
+def _flat(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per source its goal; per cell its source's row, language, topic and tokens."""
+    columns = {c: batch.column(c).combine_chunks() if isinstance(batch, pa.Table) else batch.column(c) for c in ("goal", "l", "t", "m")}
+    counts = columns["m"].value_lengths().to_numpy(zero_copy_only=False)
+    cells = [columns[c].flatten().to_numpy(zero_copy_only=False) for c in ("l", "t", "m")]
+    return columns["goal"].to_numpy(zero_copy_only=False), np.repeat(np.arange(len(counts)), counts), *cells
+
+
+def _ratios(batch: pa.RecordBatch | pa.Table, by_language: np.ndarray, by_topic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, topic, tokens and raked share a token of each cell; sources, whole here, meet their goals."""
+    goal, row, l, t, m = _flat(batch)
+    ratio = by_language[l] * by_topic[t]
+    now = np.bincount(row, m * ratio, len(goal))
+    factor = np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)
+    return l, t, m, ratio * factor[row]
+
+
+def _sums(packed: DataFrame, local: pa.Table | None, size: int, of: Callable[[pa.RecordBatch | pa.Table], np.ndarray]) -> np.ndarray:
+    """The sum of ``of`` over all sources: at the driver over ``local``, else in tasks."""
+    if local is not None:
+        return of(local)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += of(batch)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["i", "x"])
+
+    out = np.zeros(size)
+    for r in packed.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out[r["i"]] = r["x"]
+    return out
+
+
+def _goals(total: np.ndarray, power: float) -> np.ndarray:
+    raised = np.where(total > 0, total, 1.0) ** power * (total > 0)
+    return raised / raised.sum()
 
 
 def plan_mixture(labelled: DataFrame, s: Settings) -> Plan:
-    """Rake the token sums of all of ``labelled(source, lang, __topic, __tokens)``."""
+    """Rake the token sums of all of ``labelled(source, lang, __topic, __tokens)``.
+
+    A source's cells are one row. A round scales each source to its goal where
+    its row is and sums languages x topics, which the driver scales; it holds
+    a factor per language and topic and never one per source.
+    """
+    spark = labelled.sparkSession
+    store = Store(spark, "cells")
     sources, languages = _largest(labelled, "source", s.sources), _largest(labelled, "lang", s.languages)
-    cells = (
-        labelled.groupBy(_grouped(F.col("source"), sources).alias("s"), _grouped(F.col("lang"), languages).alias("l"), F.col("__topic").alias("t"))
-        .agg(F.sum("__tokens").alias("tokens"))
-        .collect()
-    )
-    names = [sorted({c[k] for c in cells}) for k in ("s", "l", "t")]
-    index = [{name: i for i, name in enumerate(x)} for x in names]
-    mass = np.zeros([len(x) for x in names])
-    for c in cells:
-        mass[index[0][c["s"]], index[1][c["l"]], index[2][c["t"]]] = c["tokens"]
-    targets = []
-    for axis, power in enumerate((s.source_power, s.language_power, s.topic_power)):
-        total = mass.sum(axis=tuple(a for a in range(3) if a != axis))
-        raised = np.where(total > 0, total, 1.0) ** power * (total > 0)
-        targets.append(raised / raised.sum() if raised.sum() else raised)
-    table = rake(mass, targets, s.tolerance, s.rounds)
-    probability = calibrate(mass, table, s.fraction)
-    share = np.divide(mass, mass.sum(), out=np.zeros_like(mass), where=mass.sum() > 0)
-    weight = np.divide(table, share, out=np.zeros_like(table), where=share > 0)
-    rows = []
-    for c in sorted(cells, key=lambda c: (c["s"], c["l"], c["t"])):
-        at = (index[0][c["s"]], index[1][c["l"]], index[2][c["t"]])
-        rows.append((c["s"], c["l"], c["t"], int(c["tokens"]), float(weight[at]), float(probability[at])))
-    return Plan(sources, languages, rows)
+    keys = [_grouped(F.col("source"), sources).alias("s"), _grouped(F.col("lang"), languages).alias("l"), F.col("__topic").alias("t")]
+    cells = store.put("cells", labelled.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")))
+    pairs = cells.groupBy("l", "t").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
+    names = sorted({r["l"] for r in pairs})
+    number = {name: i for i, name in enumerate(names)}
+    mass = np.zeros((len(names), s.topics + 1))
+    for r in pairs:
+        mass[number[r["l"]], r["t"] + 1] = r["tokens"]
+    whole, small = float(mass.sum()), sum(r["n"] for r in pairs) <= LOCAL_CELLS
+    numbered = spark.createDataFrame(list(number.items()), "l string, li int")
+    one = F.struct(F.col("li").alias("l"), (F.col("t") + 1).alias("t"), F.col("tokens").alias("m"))
+    rows = cells.join(F.broadcast(numbered), "l").groupBy("s").agg(F.sort_array(F.collect_list(one)).alias("c"), F.sum("tokens").cast("double").alias("total"))
+    raised = F.when(F.col("total") > 0, F.pow("total", F.lit(s.source_power))).otherwise(F.lit(0.0))
+    rows = rows.select("s", raised.alias("goal"), "c.l", "c.t", F.transform("c.m", lambda m: m.cast("double")).alias("m"))
+    packed = store.put("packed", rows)
+    scale = packed.agg(F.sum("goal")).first()[0] or 1.0
+    packed = packed.withColumn("goal", F.col("goal") / F.lit(scale))
+    by_language, by_topic = np.ones(len(names)), np.ones(s.topics + 1)
+    limit = 0.0
+    if whole:
+        local = packed.toArrow().sort_by("s") if small else None
+        goals = _goals(mass.sum(axis=1), s.language_power), _goals(mass.sum(axis=0), s.topic_power)
+        shape = mass.shape
+
+        def margins(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+            l, t, m, ratio = _ratios(batch, by_language, by_topic)
+            return np.bincount(l.astype(np.int64) * shape[1] + t, m * ratio, shape[0] * shape[1])
+
+        for _ in range(s.rounds):
+            now = _sums(packed, local, mass.size, margins).reshape(shape)
+            if max(np.abs(now.sum(axis=1) - goals[0]).max(), np.abs(now.sum(axis=0) - goals[1]).max()) < s.tolerance:
+                break
+            factor = np.divide(goals[0], now.sum(axis=1), out=np.zeros(shape[0]), where=now.sum(axis=1) > 0)
+            by_language, now = by_language * factor, now * factor[:, None]
+            by_topic = by_topic * np.divide(goals[1], now.sum(axis=0), out=np.zeros(shape[1]), where=now.sum(axis=0) > 0)
+
+        # The limit at which min(1, limit x ratio) of the tokens is the wanted sum: from
+        # below, each step takes the cells that are full as such, until none is new.
+        full, limit = -1.0, s.fraction * whole
+        while s.fraction < 1:
+
+            def filled(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+                _, _, m, ratio = _ratios(batch, by_language, by_topic)
+                over = limit * ratio >= 1
+                return np.array([m[over].sum(), (m * ratio)[~over].sum()])
+
+            over, under = _sums(packed, local, 2, filled).tolist()
+            if over <= full or not under:
+                break
+            full, limit = over, (s.fraction * whole - over) / under
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            l, t, m, ratio = _ratios(batch, by_language, by_topic)
+            odds = np.where(m > 0, 1.0 if s.fraction >= 1 else np.minimum(1.0, limit * ratio), 0.0)
+            weight = np.where(m > 0, ratio * whole, 0.0)
+            name = batch.column("s").take(pa.array(_flat(batch)[1]))
+            yield pa.RecordBatch.from_arrays(
+                [name, pa.array(l, pa.int32()), pa.array(t - 1, pa.int32()), pa.array(m.astype(np.int64)), pa.array(weight), pa.array(odds)],
+                names=["__s", "__l", "__t", "__cell_tokens", "__weight", "__probability"],
+            )
+
+    raked = packed.mapInArrow(finish, Plan.SCHEMA).withColumnsRenamed({"__l": "li", "__t": "__topic"})
+    named = raked.join(F.broadcast(numbered.withColumnRenamed("l", "__l")), "li").drop("li")
+    return Plan(sources, languages, store.put("raked", named), small)
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -176,9 +274,8 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def _decide(labelled: DataFrame, plan: Plan, s: Settings) -> DataFrame:
-    cells = labelled.sparkSession.createDataFrame(plan.rows, Plan.SCHEMA)
     keyed = labelled.withColumn("__s", _grouped(F.col("source"), plan.sources)).withColumn("__l", _grouped(F.col("lang"), plan.languages))
-    joined = keyed.join(F.broadcast(cells.withColumnRenamed("__t", "__topic")), ["__s", "__l", "__topic"])
+    joined = keyed.join(F.broadcast(plan.cells) if plan.small else plan.cells, ["__s", "__l", "__topic"])
     return joined.withColumn("__draw", draw(F.col("doc_id"), s.seed)).withColumn("__sampled", F.col("__draw") < F.col("__probability"))
 
 

@@ -628,6 +628,26 @@ def test_mixture_edge_cases(spark, empty, clashing, awkward):
     assert few[1]["topic"] == -1 and few[1]["n_tokens"] == 0
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_every_source_has_its_margin(spark, monkeypatch, local):
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 10**6 if local else 0)
+    names = [*(f"h{i}" for i in range(299)), "~rest"]
+    rng = random.Random(4)
+    rows = [(i, " ".join([f"longword{i}"] * (1 + i % 300 // 30)), f"l{rng.randrange(40)}", names[i % 300], 0) for i in range(3600)]
+    s = mixing.Settings(topics=2, tolerance=1e-7)
+    got = by_id(mixing.assign(spark.createDataFrame(rows, SCHEMA), s))
+    axes = [sorted({r[c] for r in got.values()}) for c in ("source_group", "language_group", "topic")]
+    assert [len(x) for x in axes[:2]] == [300, 40]
+    mass = np.zeros([len(x) for x in axes])
+    spot = {i: tuple(x.index(r[c]) for x, c in zip(axes, ("source_group", "language_group", "topic"), strict=True)) for i, r in got.items()}
+    for i, r in got.items():
+        mass[spot[i]] += r["n_tokens"]
+    totals = [mass.sum(axis=tuple(a for a in range(3) if a != axis)) for axis in range(3)]
+    goals = [x**p / (x**p).sum() for x, p in zip(totals, (s.source_power, s.language_power, s.topic_power), strict=True)]
+    want = mixing.calibrate(mass, mixing.rake(mass, goals, s.tolerance, s.rounds), s.fraction)
+    assert all(r["probability"] == pytest.approx(want[spot[i]], abs=1e-5) for i, r in got.items())
+
+
 # ---- the queries --------------------------------------------------------------------------------------------------
 
 
