@@ -49,7 +49,11 @@ def anchors(w: W.Words, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Factor:
-    """Words start..stop-1 of a document, also found in document ``source``."""
+    """Words start..stop-1 of a document, each in a block that document ``source`` has, too.
+
+    The index keeps no positions: the blocks may lie at different places of the
+    source, which then does not hold the whole factor as one passage.
+    """
 
     start: int
     stop: int
