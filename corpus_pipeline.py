@@ -48,10 +48,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document's whole text."""
+    """The ids of every document's whole text, and digests of them and of what they decode to."""
     prepare(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
+    return bpe.encode_and_digest(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
 
 
 STAGES = [

@@ -183,6 +183,23 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return encoded.select(*keep, "ids").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "`bytes` binary"]))
 
 
+def _digests(made: Codec, ids: list[int]) -> tuple[str, str]:
+    """SHA-256 of the ids and of the bytes that they decode to."""
+    shown = " ".join(map(made.names.__getitem__, ids)).encode()
+    return hashlib.sha256(shown).hexdigest(), hashlib.sha256(made.decode(ids)).hexdigest()
+
+
+def encode_and_digest(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """As ``encode_documents``, with the digests of ``digest_documents``."""
+
+    def row(made: Codec, text: str) -> tuple:
+        ids = made.encode(text)
+        return len(ids), ids, *_digests(made, ids)
+
+    out = [("n_tokens", "long"), ("ids", "array<int>"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    return _map(documents.drop(*(n for n, _ in out)), ranks, pattern, out, row)
+
+
 def digest_documents(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what the ids decode to.
 
@@ -192,8 +209,7 @@ def digest_documents(documents: DataFrame, ranks: str, pattern: str) -> DataFram
 
     def row(made: Codec, text: str) -> tuple:
         ids = made.encode(text)
-        shown = " ".join(map(made.names.__getitem__, ids)).encode()
-        return len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(made.decode(ids)).hexdigest()
+        return len(ids), *_digests(made, ids)
 
     out = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     return _map(documents.select(F.col("doc_id"), F.col("text")), ranks, pattern, out, row)

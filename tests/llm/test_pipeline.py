@@ -3,10 +3,16 @@
 import hashlib
 
 import public_tokenizers
+import pytest
 
 import corpus_pipeline
 from inkframe.llm import bpe, minhash, mixing, quality
-from tests.llm.test_ops import by_id, cut, near_groups, texts_of
+from tests.llm.test_ops import AWKWARD, by_id, cut, near_groups, texts_of
+
+
+@pytest.fixture
+def awkward_texts(spark):
+    return spark.createDataFrame([(i, "en", "s", t) for i, t in AWKWARD], "doc_id long, lang string, source string, text string")
 
 
 def test_stages(spark, small, tmp_path):
@@ -43,3 +49,11 @@ def test_stages_on_nothing(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_last_stage_decodes(spark, awkward_texts):
+    got = by_id(corpus_pipeline.encode_tokens(spark, awkward_texts, ""))
+    want = by_id(bpe.digest_documents(awkward_texts, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    for i, text in texts_of(awkward_texts).items():
+        assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+        assert got[i]["ids_sha256"] == want[i]["ids_sha256"] and len(got[i]["ids"]) == got[i]["n_tokens"]
