@@ -6,23 +6,24 @@ import base64
 import hashlib
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from inkframe.llm import words as W
+from inkframe.llm.memory import Memory
 
 #: Code points with the property White_Space, which the split pattern's \s means.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A text falls into runs of non-space with one space before, and runs of
 #: space; no pre-token crosses them.
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Chunks that a worker remembers; beyond it the memory is emptied.
+#: Chunks in each of the two generations that a worker remembers, and how long one may be.
 REMEMBERED = 400_000
 LONGEST = 128
 
@@ -88,37 +89,44 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.split = regex.compile(pattern)
         self.names = [str(i) for i in range(len(self.tokens))]
-        self.known: dict[str, list[int]] = {}
+        self.memory = Memory(REMEMBERED)
         alphabet = byte_alphabet()
         self.table = {b: alphabet[b] for b in range(256)}
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks, each pre-token separately, and remember them."""
+        """Encode chunks, each pre-token separately, and remember them as little-endian 32-bit ids."""
         each = [self.split.findall(c) for c in chunks]
         mapped = [p.encode().decode("latin-1").translate(self.table) for found in each for p in found]
-        ids = iter(self.model.encode(mapped, out_type=int, num_threads=1))
+        ids = self.model.encode(mapped, out_type=int, num_threads=1)
+        packed = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))).tobytes()
+        young, at, low = self.memory.young, 0, 0
         for c, found in zip(chunks, each, strict=True):
-            self.known[c] = list(chain.from_iterable(next(ids) for _ in found))
-
-    def encode(self, text: str) -> list[int]:
-        chunks = CHUNK.findall(text)
-        needed = set(chunks)
-        missing = list(needed.difference(self.known))
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list(needed)
+            high = low
+            for part in ids[at : at + len(found)]:
+                high += 4 * len(part)
+            young[c] = packed[low:high]
+            at, low = at + len(found), high
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers; chunks that are new are learned together."""
+        cut = [CHUNK.findall(t) for t in texts]
+        missing = list(self.memory.lacking(set().union(*cut)))
         if missing:
             self._learn(missing)
-        ids = list(chain.from_iterable(map(self.known.__getitem__, chunks)))
-        for c in missing:
-            if len(c) > LONGEST:
-                del self.known[c]
-        return ids
+        get = self.memory.young.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in cut]
+        self.memory.forget(c for c in missing if len(c) > LONGEST)
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+#: Columns that encoding can give, and their types.
+OUT = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -136,7 +144,8 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield low, ["" if x is None else x for x in column.slice(low, high - low).to_pylist()]
 
 
-def _map(documents: DataFrame, ranks: str, pattern: str, out: list[tuple[str, str]], row: Callable[[Codec, str], tuple]) -> DataFrame:
+def _map(documents: DataFrame, ranks: str, pattern: str, out: list[str]) -> DataFrame:
+    """Every column but text, and those of OUT that ``out`` names."""
     keep = [c for c in documents.columns if c != "text"]
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
 
@@ -144,14 +153,18 @@ def _map(documents: DataFrame, ranks: str, pattern: str, out: list[tuple[str, st
         made = codec(ranks, pattern)
         for batch in batches:
             for low, texts in _texts(batch.column("text")):
-                columns = zip(*(row(made, t) for t in texts), strict=True)
-                kind = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(low, len(texts)) for c in keep), *(pa.array(v, kind[k]) for v, (_, k) in zip(columns, out, strict=True))],
-                    names=[*keep, *(n for n, _ in out)],
-                )
+                packed = made.encode_all(texts)
+                counts = np.array([len(p) // 4 for p in packed], np.int64)
+                columns = {"n_tokens": pa.array(counts)}
+                if "ids" in out:
+                    ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+                    columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                if "ids_sha256" in out:
+                    shown, decoded = zip(*(_digests(made, np.frombuffer(p, np.int32).tolist()) for p in packed), strict=True)
+                    columns |= {"ids_sha256": pa.array(shown, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, len(texts)) for c in keep), *(columns[n] for n in out)], names=[*keep, *out])
 
-    return documents.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {k}" for n, k in out)]))
+    return documents.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {OUT[n]}" for n in out)]))
 
 
 def encode_documents(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -162,11 +175,7 @@ def encode_documents(documents: DataFrame, ranks: str, pattern: str) -> DataFram
     named ids or n_tokens are replaced.
     """
 
-    def row(made: Codec, text: str) -> tuple:
-        ids = made.encode(text)
-        return len(ids), ids
-
-    return _map(documents.drop("ids", "n_tokens"), ranks, pattern, [("n_tokens", "long"), ("ids", "array<int>")], row)
+    return _map(documents.drop("ids", "n_tokens"), ranks, pattern, ["n_tokens", "ids"])
 
 
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -191,13 +200,7 @@ def _digests(made: Codec, ids: list[int]) -> tuple[str, str]:
 
 def encode_and_digest(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """As ``encode_documents``, with the digests of ``digest_documents``."""
-
-    def row(made: Codec, text: str) -> tuple:
-        ids = made.encode(text)
-        return len(ids), ids, *_digests(made, ids)
-
-    out = [("n_tokens", "long"), ("ids", "array<int>"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return _map(documents.drop(*(n for n, _ in out)), ranks, pattern, out, row)
+    return _map(documents.drop(*OUT), ranks, pattern, list(OUT))
 
 
 def digest_documents(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -206,10 +209,4 @@ def digest_documents(documents: DataFrame, ranks: str, pattern: str) -> DataFram
     Nulls, empty and long texts as in ``encode_documents``; repeated rows give
     equal results; an empty table gives an empty result.
     """
-
-    def row(made: Codec, text: str) -> tuple:
-        ids = made.encode(text)
-        return len(ids), *_digests(made, ids)
-
-    out = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return _map(documents.select(F.col("doc_id"), F.col("text")), ranks, pattern, out, row)
+    return _map(documents.select("doc_id", "text"), ranks, pattern, ["n_tokens", "ids_sha256", "decoded_sha256"])
