@@ -161,7 +161,7 @@ def close_signatures(buckets: DataFrame, s: Settings) -> DataFrame:
 
     def compare(rows: pa.RecordBatch, block: np.ndarray, same: bool, forest: Forest, edges: list) -> None:
         order, meetings = _meetings(block, same)
-        ids = rows.column("rep").to_numpy()[order].tolist()
+        ids = rows.column("node").to_numpy()[order].tolist()
         short = _matrix(rows.column("short"), s.hashes, np.uint8)[order]
         for i, low in meetings:
             equal = np.count_nonzero(short[low:] == short[i], axis=1)
@@ -169,29 +169,29 @@ def close_signatures(buckets: DataFrame, s: Settings) -> DataFrame:
                 if forest.join(ids[i], ids[j]):
                     edges.append((ids[i], ids[j]))
 
-    return compare_groups(buckets, "bucket", ["rep", "short"], compare)
+    return compare_groups(buckets, "bucket", ["node", "short"], compare)
 
 
 def full_sets(documents: DataFrame, s: Settings) -> DataFrame:
-    """Signature and sorted distinct shingle hashes of each document, as bytes."""
-    keep = [c for c in documents.columns if c != "text"]
+    """doc_id, sequence key, signature and sorted distinct shingle hashes of each document, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.buffers(batch.column("text"))
             for low, high in W.slices(offsets):
                 n = high - low
-                text, h = shingles(W.split(data, offsets[low : high + 1], lower=True), s.shingle)
+                w = W.split(data, offsets[low : high + 1], lower=True)
+                text, h = shingles(w, s.shingle)
                 signature, _ = minima(text, h, n, s)
                 bounds = np.append(0, np.cumsum(np.bincount(text, minlength=n))).astype(np.int32) * 8
                 sets = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(h))])
+                keys = [pa.array(k.view(np.int64)) for k in W.sequence_keys(w)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(low, n) for c in keep), _fixed(signature.view(np.uint8).reshape(n, -1)), sets],
-                    names=[*keep, "signature", "shingles"],
+                    [batch.column("doc_id").slice(low, n), *keys, _fixed(signature.view(np.uint8).reshape(n, -1)), sets],
+                    names=["doc_id", "k1", "k2", "signature", "shingles"],
                 )
 
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
-    return documents.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", signature binary, shingles binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, signature binary, shingles binary")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -210,7 +210,7 @@ def true_links(families: DataFrame, s: Settings) -> DataFrame:
 
     def compare(rows: pa.RecordBatch, block: np.ndarray, same: bool, forest: Forest, edges: list) -> None:
         order, meetings = _meetings(block, same)
-        ids = rows.column("doc_id").to_numpy()[order].tolist()
+        ids = rows.column("node").to_numpy()[order].tolist()
         signatures = _matrix(rows.column("signature"), s.hashes, np.uint32)[order]
         packed = rows.column("shingles")
 
@@ -229,56 +229,105 @@ def true_links(families: DataFrame, s: Settings) -> DataFrame:
                         forest.join(ids[i], ids[j])
                         edges.append((ids[i], ids[j]))
 
-    return compare_groups(families, "family", ["doc_id", "signature", "shingles"], compare)
+    return compare_groups(families, "family", ["node", "signature", "shingles"], compare)
 
 
-def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+def _link(documents: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and of each class its (k1, k2), rep, component and the component's least doc_id.
 
-    1. One pass makes sketches. Documents with equal word sequences form a
-       class; its least doc_id represents it from here on.
-    2. Representatives that share a bucket are compared by signature, larger
-       buckets in pairs of blocks; what is close forms families.
+    1. One pass makes sketches. Rows with equal word sequences form a class,
+       which is a node from here on, with its least doc_id as ``rep``. Two
+       classes may have one rep, if rows repeat a doc_id.
+    2. Classes that share a bucket are compared by signature, larger buckets in
+       pairs of blocks; what is close forms families.
     3. Within families full shingle sets are compared; confirmed links give
-       the components, labelled with their least doc_id.
-
-    Null and empty texts, and texts without words, have n_shingles 0 and are
-    linked with nothing. Rows that repeat a doc_id are returned as often as
-    they come. A row with a null doc_id takes no part in links: its
-    component_id is null and it is kept. An empty table gives an empty result;
-    columns other than doc_id and text are not read.
+       the components.
     """
-    spark = documents.sparkSession
-    store = Store(spark, "near")
+    store = Store(documents.sparkSession, "near")
     sketches = store.put("sketches", sketch(documents, s))
     reps = store.put(
         "reps",
         sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("short").alias("short")),
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+        .withColumn("node", F.monotonically_increasing_id()),  # fixed by the written table
     )
-    spots = reps.select("rep", F.explode("bands").alias("bucket"))
+    spots = reps.select("node", F.explode("bands").alias("bucket"))
     shared = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = spots.join(shared, "bucket").join(reps.select("rep", "short"), "rep")
-    close = store.put("close", close_signatures(deal_blocks(met, "bucket", F.col("members"), "rep", 2 * s.block), s))
-    families = store.put("families", components(close, store, "family").withColumnsRenamed({"node": "doc_id", "component": "family"}))
+    met = spots.join(shared, "bucket").join(reps.select("node", "short"), "node")
+    close = store.put("close", close_signatures(deal_blocks(met, "bucket", F.col("members"), "node", 2 * s.block), s))
+    families = store.put("families", components(close, store, "family").withColumnRenamed("component", "family"))
     store.release()
 
-    volumes = reps.groupBy(F.col("rep").alias("doc_id")).agg((8 * F.max("n_shingles")).alias("volume"))
-    sizes = families.join(volumes, "doc_id").groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("volume").alias("volume"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(families, "doc_id").dropDuplicates(["doc_id"])
-    sets = full_sets(texts, s).join(sizes, "family")
-    links = store.put("links", true_links(deal_blocks(sets, "family", F.col("members"), "doc_id", s.block, F.col("volume"), s.block_bytes), s))
+    known = families.join(reps.select("node", "k1", "k2", "rep", (8 * F.col("n_shingles")).alias("volume")), "node")
+    sizes = known.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("volume").alias("total"))
+    listed = known.select("node", "k1", "k2", "rep", "family").join(sizes, "family")
+    # One row per rep and text; a text of the rep that is of another class goes at the second join.
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
+    texts = rows.join(listed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "h"])
+    sets = full_sets(texts, s).join(listed, ["k1", "k2"]).filter("doc_id = rep")
+    links = store.put("links", true_links(deal_blocks(sets, "family", F.col("members"), "node", s.block, F.col("total"), s.block_bytes), s))
     labels = store.put("labels", components(links, store, "component"))
     store.drop("close", "families")
     store.release()
 
-    classes = reps.select("k1", "k2", "rep").join(labels, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    least = labels.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))
+    named = labels.join(least, "component").select("node", "least")
+    own = F.struct("rep", "node")
+    classes = reps.join(named, "node", "left").select("k1", "k2", "rep", "node", F.coalesce("least", own).alias("least"))
+    return sketches, classes
+
+
+def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    Null and empty texts, and texts without words, have n_shingles 0 and are
+    linked with nothing. Rows that repeat a doc_id are returned as often as
+    they come, each with the least doc_id that its own text reaches. A row with
+    a null doc_id takes no part in links: its component_id is null and it is
+    kept. An empty table gives an empty result; columns other than doc_id and
+    text are not read.
+    """
+    sketches, classes = _link(documents, s)
     own = F.col("n_shingles") == 0
-    found = sketches.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2"], "left")
+    labels = classes.select("k1", "k2", F.col("least.rep").alias("component"))
+    found = sketches.select("doc_id", "k1", "k2", "n_shingles").join(labels, ["k1", "k2"], "left")
     return found.select(
         "doc_id",
         "n_shingles",
         F.when(own | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicate(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row of each group of near-duplicates, all columns: one of least doc_id.
+
+    Links are those of ``near_duplicates``. Of rows that repeat a doc_id in one
+    group one stays. Rows without words, whose doc_id or text is null, all stay.
+    """
+    names = documents.columns
+    _, classes = _link(documents, s)
+    kept = classes.filter("node = least.node").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("rep").alias("__rep"))
+    keyed = _with_keys(documents).join(kept, ["__k1", "__k2"], "left")
+    free = F.col("__free") | F.col("doc_id").isNull()
+    alone = keyed.filter(free)
+    first = keyed.filter(~free & (F.col("doc_id").cast("long") == F.col("__rep"))).dropDuplicates(["__k1", "__k2"])
+    return alone.unionAll(first).select(*(F.col(f"`{c}`") for c in names))
+
+
+def _with_keys(documents: DataFrame) -> DataFrame:
+    """All columns, the sequence key (__k1, __k2) and whether there are no words."""
+    names = documents.columns
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = W.buffers(batch.column("text"))
+            for low, high in W.slices(offsets):
+                w = W.split(data, offsets[low : high + 1], lower=True)
+                keys = [pa.array(k.view(np.int64)) for k in W.sequence_keys(w)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(low, high - low) for c in batch.columns), *keys, pa.array(np.diff(w.first) == 0)], names=[*names, "__k1", "__k2", "__free"]
+                )
+
+    return documents.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", __k1 long, __k2 long, __free boolean")
