@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,19 +22,21 @@ class Settings:
 
     Centroids and codebooks are fitted on at most ``sample`` vectors drawn by a
     hash of their id; every vector is indexed. There are about ``lists_per_root``
-    times the root of the number of vectors lists. A query opens the share
-    ``probe`` of them, ``least_lists`` at least, and more until they hold that
-    share of the vectors and k candidates. It ranks the best ``rerank`` of each
-    block, and all that tie with the last, by their true cosine; ``block`` rows
-    of a list are searched in one task. The share is wide because vectors without clusters need it:
-    0.35 finds 84 of 100 true neighbours among 10,000 such vectors, 0.7 finds 97.
+    times the root of the number of vectors lists. How many of them a query
+    opens is measured, not set: as many, nearest first, as hold the share
+    ``recall`` of the true neighbours of ``asked`` sample vectors in the sample,
+    ``least_lists`` at least, and more until they hold k candidates. Vectors in
+    clusters need few lists, vectors without need most. A query ranks the best
+    ``rerank`` of each block, and all that tie with the last, by their true
+    cosine; ``block`` rows of a list meet as many queries in one task.
     """
 
     sample: int = 20_000
     lists_per_root: float = 0.5
     most_lists: int = 4096
-    probe: float = 0.7
-    least_lists: int = 16
+    recall: float = 0.97
+    asked: int = 500
+    least_lists: int = 4
     parts: int = 16
     codes: int = 64
     rerank: int = 32
@@ -43,21 +45,40 @@ class Settings:
     seed: int = 5
 
 
+#: Entries of a matrix of distances that is held at once.
+CELLS = 1 << 22
+
+
+def _distances(x: np.ndarray, centre: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, squared distances less the row's own square) of slices of x."""
+    square = (centre * centre).sum(axis=1)
+    step = max(1, CELLS // len(centre))
+    for low in range(0, len(x), step):
+        yield low, square - 2 * x[low : low + step] @ centre.T
+
+
+def _nearest(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and the distance less the row's own square."""
+    near, distance = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for low, d in _distances(x, centre):
+        at = d.argmin(axis=1)
+        near[low : low + len(d)], distance[low : low + len(d)] = at, d[np.arange(len(d)), at]
+    return near, distance
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Centroids by Lloyd's rounds; an empty cluster restarts at a far vector."""
     k = max(1, min(k, len(x)))
     centre = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        distance = (centre**2).sum(1)[None, :] - 2 * x @ centre.T
-        near = distance.argmin(1)
+        near, distance = _nearest(x, centre)
         total = np.zeros_like(centre)
         np.add.at(total, near, x)
         n = np.bincount(near, minlength=k)
         full = n > 0
         centre[full] = total[full] / n[full, None]
         if not full.all():
-            far = np.argsort(-(distance[np.arange(len(x)), near]), kind="stable")[: int((~full).sum())]
-            centre[~full] = x[far]
+            centre[~full] = x[np.argsort(-distance, kind="stable")[: int((~full).sum())]]
     return centre
 
 
@@ -70,18 +91,18 @@ class Index:
     bounds: list[int]
 
     def place(self, x: np.ndarray) -> np.ndarray:
-        return ((self.centroids**2).sum(1)[None, :] - 2 * x @ self.centroids.T).argmin(1)
+        return _nearest(x, self.centroids)[0]
 
-    def nearest_lists(self, x: np.ndarray, n: int) -> np.ndarray:
-        distance = (self.centroids**2).sum(1)[None, :] - 2 * x @ self.centroids.T
-        return np.argsort(distance, axis=1, kind="stable")[:, :n]
+    def by_distance(self, x: np.ndarray) -> np.ndarray:
+        """All lists of each row, nearest first."""
+        return np.concatenate([np.argsort(d, axis=1, kind="stable") for _, d in _distances(x, self.centroids)])
 
     def encode(self, x: np.ndarray, place: np.ndarray) -> np.ndarray:
         rest = x - self.centroids[place]
         out = np.empty((len(x), len(self.books)), np.uint8)
         for i, book in enumerate(self.books):
             part = rest[:, self.bounds[i] : self.bounds[i + 1]]
-            out[:, i] = ((book**2).sum(1)[None, :] - 2 * part @ book.T).argmin(1)
+            out[:, i] = _nearest(part, book)[0]
         return out
 
     def distances(self, query: np.ndarray, place: int, codes: np.ndarray) -> np.ndarray:
@@ -100,13 +121,33 @@ def fit(x: np.ndarray, n: int, s: Settings) -> Index:
     k = max(1, min(s.most_lists, round(s.lists_per_root * math.sqrt(n))))
     centroids = kmeans(x, k, s.rounds, rng)
     bounds = np.linspace(0, x.shape[1], min(s.parts, x.shape[1]) + 1).astype(int).tolist()
-    rest = x - centroids[((centroids**2).sum(1)[None, :] - 2 * x @ centroids.T).argmin(1)]
+    rest = x - centroids[_nearest(x, centroids)[0]]
     books = [kmeans(rest[:, a:b], s.codes, s.rounds, rng) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return Index(centroids, books, bounds)
 
 
+def lists_to_open(x: np.ndarray, index: Index, k: int, s: Settings) -> int:
+    """How many lists hold the wanted share of the k true neighbours of sample vectors."""
+    if len(x) < 2:
+        return 1
+    asked = np.arange(0, len(x), max(1, len(x) // s.asked))
+    place, k, ranks = index.place(x), min(k, len(x) - 1), []
+    for low in range(0, len(asked), 100):
+        rows = asked[low : low + 100]
+        score = x[rows] @ x.T
+        score[np.arange(len(rows)), rows] = -np.inf
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        order = index.by_distance(x[rows])
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+        ranks.append(np.take_along_axis(rank, place[near], axis=1).ravel())
+    return int(np.quantile(np.concatenate(ranks), s.recall, method="higher")) + 1
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    """Rows of length one; each is scaled by its largest component first, so that no square is out of range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -157,9 +198,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
     must have one length; those of another length than the most common are left
     out, too. Rows that repeat an id are one vector. Equal cosines go to the
     smaller id. Equal vectors are indexed once, with their k + 1 smallest ids.
-    Lists are opened until they hold the wanted share of all distinct vectors
-    and k candidates, so only a table with fewer gives a query fewer rows. An
-    empty table, or one without queries, gives an empty result.
+    Lists are opened until they hold k candidates at least, so only a table
+    with fewer gives a query fewer rows. An empty table, or one without
+    queries, gives an empty result.
     """
     spark = vectors.sparkSession
     store = Store(spark, "ann")
@@ -173,7 +214,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
     n = distinct.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(s.seed), F.col("id")), 11).cast("double") / F.lit(float(1 << 53))
     chosen = distinct.filter(draw < min(1.0, s.sample / n)).orderBy(F.xxhash64(F.lit(s.seed), F.col("id")), "id").limit(s.sample).toArrow()
-    index = fit(unit(_matrix(chosen.column("v").combine_chunks())), n, s)
+    x = unit(_matrix(chosen.column("v").combine_chunks()))
+    index = fit(x, n, s)
+    opened = min(len(index.centroids), max(s.least_lists, lists_to_open(x, index, k, s)))
     sent = spark.sparkContext.broadcast(index)  # at most most_lists + codes rows of one vector's width
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,29 +233,36 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
             )
 
     listed = store.put("lists", distinct.mapInArrow(assign, "id long, v array<double>, ids array<long>, list int, codes binary"))
-    counted = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids"))
-    sizes = counted.select("list", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"))
-    held = np.zeros((2, len(index.centroids)), np.int64)
-    for r in counted.collect():  # at most most_lists rows
-        held[:, r["list"]] = r["n"], r["ids"]
-    opened = min(len(index.centroids), max(s.least_lists, math.ceil(s.probe * len(index.centroids))))
+    held = np.zeros((3, len(index.centroids)), np.int64)  # vectors, ids and queries of each list
+    for r in listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids")).collect():  # at most most_lists rows
+        held[:2, r["list"]] = r["n"], r["ids"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = made.nearest_lists(unit(_matrix(batch.column("v"))), len(made.centroids))
-            lists = open_lists(order, held[0], held[1], opened, s.probe, k)
+            order = made.by_distance(unit(_matrix(batch.column("v"))))
+            lists = open_lists(order, held[0], held[1], opened, 0.0, k)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("v"), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=["id", "v", "lists"]
             )
 
-    block = F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.col("blocks")).cast("int")
-    stored = listed.join(F.broadcast(sizes), "list").select("list", block.alias("block"), "v", "ids", "codes")
-    asked = rows.filter(is_query).mapInArrow(probe, "id long, v array<double>, lists array<int>")
-    asked = asked.select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
+    asked = store.put("asked", rows.filter(is_query).mapInArrow(probe, "id long, v array<double>, lists array<int>"))
+    for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # at most most_lists rows
+        held[2, r["list"]] = r["count"]
+    cuts = np.maximum(1, -(-held[[0, 2]] // s.block))
+    sizes = F.broadcast(spark.createDataFrame([(i, *c) for i, c in enumerate(cuts.T.tolist())], "list int, blocks int, parts int"))
+
+    def cut(name: str, others: str) -> tuple[Column, Column]:
+        """A row's own block by its id, and every block of the other side that it meets."""
+        return F.pmod(F.xxhash64(F.lit(name), F.col("id")), F.col(name)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+
+    mine, all_parts = cut("blocks", "parts")
+    stored = listed.join(sizes, "list").select("list", mine.alias("block"), all_parts.alias("part"), "v", "ids", "codes")
+    own, all_blocks = cut("parts", "blocks")
+    asked = asked.select("id", "v", F.explode("lists").alias("list")).join(sizes, "list")
+    asked = asked.select("list", all_blocks.alias("block"), own.alias("part"), "id", "v")
 
     def meet(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         made, place = sent.value, int(key_[0])
@@ -221,24 +271,23 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
             ids = np.concatenate(right["ids"].to_list())
             copies = right["ids"].map(len).to_numpy()
             first = np.cumsum(copies) - copies
-            x = np.stack(right["v"].to_list())
-            norms = np.sqrt((x * x).sum(1))
+            x = unit(np.stack(right["v"].to_list()))
             codes = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1)
-            for query, q in zip(left["id"].tolist(), left["v"], strict=True):
-                length = float(np.sqrt((q * q).sum()))
-                near = made.distances(q / length, place, codes)
+            for query, q in zip(left["id"].tolist(), unit(np.stack(left["v"].to_list())), strict=True):
+                near = made.distances(q, place, codes)
                 # One more than k, as the query's own vector may be among them.
                 take = candidates(near, max(s.rerank, k + 1))
                 each = np.repeat(take, copies[take])
                 inside = np.arange(len(each)) - np.repeat(np.cumsum(copies[take]) - copies[take], copies[take])
                 found = ids[first[each] + inside]
-                score = np.repeat(x[take] @ q / (norms[take] * length), copies[take])
+                score = np.repeat(np.clip(x[take] @ q, -1.0, 1.0), copies[take])
                 found, score = found[found != query], score[found != query]
                 best = np.lexsort((found, -score))[:k]
                 out.extend(zip([query] * len(best), found[best].tolist(), score[best].tolist(), strict=True))
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
-    pairs = asked.groupBy("list", "block").cogroup(stored.groupBy("list", "block")).applyInPandas(meet, "query_id long, id long, score double")
+    keys = ("list", "block", "part")
+    pairs = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(meet, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
