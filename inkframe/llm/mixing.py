@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,70 +24,89 @@ AXES = ("source", "language", "topic")
 class Settings:
     """Targets of the mixture.
 
-    A marginal's target share is its share of the tokens to a power, scaled to
-    sum to one: 1 keeps the corpus's shares, 0 makes them equal. The sample has
-    ``fraction`` of all tokens in expectation. Every source and language has a
-    margin of its own. Who wants less sets ``sources`` or ``languages``: then all
-    but the largest so many are one margin together.
+    ``source_targets``, ``language_targets`` and ``topic_targets`` are weights
+    by name; a name without one has weight 0 and is left out. Without them a
+    marginal's target share is its share of the tokens to a power: 1 keeps the
+    corpus's shares, 0 makes them equal. Weights are scaled to sum to one. The
+    sample has ``fraction`` of all tokens in expectation. Every source and
+    language has a margin of its own. Who wants less sets ``sources`` or
+    ``languages``: then all but the largest so many are one margin together.
     """
 
     fraction: float = 0.6
     source_power: float = 0.7
     language_power: float = 0.7
     topic_power: float = 0.5
+    source_targets: Mapping[str, float] | None = None
+    language_targets: Mapping[str, float] | None = None
+    topic_targets: Mapping[int, float] | None = None
     sources: int | None = None
     languages: int | None = None
     topics: int = 16
     topic_word_bytes: int = 7
     seed: int = 7
-    tolerance: float = 1e-10
-    rounds: int = 500
+    tolerance: float = 1e-9
+    rounds: int = 100
+
+
+def attainable(goal: np.ndarray, held: np.ndarray, wanted: float) -> np.ndarray:
+    """Tokens per slice in proportion to ``goal``, ``wanted`` in all; a slice that holds fewer gives all it has."""
+    out = np.zeros(len(goal))
+    full = (goal <= 0) | (held <= 0)
+    while True:
+        free = ~full
+        rest = wanted - float(out[full].sum())
+        if not free.any() or rest <= 0:
+            return out
+        share = goal[free] / goal[free].sum() * rest
+        out[free] = np.minimum(share, held[free])
+        short = share > held[free]
+        if not short.any():
+            return out
+        full[np.flatnonzero(free)[short]] = True
 
 
 def rake(mass: np.ndarray, targets: list[np.ndarray], tolerance: float, rounds: int) -> np.ndarray:
-    """Scale a table until its marginals are the targets; empty cells stay empty.
+    """Tokens to draw from each cell of ``mass``, no more than it has, so that the marginals are ``targets``.
 
-    ``mass`` has one axis per target. Targets of empty slices are given to the
-    others in proportion. Returns a table that sums to one.
+    Iterative proportional fitting with a bound: axis by axis, each slice is
+    scaled until it has its target while its full cells stay full. ``mass`` has
+    one axis per target. This is the whole table at once, as ``plan_mixture``
+    does it by parts.
     """
-    if not mass.sum():
-        return np.zeros_like(mass, dtype=float)
-    table = mass / mass.sum()
-    goals = []
-    for axis, target in enumerate(targets):
-        others = tuple(a for a in range(mass.ndim) if a != axis)
-        goal = np.where(mass.sum(axis=others) > 0, target, 0.0)
-        goals.append((others, goal / goal.sum()))
+    ratio = np.ones_like(mass, dtype=float)
     for _ in range(rounds):
         worst = 0.0
-        for axis, (others, goal) in enumerate(goals):
-            now = table.sum(axis=others)
-            factor = np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)
-            worst = max(worst, float(np.abs(now - goal).max()))
-            shape = [1] * mass.ndim
-            shape[axis] = -1
-            table = table * factor.reshape(shape)
-        if worst < tolerance:
+        for axis, goal in enumerate(targets):
+            rows = np.moveaxis(ratio, axis, 0).reshape(len(goal), -1)
+            held = np.moveaxis(mass, axis, 0).reshape(len(goal), -1)
+            worst = max(worst, float(np.abs(np.minimum(held, held * rows).sum(axis=1) - goal).max()))
+            row = np.repeat(np.arange(len(goal)), held.shape[1])
+            factor = fill(held.ravel(), rows.ravel(), row, goal)
+            ratio = ratio * factor.reshape([-1 if a == axis else 1 for a in range(mass.ndim)])
+        if worst <= tolerance * float(mass.sum()):
             break
-    return table
-
-
-def calibrate(tokens: np.ndarray, share: np.ndarray, fraction: float) -> np.ndarray:
-    """Probability of each cell, min(1, c * share / tokens), so that the expected sample is ``fraction`` of all tokens."""
-    ratio = np.divide(share, tokens, out=np.zeros_like(share), where=tokens > 0)
-    wanted = fraction * float(tokens.sum())
-    if not wanted or not ratio.max():
-        return np.zeros_like(ratio)
-    if fraction >= 1:
-        return (tokens > 0).astype(float)
-    low, high = 0.0, 1.0 / ratio[ratio > 0].min()
-    for _ in range(200):
-        middle = (low + high) / 2
-        if float((tokens * np.minimum(1.0, middle * ratio)).sum()) < wanted:
-            low = middle
-        else:
-            high = middle
-    return np.minimum(1.0, high * ratio)
+    return mass * np.minimum(1.0, ratio)
+
+
+def step(goal: np.ndarray, full: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Factor of each slice toward its goal, given what its full and its other cells hold. Slices that are all full keep 1."""
+    rest = np.maximum(goal - full, 0.0)
+    down = np.divide(goal, full + free, out=np.ones(len(goal)), where=full + free > 0)
+    return np.where(free > 0, np.where(rest > 0, np.divide(rest, free, out=np.ones(len(goal)), where=free > 0), down), np.where(goal < full, down, 1.0))
+
+
+def fill(mass: np.ndarray, ratio: np.ndarray, row: np.ndarray, goal: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Factor of each row so that its cells, min(mass, mass x factor x ratio), sum to its goal: Newton's steps on a concave sum."""
+    factor = np.ones(len(goal))
+    for _ in range(rounds):
+        now = ratio * factor[row]
+        over = now >= 1
+        change = step(goal, np.bincount(row, mass * over, len(goal)), np.bincount(row, mass * now * ~over, len(goal)))
+        factor = factor * change
+        if np.abs(change - 1).max(initial=0.0) < 1e-12:
+            break
+    return factor
 
 
 def topics_and_sizes(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +158,7 @@ def _largest(labelled: DataFrame, column: str, n: int | None) -> list[str] | Non
 
 @dataclass(frozen=True)
 class Plan:
-    """The raked cells: (__s, __l, __topic, __cell_tokens, __weight, __probability)."""
+    """The raked cells: (__s, __l, __topic, __cell_tokens, tokens to draw as __weight, __probability)."""
 
     sources: list[str] | None
     languages: list[str] | None
@@ -157,13 +176,11 @@ def _flat(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.
     return columns["goal"].to_numpy(zero_copy_only=False), np.repeat(np.arange(len(counts)), counts), *cells
 
 
-def _ratios(batch: pa.RecordBatch | pa.Table, by_language: np.ndarray, by_topic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Language, topic, tokens and raked share a token of each cell; sources, whole here, meet their goals."""
+def _drawn(batch: pa.RecordBatch | pa.Table, by_language: np.ndarray, by_topic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, topic, tokens and drawn share of each cell, which may pass 1; sources, whole here, meet their goals."""
     goal, row, l, t, m = _flat(batch)
     ratio = by_language[l] * by_topic[t]
-    now = np.bincount(row, m * ratio, len(goal))
-    factor = np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)
-    return l, t, m, ratio * factor[row]
+    return l, t, m, ratio * fill(m, ratio, row, goal)[row]
 
 
 def _sums(packed: DataFrame, local: pa.Table | None, size: int, of: Callable[[pa.RecordBatch | pa.Table], np.ndarray]) -> np.ndarray:
@@ -184,17 +201,45 @@ def _sums(packed: DataFrame, local: pa.Table | None, size: int, of: Callable[[pa
     return out
 
 
-def _goals(total: np.ndarray, power: float) -> np.ndarray:
-    raised = np.where(total > 0, total, 1.0) ** power * (total > 0)
-    return raised / raised.sum()
+def _weights(names: list, held: np.ndarray, targets: Mapping | None, power: float) -> np.ndarray:
+    """Wanted weight of each name."""
+    if targets is not None:
+        return np.array([float(targets.get(n, 0.0)) for n in names])
+    return np.where(held > 0, held, 1.0) ** power * (held > 0)
+
+
+def _source_goals(packed: DataFrame, s: Settings, wanted: float) -> DataFrame:
+    """Column ``goal`` of each source's row: ``attainable`` by sums, for any number of sources."""
+    if s.source_targets is None:
+        weight = F.when(F.col("total") > 0, F.pow("total", F.lit(s.source_power))).otherwise(F.lit(0.0))
+    else:
+        listed = packed.sparkSession.createDataFrame([(k or "", float(v)) for k, v in s.source_targets.items()] or [("", 0.0)], "s string, w double")
+        packed = packed.join(listed.groupBy("s").agg(F.sum("w").alias("w")), "s", "left")
+        weight = F.coalesce("w", F.lit(0.0))
+    weighed = packed.withColumn("weight", weight)
+    # A source is full once scale x weight passes what it has; the scale grows
+    # with each step until no further source fills.
+    scale = 0.0
+    for _ in range(100):
+        over = F.col("weight") * F.lit(scale) >= F.col("total")
+        live = F.col("weight") > 0
+        full, free = weighed.agg(F.sum(F.when(live & over, F.col("total"))), F.sum(F.when(live & ~over, F.col("weight")))).first()
+        fresh = (wanted - (full or 0.0)) / free if free and wanted > (full or 0.0) else scale
+        if fresh <= scale * (1 + 1e-15):
+            break
+        scale = fresh
+    return weighed.withColumn("goal", F.least(F.col("weight") * F.lit(scale), F.col("total"))).drop("weight", "w", "total")
 
 
 def plan_mixture(labelled: DataFrame, s: Settings) -> Plan:
     """Rake the token sums of all of ``labelled(source, lang, __topic, __tokens)``.
 
-    A source's cells are one row. A round scales each source to its goal where
-    its row is and sums languages x topics, which the driver scales; it holds
-    a factor per language and topic and never one per source.
+    A cell gives no more tokens than it has, and the marginals of what is drawn
+    are the targets; where a slice holds less than its target it gives all, and
+    the others share the rest. A source's cells are one row. A round scales
+    each source to its goal where its row is and sums languages x topics, which
+    the driver scales; it holds a factor per language and topic and never one
+    per source.
     """
     spark = labelled.sparkSession
     store = Store(spark, "cells")
@@ -208,58 +253,44 @@ def plan_mixture(labelled: DataFrame, s: Settings) -> Plan:
     for r in pairs:
         mass[number[r["l"]], r["t"] + 1] = r["tokens"]
     whole, small = float(mass.sum()), sum(r["n"] for r in pairs) <= LOCAL_CELLS
+    wanted = min(1.0, s.fraction) * whole
     numbered = spark.createDataFrame(list(number.items()), "l string, li int")
     one = F.struct(F.col("li").alias("l"), (F.col("t") + 1).alias("t"), F.col("tokens").alias("m"))
     rows = cells.join(F.broadcast(numbered), "l").groupBy("s").agg(F.sort_array(F.collect_list(one)).alias("c"), F.sum("tokens").cast("double").alias("total"))
-    raised = F.when(F.col("total") > 0, F.pow("total", F.lit(s.source_power))).otherwise(F.lit(0.0))
-    rows = rows.select("s", raised.alias("goal"), "c.l", "c.t", F.transform("c.m", lambda m: m.cast("double")).alias("m"))
-    packed = store.put("packed", rows)
-    scale = packed.agg(F.sum("goal")).first()[0] or 1.0
-    packed = packed.withColumn("goal", F.col("goal") / F.lit(scale))
+    rows = rows.select("s", "total", "c.l", "c.t", F.transform("c.m", lambda m: m.cast("double")).alias("m"))
+    packed = store.put("packed", _source_goals(store.put("sources", rows), s, wanted))
     by_language, by_topic = np.ones(len(names)), np.ones(s.topics + 1)
-    limit = 0.0
     if whole:
         local = packed.toArrow().sort_by("s") if small else None
-        goals = _goals(mass.sum(axis=1), s.language_power), _goals(mass.sum(axis=0), s.topic_power)
-        shape = mass.shape
+        targets = (names, s.language_targets, s.language_power), (list(range(-1, s.topics)), s.topic_targets, s.topic_power)
+        goals = [attainable(_weights(n, held, t, p), held, wanted) for (n, t, p), held in zip(targets, (mass.sum(axis=1), mass.sum(axis=0)), strict=True)]
 
         def margins(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-            l, t, m, ratio = _ratios(batch, by_language, by_topic)
-            return np.bincount(l.astype(np.int64) * shape[1] + t, m * ratio, shape[0] * shape[1])
-
-        for _ in range(s.rounds):
-            now = _sums(packed, local, mass.size, margins).reshape(shape)
-            if max(np.abs(now.sum(axis=1) - goals[0]).max(), np.abs(now.sum(axis=0) - goals[1]).max()) < s.tolerance:
-                break
-            factor = np.divide(goals[0], now.sum(axis=1), out=np.zeros(shape[0]), where=now.sum(axis=1) > 0)
-            by_language, now = by_language * factor, now * factor[:, None]
-            by_topic = by_topic * np.divide(goals[1], now.sum(axis=0), out=np.zeros(shape[1]), where=now.sum(axis=0) > 0)
-
-        # The limit at which min(1, limit x ratio) of the tokens is the wanted sum: from
-        # below, each step takes the cells that are full as such, until none is new.
-        full, limit = -1.0, s.fraction * whole
-        while s.fraction < 1:
-
-            def filled(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-                _, _, m, ratio = _ratios(batch, by_language, by_topic)
-                over = limit * ratio >= 1
-                return np.array([m[over].sum(), (m * ratio)[~over].sum()])
-
-            over, under = _sums(packed, local, 2, filled).tolist()
-            if over <= full or not under:
+            """What full cells and what the others give, by language and topic."""
+            l, t, m, ratio = _drawn(batch, by_language, by_topic)
+            over = ratio >= 1
+            spot = l.astype(np.int64) * mass.shape[1] + t
+            return np.concatenate([np.bincount(spot, x, mass.size) for x in (m * over, m * ratio * ~over)])
+
+        for i in range(2 * s.rounds):
+            now = _sums(packed, local, 2 * mass.size, margins).reshape(2, *mass.shape)
+            sums = [now.sum(axis=2), now.sum(axis=1)]
+            if max(float(np.abs(x.sum(axis=0) - g).max()) for x, g in zip(sums, goals, strict=True)) <= s.tolerance * whole:
                 break
-            full, limit = over, (s.fraction * whole - over) / under
+            if i % 2:
+                by_topic = by_topic * step(goals[1], *sums[1])
+            else:
+                by_language = by_language * step(goals[0], *sums[0])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            l, t, m, ratio = _ratios(batch, by_language, by_topic)
-            odds = np.where(m > 0, 1.0 if s.fraction >= 1 else np.minimum(1.0, limit * ratio), 0.0)
-            weight = np.where(m > 0, ratio * whole, 0.0)
+            l, t, m, ratio = _drawn(batch, by_language, by_topic)
+            odds = np.where(m > 0, np.minimum(1.0, ratio), 0.0)
             name = batch.column("s").take(pa.array(_flat(batch)[1]))
             yield pa.RecordBatch.from_arrays(
-                [name, pa.array(l, pa.int32()), pa.array(t - 1, pa.int32()), pa.array(m.astype(np.int64)), pa.array(weight), pa.array(odds)],
+                [name, pa.array(l, pa.int32()), pa.array(t - 1, pa.int32()), pa.array(m.astype(np.int64)), pa.array(m * odds), pa.array(odds)],
                 names=["__s", "__l", "__t", "__cell_tokens", "__weight", "__probability"],
             )
 
