@@ -229,6 +229,16 @@ def test_near_duplicates_edge_cases(spark, empty, clashing, awkward):
     assert sorted((r["component_id"] is None, r["kept"]) for r in nulls) == [(False, True), (True, True)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    c, d = " ".join(f"c{i}" for i in range(60)), " ".join(f"d{i}" for i in range(60))
+    rows = [(5, c, 1), (5, d, 2), (6, c + " t", 3), (7, d + " t", 4), (5, d, 5), (8, d, 6), (None, d, 7), (9, None, 8), (9, "", 9), (None, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 int")
+    got = [(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()]
+    assert Counter(got) == Counter([(5, 5), (5, 5), (6, 5), (7, 5), (5, 5), (8, 5), (None, None), (9, 9), (9, 9), (None, None)])
+    kept = {r["k1"] for r in minhash.deduplicate(docs).collect()}
+    assert kept in ({1, 2, 7, 8, 9, 10}, {1, 5, 7, 8, 9, 10})
+
+
 # ---- 3 byte-level BPE --------------------------------------------------------------------
 
 
@@ -303,8 +313,36 @@ def test_substring_edge_cases(spark, empty, clashing, awkward):
 
 
 def test_factors_meet_at_boundaries():
-    factors = substring.factorize(np.array([0, 1, 2, 3, 9]), np.array([5, 5, 7, 7, 7]), 13)
-    assert [(f.start, f.stop, f.source) for f in factors] == [(0, 14, 5), (2, 16, 7), (9, 22, 7)]
+    columns = [(0, 2, 5, 1, 40), (2, 1, 5, 1, 42), (3, 1, 7, 1, 8), (4, 2, 7, 1, 9), (6, 1, 7, 1, 50), (7, 1, 7, 2, 51), (20, 1, 7, 2, 52)]
+    factors = substring.factorize(*(np.array(c) for c in zip(*columns, strict=True)), 13)
+    assert [(f.start, f.stop, f.source, f.source_start) for f in factors] == [(0, 15, 5, 40), (3, 18, 7, 8), (6, 19, 7, 50), (7, 20, 7, 51), (20, 33, 7, 52)]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 10_000])
+def test_factors_are_passages_of_their_source(spark, small, monkeypatch, hot):
+    docs = table(spark, small)
+    got = by_id(substring.duplicate_spans(docs, substring.Settings(hot=hot, runs=500)))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == cut(texts_of(docs))
+    split = {i: WORD.findall(t or "") for i, t in texts_of(docs).items()}
+    factors = [(i, f) for i, r in got.items() for f in r["spans"]]
+    assert len(factors) > 20
+    for i, f in factors:
+        n = f["stop"] - f["start"]
+        assert split[i][f["start"] : f["stop"]] == split[f["source"]][f["source_start"] : f["source_start"] + n]
+
+
+def test_greedy_factors_end_where_the_reference_does(spark):
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*a[:20], *b[5:25], "x", *a]))], "doc_id long, text string")
+    spans = by_id(substring.duplicate_spans(docs))[3]["spans"]
+    assert [(f["start"], f["stop"], f["source"], f["source_start"]) for f in spans] == [(0, 20, 1, 0), (20, 40, 2, 5), (41, 71, 1, 0)]
+
+
+def test_rows_of_one_doc_id_are_cut_by_their_own_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, a, 1), (2, "x y z " + a, 2), (2, b, 3), (None, a, 4)], "doc_id long, text string, tie int")
+    got = {r["tie"]: (r["doc_id"], r["n_removed"]) for r in substring.duplicate_spans(docs, keep=("doc_id", "tie")).collect()}
+    assert got == {1: (1, 0), 2: (2, 30), 3: (2, 0), 4: (None, 0)}
 
 
 # ---- 5 nearest neighbours ----------------------------------------------------------------------
@@ -368,6 +406,35 @@ def test_nearest_neighbours_among_copies(spark):
     assert near_hits / near >= 0.9
 
 
+def test_equal_and_extreme_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(600)] + [(600 + i, rng.normal(size=3).tolist()) for i in range(400)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id = 50")
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [1.0, 0.0]), (4, [-5e-324, 0.0]), (5, [1.0, 1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2, 3, 1, 4]
+    assert [r["score"] for r in got] == pytest.approx([1.0, 1.0, 0.5**0.5, -1.0], abs=1e-15)
+
+
+def test_clustered_vectors_need_few_lists(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(60, 24)) * 5
+    x = ann.unit(np.repeat(centre, 60, axis=0) + rng.normal(size=(3600, 24)))
+    index = ann.fit(x, len(x), ann.Settings(lists_per_root=1.0))
+    assert ann.lists_to_open(x, index, 5, ann.Settings()) <= 6
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = {}
+    for r in ann.search(rows.withColumn("rank", F.lit(1)).withColumn("list", F.lit("x")), "id % 50 = 0", s=ann.Settings(block=20)).collect():
+        near.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in near:
+        score = x @ x[q]
+        score[q] = -9
+        hits += len(near[q] & set(np.argsort(-score, kind="stable")[:5].tolist()))
+    assert len(near) == 72 and hits >= 0.9 * 5 * len(near)
+
+
 def test_lists_are_opened_until_they_hold_enough():
     order = np.array([[0, 1, 2, 3], [3, 2, 1, 0]])
     rows = np.array([1, 1, 2, 6])
@@ -511,8 +578,24 @@ def test_cascade_is_exact(spark):
     assert len(cascade.levels) > 2
     assert universe.filter(cascade.lists(F.col("key")) != F.col("listed")).count() == 0
     assert urlfilter.build_cascade(universe.filter("NOT listed"), "key", "listed").levels == ()
-    with pytest.raises(ValueError):
-        urlfilter.build_level(universe, "key", 10**9, 0, 0.5)
+    cut = urlfilter.build_cascade(universe, "key", "listed", range_bits=1 << 16)
+    assert cut.levels[0].ranges > 1
+    assert universe.filter(cut.lists(F.col("key")) != F.col("listed")).count() == 0
+    assert urlfilter.build_cascade(universe, "key", "listed", max_bits=1000) is None
+
+
+def test_large_lists_are_joined(spark, small):
+    pages = table(spark, small, "pages")
+    listed = F.substring(F.md5("host"), 1, 1) == "7"
+    found = [{r["page_id"]: r["verdict"] for r in urlfilter.filter_pages(pages, listed, max_bits=n).collect()} for n in (urlfilter.MAX_BITS, 1)]
+    assert found[0] == found[1]
+
+
+def test_long_and_odd_urls(spark):
+    long_path = "/es/" + "p" * 300_000
+    rows = [(1, "https://a.example.org" + long_path), (2, "http://" + "h" * 100_000 + ".com/fr/x"), (3, None), (4, ""), (5, "http://"), (5, "http://")]
+    got = [(r["page_id"], len(r["host"]), len(r["path"]), r["rule"]) for r in urlfilter.filter_pages(spark.createDataFrame(rows, "page_id long, url string"), F.lit(None).cast("boolean")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 13, len(long_path), "example.org/es/"), (2, 100_004, 5, "com/fr/"), (3, 0, 0, None), (4, 0, 0, None), (5, 0, 0, None), (5, 0, 0, None)], key=str)
 
 
 # ---- 9 token files ---------------------------------------------------------------------------------------------
@@ -553,11 +636,11 @@ def test_damage_is_noticed():
 
     frames = [zstandard.ZstdCompressor(write_checksum=True).compress(bytes([i] * 8)) for i in range(3)]
     entries = [(len(f), 8, tokenfile._check(bytes([i] * 8))) for i, f in enumerate(frames)]
-    good = tokenfile.seal([4, None, 6], frames, entries) + tokenfile.TRAILER.encode()
+    good = tokenfile.seal([4, None, 6], frames, entries)
     opened = tokenfile.TokenFile.open(good)
     assert opened.names == [4, None, 6] and opened.raw(2) == bytes([2] * 8)
     entries[1] = (len(frames[1]), 8, 1)
-    bad = tokenfile.TokenFile.open(tokenfile.seal([4, None, 6], frames, entries) + tokenfile.TRAILER.encode())
+    bad = tokenfile.TokenFile.open(tokenfile.seal([4, None, 6], frames, entries))
     with pytest.raises(ValueError):
         bad.raw(1)
     with pytest.raises(ValueError):
@@ -576,10 +659,58 @@ def test_encoder_with_wide_spaces():
     made = tokenfile.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     for space in "\u00a0\u3000\u0085\u2028\x1c":
         group = ["alpha", space, f"beta{space}gamma", "delta"]
-        made.known.clear()
         made._learn([w.encode() for w in group])
         for w in group:
-            assert np.frombuffer(made.known[w.encode()], "<u4").tolist() == made.whole.encode(w, add_special_tokens=False).ids
+            assert np.frombuffer(made.words.young[w.encode()], "<u4").tolist() == made.whole.encode(w, add_special_tokens=False).ids
+
+
+def test_encoder_on_many_characters():
+    made = tokenfile.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    pool = "ab'streLL'd09.,!?<|>&ÉéßÅåİıÑñŒſÆæ\u0301\u030aΣςЖ日1٣ǅẞ½²\u00ad\u200b"
+    words_ = ["".join(rng.choices(pool, k=rng.randrange(1, 14))) for _ in range(6000)] + ["<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|>"]
+    found = made.encode([w.encode() for w in words_])
+    for w, ids in zip(words_, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == made.whole.encode(w, add_special_tokens=False).ids, w
+
+
+def test_files_follow_the_public_format(spark, awkward, tmp_path):
+    """The seek table is last, its entries cover every frame before it, and a plain reader skips it."""
+    import struct
+
+    import zstandard
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenfile.write_tokens(awkward, f"file://{tmp_path}/files", path)
+    ids = sorted(i for i, _ in AWKWARD)
+    made, listed = tokenfile.Encoder(path), dict(AWKWARD)
+    plain = b""
+    for file in sorted((tmp_path / "files").glob("part-*")):
+        content = file.read_bytes()
+        n, flags, magic = struct.unpack("<IBI", content[-9:])
+        assert (flags, magic) == (0x80, 0x8F92EAB1)
+        head = len(content) - 9 - 12 * n - 8
+        assert struct.unpack("<II", content[head : head + 8]) == (0x184D2A5E, 12 * n + 9)
+        packed = [struct.unpack_from("<III", content, head + 8 + 12 * k) for k in range(n)]
+        assert sum(p[0] for p in packed) == head
+        text = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).read()
+        assert len(text) == sum(p[1] for p in packed)
+        plain += text
+    want = b"".join(made.encode([(listed[i] or "").encode()])[0] + struct.pack("<I", 2) for i in ids)
+    assert plain == want
+
+
+def test_fetch_reads_only_files_that_hold_the_ids(spark, small, tmp_path):
+    docs = table(spark, small)
+    folder = f"file://{tmp_path}/files"
+    tokenfile.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), 2, file_bytes=4_000)
+    some = sorted(texts_of(docs))[7]
+    for file in (tmp_path / "files").glob("part-*"):
+        if some not in tokenfile.TokenFile.open(file.read_bytes()).names:
+            file.write_bytes(b"broken")
+            file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    assert tokenfile.fetch(spark, folder, [some]).count() == 1
+    assert tokenfile.fetch(spark, folder, []).count() == 0 and tokenfile.fetch(spark, folder, [10**9]).count() == 0
 
 
 # ---- 10 mixing --------------------------------------------------------------------------------------------------
@@ -589,33 +720,56 @@ def test_raking_meets_the_marginals():
     rng = np.random.default_rng(3)
     mass = rng.integers(1, 100, size=(4, 3, 5)).astype(float)
     mass[1, 2, :] = 0
-    goals = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.3, 0.2]), np.full(5, 0.2)]
-    table_ = mixing.rake(mass, goals, 1e-12, 2000)
+    wanted = 0.4 * mass.sum()
+    shares = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.3, 0.2]), np.full(5, 0.2)]
+    held = [mass.sum(axis=tuple(a for a in range(3) if a != axis)) for axis in range(3)]
+    goals = [mixing.attainable(g, h, wanted) for g, h in zip(shares, held, strict=True)]
+    assert all((g <= h).all() and g.sum() == pytest.approx(wanted) for g, h in zip(goals, held, strict=True))
+    drawn = mixing.rake(mass, goals, 1e-12, 2000)
     for axis, goal in enumerate(goals):
-        assert table_.sum(axis=tuple(a for a in range(3) if a != axis)) == pytest.approx(goal, abs=1e-9)
-    assert (table_[1, 2] == 0).all()
-    p = mixing.calibrate(mass, table_, 0.5)
-    assert (p <= 1).all() and float((mass * p).sum()) == pytest.approx(0.5 * mass.sum())
-    assert mixing.rake(np.zeros((1, 1, 1)), [np.ones(1)] * 3, 1e-9, 5).sum() == 0
+        assert drawn.sum(axis=tuple(a for a in range(3) if a != axis)) == pytest.approx(goal, abs=1e-6)
+    assert (drawn[1, 2] == 0).all() and (drawn <= mass).all() and (drawn == mass).any()
+    assert mixing.rake(np.zeros((1, 1, 1)), [np.zeros(1)] * 3, 1e-9, 5).sum() == 0
+    assert mixing.attainable(np.array([3.0, 1.0, 0.0]), np.array([10.0, 10.0, 50.0]), 18.0).tolist() == [10.0, 8.0, 0.0]
+    assert mixing.attainable(np.array([3.0, 1.0]), np.array([10.0, 10.0]), 40.0).tolist() == [10.0, 10.0]
+
+
+def marginals(rows, value):
+    """Tokens by source, language and topic, each row counted with a factor."""
+    out = [Counter(), Counter(), Counter()]
+    for r in rows:
+        for c, name in zip(out, ("source_group", "language_group", "topic"), strict=True):
+            c[r[name]] += r["n_tokens"] * value(r)
+    return out
 
 
-def test_mixture(spark, small):
-    docs = table(spark, small)
+def mixture_goals(rows, s):
+    held = marginals(rows, lambda r: 1.0)
+    wanted = s.fraction * sum(held[0].values())
+    out = []
+    for h, power, given in zip(held, (s.source_power, s.language_power, s.topic_power), (s.source_targets, s.language_targets, s.topic_targets), strict=True):
+        names = sorted(h)
+        weight = np.array([given.get(n, 0.0) if given is not None else h[n] ** power for n in names])
+        out.append(dict(zip(names, mixing.attainable(weight, np.array([h[n] for n in names]), wanted).tolist(), strict=True)))
+    return out
+
+
+@pytest.mark.parametrize("which", ["powers", "targets"])
+def test_mixture(spark, which):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     s = mixing.Settings()
+    if which == "targets":
+        s = mixing.Settings(fraction=0.3, source_targets={f"src{i}": 1.0 + i % 3 for i in range(20)}, language_targets={"en": 3.0, "de": 2.0, "fr": 2.0, "es": 2.0})
     got = by_id(mixing.assign(docs, s))
     text = texts_of(docs)
-    assert all(got[i]["n_tokens"] == len(WORD.findall(t)) for i, t in text.items())
+    assert all(got[i]["n_tokens"] == len(WORD.findall(t or "")) for i, t in text.items())
+    assert all(r["sampled"] == (r["draw"] < r["probability"]) and 0 <= r["probability"] <= 1 for r in got.values())
     total = sum(r["n_tokens"] for r in got.values())
-    assert sum(r["n_tokens"] * r["probability"] for r in got.values()) == pytest.approx(s.fraction * total, rel=1e-6)
-    assert all(r["sampled"] == (r["draw"] < r["probability"]) for r in got.values())
-    raked = Counter()
-    for r in got.values():
-        raked[r["language_group"]] += r["n_tokens"] * r["weight"] / total
-    plain = Counter()
-    for r in got.values():
-        plain[r["language_group"]] += r["n_tokens"] / total
-    goal = {k: v**s.language_power for k, v in plain.items()}
-    assert raked == pytest.approx({k: v / sum(goal.values()) for k, v in goal.items()}, abs=1e-6)
+    goals = mixture_goals(got.values(), s)
+    for expected, goal in zip(marginals(got.values(), lambda r: r["probability"]), goals, strict=True):
+        assert expected == pytest.approx(goal, abs=1e-6 * total)
+    for drawn, goal in zip(marginals(got.values(), lambda r: r["sampled"]), goals, strict=True):  # chance, by document
+        assert all(abs(drawn[k] - v) < 0.1 * total for k, v in goal.items())
     assert {r["doc_id"] for r in mixing.mix(docs, s).collect()} == {i for i, r in got.items() if r["sampled"]}
 
 
@@ -643,9 +797,9 @@ def test_every_source_has_its_margin(spark, monkeypatch, local):
     for i, r in got.items():
         mass[spot[i]] += r["n_tokens"]
     totals = [mass.sum(axis=tuple(a for a in range(3) if a != axis)) for axis in range(3)]
-    goals = [x**p / (x**p).sum() for x, p in zip(totals, (s.source_power, s.language_power, s.topic_power), strict=True)]
-    want = mixing.calibrate(mass, mixing.rake(mass, goals, s.tolerance, s.rounds), s.fraction)
-    assert all(r["probability"] == pytest.approx(want[spot[i]], abs=1e-5) for i, r in got.items())
+    goals = [mixing.attainable(x**p, x, s.fraction * mass.sum()) for x, p in zip(totals, (s.source_power, s.language_power, s.topic_power), strict=True)]
+    want = mixing.rake(mass, goals, s.tolerance, 500) / mass.clip(1)
+    assert all(r["probability"] == pytest.approx(want[spot[i]], abs=1e-3) for i, r in got.items())
 
 
 # ---- the queries --------------------------------------------------------------------------------------------------
