@@ -23,22 +23,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near-duplicates."""
+    """Keeps one document, of least doc_id, of each group of near-duplicates."""
     prepare(spark)
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    return joined.select(*docs.columns)
+    return minhash.deduplicate(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts spans that start in an earlier document, and drops documents of which nothing is left."""
     prepare(spark)
-    found = substring.duplicate_spans(docs)
-    cut = found.filter("n_removed > 0").select(F.col("doc_id").alias("__cut"), "kept_text").dropDuplicates(["__cut"])
-    joined = docs.join(cut, docs["doc_id"].cast("long") == F.col("__cut"), "left").filter("__cut IS NULL OR kept_text <> ''")
-    text = F.coalesce("kept_text", "text")
-    columns = {"text": text, "n_chars": F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast("long")}
-    return joined.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+    found = substring.duplicate_spans(docs, keep=tuple(docs.columns), prefix="__")
+    left = found.filter("__n_removed = 0 OR __kept_text <> ''")
+    text = F.when(F.col("__n_removed") == 0, F.col("text")).otherwise(F.col("__kept_text"))
+    columns = {"text": text, "n_chars": F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.char_length(text)).cast("long")}
+    return left.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
