@@ -78,3 +78,23 @@ def unavailable(configured: DataFrame, available: DataFrame, on: list[str]) -> D
 def passes(value: Column, threshold: float) -> Column:
     """A confidence gate: null fails."""
     return F.coalesce(value, F.lit(-1.0)) >= threshold
+
+
+def out_of_range(parameters: DataFrame, name: str, value: str, limits: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """Parameters outside their limits (ends included; None is no limit), with a message. A null value is out of range."""
+    message = F.lit(None).cast("string")
+    for known, (low, high) in limits.items():
+        good = F.lit(True)
+        if low is not None:
+            good = good & (F.col(value) >= low)
+        if high is not None:
+            good = good & (F.col(value) <= high)
+        text = f"{known} must be between {low} and {high}" if None not in (low, high) else f"{known} must be at least {low}" if high is None else f"{known} must be at most {high}"
+        message = F.when((F.col(name) == known) & ~F.coalesce(good, F.lit(False)), text).otherwise(message)
+    return parameters.withColumn("message", message).filter("message IS NOT NULL")
+
+
+def regressions(found: DataFrame, expected: DataFrame, on: list[str], value: str, tolerance: float = 1e-10) -> DataFrame:
+    """Keys whose recomputed value differs from the stored one (column ``expected``), or is missing."""
+    joined = expected.join(found, on, "left")
+    return joined.filter(F.coalesce(F.abs(F.col(value) - F.col("expected")) > tolerance, F.lit(True)))

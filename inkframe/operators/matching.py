@@ -90,6 +90,14 @@ def concat_lines(boxes: DataFrame, lines: DataFrame, page: str, box_id: str, box
     return listed.select(page, box_id, F.array_join(F.transform("__l", lambda e: e["t"]), "").alias("text"))
 
 
+def outer_pages(first: DataFrame, second: DataFrame, page: str, item: str) -> DataFrame:
+    """Every page of either source with the sorted items of both; a side without the page is an empty list."""
+    kind = dict(first.dtypes)[item]
+    listed = lambda f, name: f.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias(name))
+    joined = listed(first, "first").join(listed(second, "second"), page, "full")
+    return joined.select(page, *(F.coalesce(side, F.array().cast(f"array<{kind}>")).alias(side) for side in ("first", "second")))
+
+
 def inject(rows: DataFrame, fresh: DataFrame, source: str) -> DataFrame:
     """Replace the rows of one source by others; running it twice changes nothing."""
     return rows.filter(~F.col("source").eqNullSafe(F.lit(source))).unionByName(fresh.withColumn("source", F.lit(source)), allowMissingColumns=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +26,17 @@ def top_k(frame: DataFrame, group: list[str], score: str, tie: str, k: int) -> D
     return frame.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def diverse_first(frame: DataFrame, group: list[str], structure: list[str], rank: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each group with their place from 1: the best of each structure first, then the rest, both by rank.
+
+    The best row of all is the best of its structure, so it is always first.
+    """
+    within = F.row_number().over(Window.partitionBy(*group, *structure).orderBy(*rank))
+    ranked = frame.withColumn("__again", within > 1)
+    order = Window.partitionBy(*group).orderBy("__again", *rank)
+    return ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("__again")
+
+
 def top_margin(frame: DataFrame, group: list[str], score: str, tie: str) -> DataFrame:
     """Best score minus second best of each group; null with one member."""
     best = top_k(frame, group, score, tie, 2)
@@ -100,15 +110,33 @@ def panel_bands(frames: list[tuple[int, float, float, float]]) -> list[int]:
 
 
 def panel_order(frames: DataFrame, page: str, key: str, y1: str, y2: str, x2: str) -> DataFrame:
-    """page, panel and its rank from 0 in reading order. Bands depend on each other, so a page is one call."""
-    kinds = dict(frames.dtypes)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(key)
-        order = panel_bands(list(zip(rows[key], rows[y1].astype(float), rows[y2].astype(float), rows[x2].astype(float), strict=True)))
-        return pd.DataFrame({page: frame[page].iloc[0], "panel": order, "panel_rank": range(len(order))})
+    """page, panel and its rank from 0 in reading order, as ``panel_bands`` has it.
 
-    return frames.select(page, key, y1, y2, x2).groupBy(page).applyInPandas(run, f"{page} {kinds[page]}, panel {kinds[key]}, panel_rank long")
+    Bands depend on each other, so the panels of a page are folded in the JVM:
+    the state is the list of bands and the band (from 1) of each panel so far.
+    """
+    entry = F.struct(F.col(y1).cast("double").alias("y1"), (-F.col(x2)).cast("double").alias("right"), F.col(key).alias("key"), F.col(y2).cast("double").alias("y2"))
+    listed = frames.groupBy(page).agg(F.array_sort(F.collect_list(entry)).alias("f"))
+    start = F.struct(F.array().cast("array<struct<low:double,high:double>>").alias("bands"), F.array().cast("array<int>").alias("at"))
+
+    def step(s: Column, f: Column) -> Column:
+        def share(b: Column) -> Column:
+            common = F.greatest(F.lit(0.0), F.least(f["y2"], b["high"]) - F.greatest(f["y1"], b["low"]))
+            return common / F.greatest(F.lit(1.0), F.least(F.greatest(F.lit(1.0), f["y2"] - f["y1"]), b["high"] - b["low"]))
+
+        shares = F.transform(s["bands"], share)
+        best = F.array_max(shares)
+        fits = F.coalesce(best >= BAND_OVERLAP, F.lit(False))
+        place = F.when(fits, F.array_position(shares, best).cast("int")).otherwise(F.size(s["bands"]) + 1)
+        wider = lambda b, i: F.when(i + 1 == place, F.struct(F.least(b["low"], f["y1"]).alias("low"), F.greatest(b["high"], f["y2"]).alias("high"))).otherwise(b)
+        bands = F.when(fits, F.transform(s["bands"], wider)).otherwise(F.array_append(s["bands"], F.struct(f["y1"].alias("low"), f["y2"].alias("high"))))
+        return F.struct(bands.alias("bands"), F.array_append(s["at"], place).alias("at"))
+
+    folded = listed.withColumn("s", F.aggregate("f", start, step))
+    each = folded.select(page, "s.bands", F.posexplode(F.arrays_zip("f", F.col("s.at").alias("at"))).alias("place", "z"))
+    low = F.get("bands", F.col("z.at") - 1)["low"]
+    order = Window.partitionBy(page).orderBy(low, "z.at", "z.f.right", "place")
+    return each.select(page, F.col("z.f.key").alias("panel"), (F.row_number().over(order) - 1).cast("long").alias("panel_rank"))
 
 
 def reading_order(texts: DataFrame, panels: DataFrame, page: str, key: str, cx: Column, cy: Column) -> DataFrame:

@@ -30,11 +30,6 @@ def repeated_trials(frame: DataFrame, trials: int, sizes: tuple[int, ...], strat
     return frame.select("*", F.inline(grid))
 
 
-def permutation(seed: int, epoch: int, key: str) -> Column:
-    """Place of a row in the order of an epoch."""
-    return F.row_number().over(Window.orderBy(hash_order(seed + epoch, key), key))
-
-
 def hash_numbers(frame: DataFrame, order: Column, key: str, name: str) -> DataFrame:
     """Number rows from 0 by an MD5 and ``key``, without a task that holds all rows.
 
@@ -48,6 +43,28 @@ def hash_numbers(frame: DataFrame, order: Column, key: str, name: str) -> DataFr
     return cut.withColumn("__i", inside).join(F.broadcast(starts), "__r").withColumn(name, F.col("__i") + F.col("__s")).drop("__o", "__r", "__i", "__s")
 
 
+def permutation(frame: DataFrame, seed: int, epoch: int, key: str) -> DataFrame:
+    """All rows with their ``place`` from 1 in the order of an epoch."""
+    return hash_numbers(frame, hash_order(seed + epoch, key), key, "__n").withColumn("place", F.col("__n") + 1).drop("__n")
+
+
+def range_numbers(frame: DataFrame, key: str, name: str, ranges: int = 64) -> DataFrame:
+    """Number rows from 0 in the order of a numeric key, without a task that holds all rows.
+
+    Quantiles cut the key into ranges; rows are numbered inside a range and
+    moved by the sizes before it. Only the quantiles come to the driver.
+    """
+    bounds = frame.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    place = F.lit(0)
+    for bound in sorted(set(bounds)):
+        place = place + (F.col(key) > bound).cast("int")
+    cut = frame.withColumn("__r", F.coalesce(place, F.lit(-1)))
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("__r").agg(F.count(F.lit(1)).alias("__c")).select("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
+    inside = F.row_number().over(Window.partitionBy("__r").orderBy(key)) - 1
+    return cut.withColumn("__i", inside).join(F.broadcast(starts), "__r").withColumn(name, F.col("__i") + F.col("__s")).drop("__r", "__i", "__s")
+
+
 def bucketed_batches(pages: DataFrame, key: str, seed: int, epoch: int, batch: int, pool: int = 32) -> DataFrame:
     """Batches of pages of similar shape: hash order is cut into pools, pools sorted by shape, cut into batches.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkframe.operators.sampling import repeated_trials
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -79,6 +81,42 @@ def retrieval(split: DataFrame, book: str, identity: str, key: str, vec: str) ->
     )
 
 
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors that the mask keeps, scaled to length 1; without any, zeros."""
+    kept = F.zip_with(tokens, mask, lambda t, m: F.transform(t, lambda x: x * m))
+    first = F.get(kept, F.lit(0))
+    total = F.aggregate(F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0))), first, lambda s, t: F.zip_with(s, t, lambda a, b: a + b))
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1.0))
+    return unit(F.transform(total, lambda x: x / n))
+
+
+def bank_trials(frame: DataFrame, book: str, identity: str, kind: str, key: str, vec: str, seed: int, trials: int, sizes: tuple[int, ...], strategies: tuple[str, ...]) -> DataFrame:
+    """Rank-1 rates of repeated gallery draws: one row per trial, bank size and strategy.
+
+    In each trial min(size, n - 1) rows of an identity, in the order of
+    md5(seed + trial|key), are its gallery. ``mean`` scores by the gallery's
+    prototype, ``modality`` by that of the query's own input type if there is one.
+    """
+    unknown = set(strategies) - {"mean", "modality"}
+    if unknown:
+        raise ValueError(f"unknown strategies {sorted(unknown)}")
+    grid = ["trial", "size"]
+    rows = repeated_trials(frame, trials, sizes, ("any",)).drop("strategy")
+    draw = F.md5(F.concat((F.col("trial") + seed).cast("string"), F.lit("|"), F.col(key).cast("string")))
+    w = Window.partitionBy(*grid, book, identity)
+    rows = rows.withColumns({"__n": F.count(F.lit(1)).over(w), "__r": F.row_number().over(w.orderBy(draw, key))}).filter("__n > 1")
+    rows = rows.withColumn("__bank", F.col("__r") <= F.least(F.col("size"), F.col("__n") - 1))
+    gallery = rows.filter("__bank")
+    overall = prototypes(gallery, [*grid, book, identity], vec).select(*grid, book, F.col(identity).alias("__c"), F.col("prototype").alias("__all"))
+    typed = prototypes(gallery, [*grid, book, identity, kind], vec).select(*grid, book, F.col(identity).alias("__c"), kind, F.col("prototype").alias("__own"))
+    pairs = rows.filter("NOT __bank").select(*grid, book, identity, kind, key, F.col(vec).alias("__v")).join(overall, [*grid, book]).join(typed, [*grid, book, "__c", kind], "left")
+    scored = pairs.select("*", F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))
+    proto = F.when(F.col("strategy") == "modality", F.coalesce("__own", "__all")).otherwise(F.col("__all"))
+    best = F.max(F.struct(F.round(dot(F.col("__v"), proto), 9).alias("s"), (-F.col("__c")).alias("c")))
+    each = scored.groupBy("strategy", *grid, book, key, identity).agg((-best["c"]).alias("__found"))
+    return each.groupBy("strategy", *grid).agg(F.count(F.lit(1)).alias("queries"), F.avg((F.col("__found") == F.col(identity)).cast("int")).alias("rank1"))
+
+
 def medoids(frame: DataFrame, bank: DataFrame, group: list[str], key: str, vec: str) -> DataFrame:
     """The member nearest to each prototype, the smaller key at ties."""
     scored = frame.join(bank, group).withColumn("__s", dot(F.col(vec), F.col("prototype")))

@@ -1,5 +1,5 @@
 """All queries of the reference's operators."""
 
-from inkframe.plans import geometry_queries, more_queries, registry, table_queries  # noqa: F401
+from inkframe.plans import geometry_queries, more_queries, registry, table_queries, trial_queries  # noqa: F401
 
 QUERIES, SQL = registry.QUERIES, registry.SQL

@@ -283,6 +283,54 @@ def features_45(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.select("page_id", F.col("t_region_id").alias("query"), F.col("b_region_id").alias("candidate"), F.array(*(f.cast("double") for f in features)).alias("features"))
 
 
+#: The 45 features in SQL, in their order.
+_FEATURES = (
+    "(t_x1 + t_x2) / 2.0 / 1600",
+    "(t_y1 + t_y2) / 2.0 / 2200",
+    "t_w / 1600",
+    "t_h / 2200",
+    "area_t / 3520000.0",
+    "(b_x1 + b_x2) / 2.0 / 1600",
+    "(b_y1 + b_y2) / 2.0 / 2200",
+    "b_w / 1600",
+    "b_h / 2200",
+    "area_b / 3520000.0",
+    "dx2 / 2.0 / 1600",
+    "dy2 / 2.0 / 2200",
+    "abs(dx2 / 2.0 / 1600)",
+    "abs(dy2 / 2.0 / 2200)",
+    "sqrt(d) / 2 / sqrt(1600.0 * 1600 + 2200.0 * 2200)",
+    "gx / 1600",
+    "gy / 2200",
+    "sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) / sqrt(1600.0 * 1600 + 2200.0 * 2200)",
+    "iw * ih / greatest(area_t + area_b - iw * ih, 1)",
+    "iw * ih / greatest(area_t, 1)",
+    "iw * ih / greatest(area_b, 1)",
+    "iw / greatest(t_w, 1)",
+    "iw / greatest(b_w, 1)",
+    "ih / greatest(t_h, 1)",
+    "ih / greatest(b_h, 1)",
+    "ln(area_b / area_t)",
+    "CASE WHEN same THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN pt IS NOT NULL THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN pb IS NOT NULL THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN same THEN dx2 / 2.0 / greatest(fw, 1) ELSE 0 END",
+    "CASE WHEN same THEN dy2 / 2.0 / greatest(fh, 1) ELSE 0 END",
+    "CASE WHEN same THEN sqrt(d) / 2 / sqrt(CAST(fw * fw + fh * fh AS DOUBLE)) ELSE 0 END",
+    "coalesce(fw * fh / 3520000.0, 0)",
+    "n",
+    "ns",
+    "(r - 1) / greatest(1, n - 1)",
+    "CASE WHEN same THEN (rs - 1) / greatest(1, ns - 1) ELSE 1 END",
+    "CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN same AND rs = 1 THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN dx2 < 0 THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN dx2 > 0 THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN dy2 < 0 THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN dy2 > 0 THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN (b_x1 + b_x2) BETWEEN 2 * t_x1 AND 2 * t_x2 AND (b_y1 + b_y2) BETWEEN 2 * t_y1 AND 2 * t_y2 THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN (t_x1 + t_x2) BETWEEN 2 * b_x1 AND 2 * b_x2 AND (t_y1 + t_y2) BETWEEN 2 * b_y1 AND 2 * b_y2 THEN 1.0 ELSE 0.0 END",
+)
 _AT, _AB = "(greatest(1, t_w) * greatest(1, t_h))", "(greatest(1, b_w) * greatest(1, b_h))"
 _D = "(((t_x1 + t_x2) - (b_x1 + b_x2)) * ((t_x1 + t_x2) - (b_x1 + b_x2)) + ((t_y1 + t_y2) - (b_y1 + b_y2)) * ((t_y1 + t_y2) - (b_y1 + b_y2)))"
 
@@ -295,27 +343,17 @@ j AS (
 ),
 k AS (
   SELECT *, count(*) OVER g AS n, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) OVER g AS BIGINT) AS ns, row_number() OVER (PARTITION BY page_id, t_region_id ORDER BY d, b_region_id) AS r,
-    row_number() OVER (PARTITION BY page_id, t_region_id, same ORDER BY d, b_region_id) AS rs, {IW} AS iw, {IH} AS ih, {_AT} AS area_t, {_AB} AS area_b
+    row_number() OVER (PARTITION BY page_id, t_region_id, same ORDER BY d, b_region_id) AS rs, {IW} AS iw, {IH} AS ih, {_AT} AS area_t, {_AB} AS area_b,
+    (b_x1 + b_x2) - (t_x1 + t_x2) AS dx2, (b_y1 + b_y2) - (t_y1 + t_y2) AS dy2, greatest(0, t_x1 - b_x2, b_x1 - t_x2) AS gx, greatest(0, t_y1 - b_y2, b_y1 - t_y2) AS gy
   FROM j WINDOW g AS (PARTITION BY page_id, t_region_id)
 )
-SELECT page_id, t_region_id AS query, b_region_id AS candidate,
-  round((t_x1 + t_x2) / 2.0 / 1600, 9) AS f0, round(area_t / 3520000.0, 9) AS f4, round(((b_x1 + b_x2) - (t_x1 + t_x2)) / 2.0 / 1600, 9) AS f10,
-  round(sqrt(d) / 2 / sqrt(1600.0 * 1600 + 2200.0 * 2200), 9) AS f14,
-  round(sqrt(CAST(power(greatest(0, t_x1 - b_x2, b_x1 - t_x2), 2) + power(greatest(0, t_y1 - b_y2, b_y1 - t_y2), 2) AS DOUBLE)) / sqrt(1600.0 * 1600 + 2200.0 * 2200), 9) AS f17,
-  round(iw * ih / greatest(area_t + area_b - iw * ih, 1), 9) AS f18, round(iw * ih / greatest(area_t, 1), 9) AS f19, round(ih / greatest(b_h, 1), 9) AS f24, round(ln(area_b / area_t), 9) AS f25,
-  CASE WHEN same THEN 1.0 ELSE 0.0 END AS f26, CASE WHEN pb IS NOT NULL THEN 1.0 ELSE 0.0 END AS f28,
-  round(CASE WHEN same THEN ((b_x1 + b_x2) - (t_x1 + t_x2)) / 2.0 / greatest(fw, 1) ELSE 0 END, 9) AS f29,
-  round(CASE WHEN same THEN sqrt(d) / 2 / sqrt(CAST(fw * fw + fh * fh AS DOUBLE)) ELSE 0 END, 9) AS f31, round(coalesce(fw * fh / 3520000.0, 0), 9) AS f32,
-  CAST(n AS DOUBLE) AS f33, CAST(ns AS DOUBLE) AS f34, round((r - 1) / greatest(1, n - 1), 9) AS f35, round(CASE WHEN same THEN (rs - 1) / greatest(1, ns - 1) ELSE 1 END, 9) AS f36,
-  CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END AS f37, CASE WHEN same AND rs = 1 THEN 1.0 ELSE 0.0 END AS f38, CASE WHEN b_x1 + b_x2 < t_x1 + t_x2 THEN 1.0 ELSE 0.0 END AS f39,
-  CASE WHEN (b_x1 + b_x2) BETWEEN 2 * t_x1 AND 2 * t_x2 AND (b_y1 + b_y2) BETWEEN 2 * t_y1 AND 2 * t_y2 THEN 1.0 ELSE 0.0 END AS f43
+SELECT page_id, t_region_id AS query, b_region_id AS candidate, {", ".join(f"CAST(round({x}, 9) AS DOUBLE) AS f{i}" for i, x in enumerate(_FEATURES))}
 FROM k""",
     digits=9,
 )
 def pair_features_45(spark: SparkSession, folder: str) -> DataFrame:
-    """Text-body features; the columns shown cover every kind of feature."""
-    shown = (0, 4, 10, 14, 17, 18, 19, 24, 25, 26, 28, 29, 31, 32, 33, 34, 35, 36, 37, 38, 39, 43)
-    return features_45(spark, folder).select("page_id", "query", "candidate", *(F.get("features", F.lit(i)).alias(f"f{i}") for i in shown))
+    """The 45 text-body features in their order."""
+    return features_45(spark, folder).select("page_id", "query", "candidate", *(F.get("features", F.lit(i)).alias(f"f{i}") for i in range(45)))
 
 
 @query(
@@ -403,6 +441,83 @@ def overlap_components(spark: SparkSession, folder: str) -> DataFrame:
     return sized.select("page_id", F.col("least").alias("component"), "texts", "bodies")
 
 
+def greedy_sql(cand: str, name: str) -> str:
+    """CTEs for the one-to-one match over ``cand(page_id, t_region_id, b_region_id, k)``, k = 1, 2, ... in each page."""
+    free = "list_contains(w.ts, c.t_region_id) OR list_contains(w.bs, c.b_region_id)"
+    return f"""{name}_walk AS (
+  SELECT page_id, 0 AS k, CAST([] AS BIGINT[]) AS ts, CAST([] AS BIGINT[]) AS bs FROM (SELECT DISTINCT page_id FROM {cand})
+  UNION ALL
+  SELECT w.page_id, w.k + 1, CASE WHEN {free} THEN w.ts ELSE list_append(w.ts, c.t_region_id) END, CASE WHEN {free} THEN w.bs ELSE list_append(w.bs, c.b_region_id) END
+  FROM {name}_walk w JOIN {cand} c ON c.page_id = w.page_id AND c.k = w.k + 1
+),
+{name} AS (SELECT page_id, unnest(ts) AS t_id, unnest(bs) AS b_id FROM (SELECT page_id, ts, bs, row_number() OVER (PARTITION BY page_id ORDER BY k DESC) AS last FROM {name}_walk) WHERE last = 1)"""
+
+
+DIAGONAL = (X.PAGE_WIDTH**2 + X.PAGE_HEIGHT**2) ** 0.5
+_GAP2 = "(power(greatest(0, t.x1 - b.x2, b.x1 - t.x2), 2) + power(greatest(0, t.y1 - b.y2, b.y1 - t.y2), 2))"
+#: Candidates and matches of texts and tails (faces) of one panel.
+TAIL_SQL = f"""{PANEL_SQL},
+tail_cand AS (
+  SELECT t.page_id, t.region_id AS t_region_id, b.region_id AS b_region_id, row_number() OVER (PARTITION BY t.page_id ORDER BY {_GAP2}, t.region_id, b.region_id) AS k
+  FROM region t JOIN region b ON t.page_id = b.page_id AND t.cls = 'text' AND b.cls = 'face' JOIN panel pt ON pt.region_id = t.region_id JOIN panel pb ON pb.region_id = b.region_id AND pb.panel = pt.panel
+  WHERE sqrt(CAST({_GAP2} AS DOUBLE)) / {DIAGONAL!r} <= 0.12
+),
+{greedy_sql("tail_cand", "tail")}"""
+_CENTRE_IN = "(t.x1 + t.x2) BETWEEN 2 * b.x1 AND 2 * b.x2 AND (t.y1 + t.y2) BETWEEN 2 * b.y1 AND 2 * b.y2"
+#: Candidates and matches of faces and bodies of one character.
+FACE_SQL = f"""centre AS (
+  SELECT t.page_id, t.region_id, min(f.rk)[2] AS panel FROM region t LEFT JOIN (SELECT page_id, x1, y1, x2, y2, [w * h, region_id] AS rk FROM region WHERE cls = 'frame') f
+  ON t.page_id = f.page_id AND (t.x1 + t.x2) BETWEEN 2 * f.x1 AND 2 * f.x2 AND (t.y1 + t.y2) BETWEEN 2 * f.y1 AND 2 * f.y2 WHERE t.cls <> 'frame' GROUP BY t.page_id, t.region_id
+),
+face_pair AS (
+  SELECT t.page_id, t.region_id AS t_region_id, b.region_id AS b_region_id, {_CENTRE_IN} AS inside, coalesce(pt.panel = pb.panel, false) AS same,
+    round(sqrt(CAST(power((t.x1 + t.x2) - (b.x1 + b.x2), 2) + power((t.y1 + t.y2) - (b.y1 + b.y2), 2) AS DOUBLE)) / 2 / greatest(sqrt(CAST(power(b.x2 - b.x1, 2) + power(b.y2 - b.y1, 2) AS DOUBLE)), 1), 12) AS distance
+  FROM region t JOIN region b ON t.page_id = b.page_id AND t.cls = 'face' AND b.cls = 'body' AND t.supp_key % 7 = b.supp_key % 7 JOIN centre pt ON pt.region_id = t.region_id JOIN centre pb ON pb.region_id = b.region_id
+),
+face_cand AS (
+  SELECT page_id, t_region_id, b_region_id, row_number() OVER (PARTITION BY page_id ORDER BY NOT inside, NOT same, distance, t_region_id, b_region_id) AS k
+  FROM face_pair WHERE inside OR (same AND distance <= 0.75)
+),
+{greedy_sql("face_cand", "face_body")}"""
+
+
+def ray_interval_sql(o: tuple[str, str], d: tuple[str, str], box: tuple[str, str, str, str]) -> tuple[str, str, str]:
+    """Enter, leave and whether a ray meets a box (x1, y1, x2, y2)."""
+    flat = [f"abs({x}) < 1e-9" for x in d]
+    sides = [((f"({box[i]} - {o[i]}) / {d[i]}"), f"({box[i + 2]} - {o[i]}) / {d[i]}") for i in (0, 1)]
+    enter = "greatest(0.0, " + ", ".join(f"CASE WHEN {f} THEN 0.0 ELSE least({a}, {b}) END" for f, (a, b) in zip(flat, sides, strict=True)) + ")"
+    leave = "least(" + ", ".join(f"CASE WHEN {f} THEN 1e300 ELSE greatest({a}, {b}) END" for f, (a, b) in zip(flat, sides, strict=True)) + ")"
+    beside = " AND ".join(f"(NOT ({f}) OR {o[i]} BETWEEN {box[i]} AND {box[i + 2]})" for i, f in enumerate(flat))
+    return enter, leave, f"({beside} AND {leave} >= {enter})"
+
+
+def ray_exit_sql(o: tuple[str, str], d: tuple[str, str], box: tuple[str, str, str, str]) -> str:
+    sides = [f"CASE WHEN {d[i]} > 1e-9 THEN ({box[i + 2]} - {o[i]}) / {d[i]} WHEN {d[i]} < -1e-9 THEN ({box[i]} - {o[i]}) / {d[i]} END" for i in (0, 1)]
+    return "coalesce(least(" + ", ".join(f"CASE WHEN {x} >= 0 THEN {x} END" for x in sides) + "), 0.0)"
+
+
+def diagonals_sql(source: str) -> str:
+    """Two rows per row of ``source`` (text t_*, tail b_*): diagonal, cosine, root and tip."""
+    near = "sqrt(power(one_x - t_cx, 2) + power(one_y - t_cy, 2)) <= sqrt(power(two_x - t_cx, 2) + power(two_y - t_cy, 2))"
+    return f"""(SELECT *, ((tip_x - root_x) * (b_cx - t_cx) + (tip_y - root_y) * (b_cy - t_cy))
+    / greatest(sqrt(power(tip_x - root_x, 2) + power(tip_y - root_y, 2)) * sqrt(power(b_cx - t_cx, 2) + power(b_cy - t_cy, 2)), 1e-9) AS cosine FROM (
+  SELECT *, CASE WHEN {near} THEN one_x ELSE two_x END AS root_x, CASE WHEN {near} THEN one_y ELSE two_y END AS root_y, CASE WHEN {near} THEN two_x ELSE one_x END AS tip_x, CASE WHEN {near} THEN two_y ELSE one_y END AS tip_y FROM (
+    SELECT *, n AS diagonal, b_x1::DOUBLE AS one_x, b_x2::DOUBLE AS two_x, CASE n WHEN 0 THEN b_y1 ELSE b_y2 END::DOUBLE AS one_y, CASE n WHEN 0 THEN b_y2 ELSE b_y1 END::DOUBLE AS two_y FROM {source}, range(2) d(n))))"""
+
+
+#: Assigned tails with the boxes of text (t_), tail (b_) and the text's panel (p_).
+TAIL_BOX_SQL = """tail_box AS (
+  SELECT a.page_id, a.t_id, a.b_id, p.panel, f.x1 AS p_x1, f.y1 AS p_y1, f.x2 AS p_x2, f.y2 AS p_y2, b.x1 AS b_x1, b.y1 AS b_y1, b.x2 AS b_x2, b.y2 AS b_y2,
+    (t.x1 + t.x2) / 2.0 AS t_cx, (t.y1 + t.y2) / 2.0 AS t_cy, (b.x1 + b.x2) / 2.0 AS b_cx, (b.y1 + b.y2) / 2.0 AS b_cy
+  FROM tail a JOIN region t ON t.region_id = a.t_id JOIN region b ON b.region_id = a.b_id JOIN panel p ON p.region_id = a.t_id JOIN region f ON f.region_id = p.panel
+)"""
+#: Bodies with their panel and the box of their face (e_), null without one.
+CAST_SQL = """person AS (
+  SELECT c.page_id, c.region_id AS body_id, p.panel AS c_panel, c.x1 AS c_x1, c.y1 AS c_y1, c.x2 AS c_x2, c.y2 AS c_y2, e.x1 AS e_x1, e.y1 AS e_y1, e.x2 AS e_x2, e.y2 AS e_y2
+  FROM region c JOIN panel p ON p.region_id = c.region_id LEFT JOIN face_body m ON m.b_id = c.region_id LEFT JOIN region e ON e.region_id = m.t_id WHERE c.cls = 'body'
+)"""
+
+
 def _same_panel_tails(spark: SparkSession, folder: str) -> DataFrame:
     """Texts and faces (as tails) of one panel with their gap."""
     frame = X.regions(spark, folder)
@@ -412,7 +527,7 @@ def _same_panel_tails(spark: SparkSession, folder: str) -> DataFrame:
     return texts.join(tails, ["page_id", "panel"])
 
 
-@query()
+@query(f"WITH RECURSIVE {R}, {TAIL_SQL} SELECT page_id, t_id AS text_id, b_id AS tail_id FROM tail")
 def tail_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """one-to-one text and tail pairs of one panel within 0.12 page diagonals, nearest first."""
     diagonal = (X.PAGE_WIDTH**2 + X.PAGE_HEIGHT**2) ** 0.5
@@ -421,55 +536,109 @@ def tail_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnsRenamed({"t_region_id": "text_id", "b_region_id": "tail_id"})
 
 
-@query()
-def tail_rays(spark: SparkSession, folder: str) -> DataFrame:
-    """The ray of each assigned tail and the prior of every body of its panel."""
+def people(spark: SparkSession, folder: str) -> DataFrame:
+    """bodies as c_* with their panel, and the box of the face matched to them as e_*, null without one."""
     frame = X.regions(spark, folder)
-    tails = tail_assignment(spark, folder)
-    texts, faces, bodies = X.of_class(frame, "text", "t"), X.of_class(frame, "face", "b"), X.of_class(frame, "body", "c")
-    panel = panels_of(frame)
-    joined = (
-        tails.withColumnsRenamed({"text_id": "t_region_id", "tail_id": "b_region_id"})
-        .join(texts, ["page_id", "t_region_id"])
-        .join(faces, ["page_id", "b_region_id"])
-        .join(panel.withColumnRenamed("region_id", "t_region_id"), ["page_id", "t_region_id"])
-        .join(frames_of(frame, "panel"), ["page_id", "panel"])
-        .withColumn("seg", G.tail_segment(B, T))
-        .withColumn("diagonal", F.get(G.diagonal_segments(B, T), F.lit(0))["diagonal"])
-    )
+    panel = panels_of(frame).withColumnsRenamed({"region_id": "c_region_id", "panel": "c_panel"})
+    faces = X.of_class(frame, "face", "e").select("page_id", F.col("e_region_id").alias("face_id"), "e_x1", "e_y1", "e_x2", "e_y2")
+    matched = face_body_match(spark, folder).filter("face_id IS NOT NULL").select("page_id", F.col("body_id").alias("c_region_id"), "face_id")
+    bodies = X.of_class(frame, "body", "c").join(panel, ["page_id", "c_region_id"])
+    return bodies.join(matched.join(faces, ["page_id", "face_id"]), ["page_id", "c_region_id"], "left")
+
+
+def tail_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Assigned tails (b_*) with their text (t_*) and the text's panel (p_*)."""
+    frame = X.regions(spark, folder)
+    tails = tail_assignment(spark, folder).withColumnsRenamed({"text_id": "t_region_id", "tail_id": "b_region_id"})
+    joined = tails.join(X.of_class(frame, "text", "t"), ["page_id", "t_region_id"]).join(X.of_class(frame, "face", "b"), ["page_id", "b_region_id"])
+    panel = panels_of(frame).withColumnRenamed("region_id", "t_region_id")
+    return joined.join(panel, ["page_id", "t_region_id"]).join(frames_of(frame, "panel"), ["page_id", "panel"])
+
+
+CORRIDOR = max(0.03 * DIAGONAL, 1.0)
+_RAY = ("tip_x", "tip_y"), ("dx", "dy")
+_TARGET = tuple(f"coalesce(e_{c}, c_{c})" for c in ("x1", "y1", "x2", "y2"))
+
+
+def _tail_rays_sql() -> str:
+    x1, y1, x2, y2 = _TARGET
+    enter, _, meets = ray_interval_sql(*_RAY, ("g_x1", "g_y1", "g_x2", "g_y2"))
+    reach = ", ".join(f"CASE WHEN abs({u}) > 1e-9 THEN greatest((b_{c}2 - b_{c}1) / 2.0, 0.5) / abs({u}) ELSE 1e300 END" for u, c in (("ux", "x"), ("uy", "y")))
+    return f"""WITH RECURSIVE {R}, {TAIL_SQL}, {FACE_SQL}, {TAIL_BOX_SQL}, {CAST_SQL},
+way AS (SELECT *, (b_cx - t_cx) / greatest(sqrt(power(b_cx - t_cx, 2) + power(b_cy - t_cy, 2)), 1e-6) AS ux, (b_cy - t_cy) / greatest(sqrt(power(b_cx - t_cx, 2) + power(b_cy - t_cy, 2)), 1e-6) AS uy FROM tail_box),
+seg AS (SELECT *, b_cx - ux * least({reach}) AS root_x, b_cy - uy * least({reach}) AS root_y, b_cx + ux * least({reach}) AS tip_x, b_cy + uy * least({reach}) AS tip_y FROM way),
+ray AS (SELECT *, (tip_x - root_x) / greatest(sqrt(power(tip_x - root_x, 2) + power(tip_y - root_y, 2)), 1e-6) AS dx, (tip_y - root_y) / greatest(sqrt(power(tip_x - root_x, 2) + power(tip_y - root_y, 2)), 1e-6) AS dy FROM seg),
+best AS (SELECT t_id AS best_id, diagonal FROM (SELECT t_id, diagonal, row_number() OVER (PARTITION BY t_id ORDER BY -cosine, diagonal) AS r FROM {diagonals_sql("tail_box")}) WHERE r = 1),
+aim AS (SELECT r.*, q.*, best.diagonal, {x1} AS g_x1, {y1} AS g_y1, {x2} AS g_x2, {y2} AS g_y2, {ray_exit_sql(*_RAY, ("p_x1", "p_y1", "p_x2", "p_y2"))} AS ex FROM ray r JOIN person q ON q.page_id = r.page_id JOIN best ON best.best_id = r.t_id),
+v AS (SELECT *, {enter} AS enter, {meets} AS meets, ((g_x1 + g_x2) / 2.0 - tip_x) * dx + ((g_y1 + g_y2) / 2.0 - tip_y) * dy AS along, abs(((g_x1 + g_x2) / 2.0 - tip_x) * dy - ((g_y1 + g_y2) / 2.0 - tip_y) * dx) AS off,
+  0.5 * sqrt(power(g_x2 - g_x1, 2) + power(g_y2 - g_y1, 2)) AS half FROM aim)
+SELECT page_id, t_id AS text_id, b_id AS tail_id, diagonal, body_id, round(CASE WHEN NOT coalesce(c_panel = panel, false) THEN 0.0 WHEN meets AND enter <= ex THEN 1.0
+  WHEN along > 0 AND along <= ex THEN exp(-greatest(0.0, off - half) / {CORRIDOR!r}) ELSE 0.0 END, 6) AS prior FROM v"""
+
+
+@query(_tail_rays_sql())
+def tail_rays(spark: SparkSession, folder: str) -> DataFrame:
+    """The ray of each assigned tail and the prior of every body of its panel.
+
+    The target is a body's face where it has one, else the body.
+    """
+    joined = tail_boxes(spark, folder).withColumn("seg", G.tail_segment(B, T)).withColumn("diagonal", F.get(G.diagonal_segments(B, T), F.lit(0))["diagonal"])
     norm = F.greatest(G.hypot(F.col("seg.tip_x") - F.col("seg.root_x"), F.col("seg.tip_y") - F.col("seg.root_y")), F.lit(1e-6))
     rays = joined.withColumns({"dx": (F.col("seg.tip_x") - F.col("seg.root_x")) / norm, "dy": (F.col("seg.tip_y") - F.col("seg.root_y")) / norm})
     ox, oy, dx, dy = F.col("seg.tip_x"), F.col("seg.tip_y"), F.col("dx"), F.col("dy")
     rays = rays.withColumn("exit", G.ray_exit(ox, oy, dx, dy, Box.of("p_")))
-    own = bodies.join(panel.withColumnsRenamed({"region_id": "c_region_id", "panel": "c_panel"}), ["page_id", "c_region_id"])
-    pairs = rays.join(own, "page_id")
-    C = Box.of("c_")
+    pairs = rays.join(people(spark, folder), "page_id")
+    C = Box(*(F.coalesce(f"e_{c}", f"c_{c}") for c in ("x1", "y1", "x2", "y2")))
     vx, vy = C.cx - ox, C.cy - oy
     projection, off = vx * dx + vy * dy, F.abs(vx * dy - vy * dx)
     edge = F.greatest(F.lit(0.0), off - 0.5 * G.hypot(C.width, C.height))
-    corridor = max(0.03 * (X.PAGE_WIDTH**2 + X.PAGE_HEIGHT**2) ** 0.5, 1.0)
     hit = G.ray_hit(ox, oy, dx, dy, C)
     prior = (
         F.when(~F.coalesce(F.col("c_panel") == F.col("panel"), F.lit(False)), 0.0)
         .when(hit.isNotNull() & (hit <= F.col("exit")), 1.0)
-        .when((projection > 0) & (projection <= F.col("exit")), F.exp(-edge / corridor))
+        .when((projection > 0) & (projection <= F.col("exit")), F.exp(-edge / CORRIDOR))
         .otherwise(0.0)
     )
     return pairs.select("page_id", F.col("t_region_id").alias("text_id"), F.col("b_region_id").alias("tail_id"), "diagonal", F.col("c_region_id").alias("body_id"), prior.alias("prior"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE ray_prior AS ({_tail_rays_sql()}), {E},
+f AS (SELECT e.page_id, e.query AS text_id, e.candidate AS body_id, e.score / 1e6 AS score, p.prior FROM edge e LEFT JOIN ray_prior p ON p.text_id = e.query AND p.body_id = e.candidate),
+r AS (SELECT *, round(score + 6.0 * coalesce(prior, 0.0), 6) AS fused, CASE WHEN prior IS NULL THEN 'fallback' ELSE 'tail_fusion' END AS source FROM f)
+SELECT page_id, text_id, body_id, rank, round(score, 6) AS score, fused, source FROM (SELECT *, row_number() OVER (PARTITION BY page_id, text_id ORDER BY fused DESC, body_id) AS rank FROM r) WHERE rank <= 3"""
+)
 def tail_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Scores plus six times the prior, the three best candidates of each text."""
     from inkframe.operators.vectors import fuse
 
     scored = X.edges(spark, folder).select("page_id", F.col("query").alias("text_id"), F.col("candidate").alias("body_id"), (F.col("score") / 1e6).alias("score"))
-    fused = fuse(scored, tail_rays(spark, folder), ["page_id", "text_id", "body_id"])
+    fused = fuse(scored, tail_rays(spark, folder), ["page_id", "text_id", "body_id"]).withColumn("fused", F.round("fused", 6))
     best = ranking.top_k(fused, ["page_id", "text_id"], "fused", "body_id", 3)
     return best.select("page_id", "text_id", "body_id", "rank", "score", "fused", "source")
 
 
-@query()
+#: I4: panels folded into bands; a state is a list of bands and the band of each panel so far.
+_SHARED = "list_transform(w.bands, lambda b: greatest(0, least(f.y2, b.hi) - greatest(f.y1, b.lo)) / greatest(1, least(greatest(1, f.y2 - f.y1), b.hi - b.lo)))"
+_BAND_SQL = f"""fr AS (SELECT page_id, region_id, y1::DOUBLE AS y1, y2::DOUBLE AS y2, x2, row_number() OVER (PARTITION BY page_id ORDER BY y1, -x2, region_id) AS k FROM region WHERE cls = 'frame'),
+fold AS (
+  SELECT DISTINCT page_id, 0 AS k, CAST([] AS STRUCT(lo DOUBLE, hi DOUBLE)[]) AS bands, CAST([] AS BIGINT[]) AS places FROM fr
+  UNION ALL
+  SELECT page_id, k, CASE WHEN fits THEN list_transform(bands, lambda b, j: CASE WHEN j = i THEN {{'lo': least(b.lo, y1), 'hi': greatest(b.hi, y2)}} ELSE b END) ELSE list_append(bands, {{'lo': y1, 'hi': y2}}) END,
+    list_append(places, CASE WHEN fits THEN i ELSE len(bands) + 1 END) FROM (
+    SELECT *, coalesce(list_max(shares) >= 0.35, false) AS fits, list_position(shares, list_max(shares)) AS i FROM (
+      SELECT w.page_id, w.k + 1 AS k, w.bands, w.places, f.y1, f.y2, {_SHARED} AS shares FROM fold w JOIN fr f ON f.page_id = w.page_id AND f.k = w.k + 1))),
+done AS (SELECT page_id, bands, places FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k DESC) AS r FROM fold) WHERE r = 1),
+ranked AS (SELECT fr.page_id, fr.region_id AS panel, row_number() OVER (PARTITION BY fr.page_id ORDER BY d.bands[d.places[fr.k]].lo, d.places[fr.k], -fr.x2, fr.k) - 1 AS panel_rank FROM fr JOIN done d ON d.page_id = fr.page_id),
+n AS (SELECT page_id, count(*) AS frames FROM fr GROUP BY page_id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {R}, {PANEL_SQL}, {_BAND_SQL}
+SELECT t.page_id, t.region_id, p.panel, row_number() OVER (PARTITION BY t.page_id ORDER BY CASE WHEN coalesce(n.frames, 0) = 0 THEN 0 WHEN p.panel IS NULL THEN n.frames + (t.y1 + t.y2) / 2.0 ELSE coalesce(k.panel_rank, n.frames) END,
+  -(t.x1 + t.x2), t.y1 + t.y2, t.region_id) AS reading
+FROM region t JOIN panel p ON p.region_id = t.region_id LEFT JOIN ranked k ON k.panel = p.panel AND k.page_id = t.page_id LEFT JOIN n ON n.page_id = t.page_id WHERE t.cls = 'text'"""
+)
 def reading_order(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of each page in reading order over bands of panels."""
     frame = X.regions(spark, folder)
@@ -516,11 +685,14 @@ def _face_body_pairs(spark: SparkSession, folder: str) -> DataFrame:
     same_id = F.col("t_supp_key") % 7 == F.col("b_supp_key") % 7
     pairs = faces.join(bodies, "page_id").filter(same_id)
     inside, same = G.contains_centre(B, T), F.coalesce(F.col("pt") == F.col("pb"), F.lit(False))
-    rated = pairs.withColumns({"inside": inside, "same": same, "distance": G.relative_centre_distance(T, B)})
+    rated = pairs.withColumns({"inside": inside, "same": same, "distance": F.round(G.relative_centre_distance(T, B), 12)})
     return rated.filter("inside OR (same AND distance <= 0.75)")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {R}, {FACE_SQL}
+SELECT b.page_id, b.region_id AS body_id, m.t_id AS face_id, CASE WHEN m.t_id IS NULL THEN 'body-only' ELSE 'face+body' END AS input_type FROM region b LEFT JOIN face_body m ON m.b_id = b.region_id WHERE b.cls = 'body'"""
+)
 def face_body_match(spark: SparkSession, folder: str) -> DataFrame:
     """One-to-one faces and bodies of one character; bodies alone are body-only, faces alone are dropped."""
     order = [~F.col("inside"), ~F.col("same"), F.col("distance"), F.col("t_region_id"), F.col("b_region_id")]

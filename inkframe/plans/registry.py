@@ -36,8 +36,6 @@ def query(sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
 
     def add(f: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            # Rows that are dealt by page stay where they are for joins on page and region.
-            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
             return tidy(f(prepare(spark), folder), digits)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__

@@ -11,7 +11,7 @@ from inkframe.operators import checks, cluster, curate, decide, graph, lifecycle
 from inkframe.plans import fixtures as X
 from inkframe.plans import plugins
 from inkframe.plans.geometry_queries import features_45
-from inkframe.plans.registry import query
+from inkframe.plans.registry import SQL, query
 from inkframe.session import table
 from inkframe.sources import writers
 
@@ -126,12 +126,13 @@ def text_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CAST(regexp_extract(text, '[0-9]+', 0) = '' AS BOOLEAN) AS no_digits, source FROM documents WHERE doc_id % 2 = 0 AND source IN ('src0', 'src1') AND n_chars >= 100"""
+    """SELECT doc_id, regexp_extract(text, '[0-9]+', 0) = '' AS no_digits, source FROM documents WHERE n_chars >= 100 AND source IN ('src0', 'src1') AND lang <> 'de'"""
 )
 def filters(spark: SparkSession, folder: str) -> DataFrame:
-    """Thresholds and whitelists, pushed to the scan."""
-    rows = table(spark, folder, "documents").filter((F.col("n_chars") >= 100) & F.col("source").isin("src0", "src1") & (F.col("doc_id") % 2 == 0))
-    return rows.select("doc_id", (F.regexp_extract("text", "[0-9]+", 0) == "").alias("no_digits"), "source")
+    """A threshold and a whitelist, pushed to the scan, and a flag that excludes."""
+    rows = table(spark, folder, "documents").filter((F.col("n_chars") >= 100) & F.col("source").isin("src0", "src1"))
+    flagged = rows.withColumn("excluded", F.col("lang") == "de").filter("NOT excluded")
+    return flagged.select("doc_id", (F.regexp_extract("text", "[0-9]+", 0) == "").alias("no_digits"), "source")
 
 
 # ---- roll-ups, splits and checks ---------------------------------------------------
@@ -167,12 +168,14 @@ def dangling_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_returnflag AS kind, count(*) AS n FROM lineitem GROUP BY l_returnflag"""
+    """WITH o AS (SELECT l_returnflag AS kind, l_orderkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem)
+SELECT kind, count(*) AS n, array_to_string(list(l_orderkey ORDER BY r) FILTER (r <= 100), ',') AS examples FROM o GROUP BY kind"""
 )
 def error_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Errors counted per kind with their first examples (the count is shown)."""
+    """Errors counted per kind with their first hundred examples."""
     rows = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("kind"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("o"), F.col("l_orderkey").alias("detail"))
-    return checks.error_report(rows, "kind", "o", "detail").select("kind", "n")
+    found = checks.error_report(rows, "kind", "o", "detail")
+    return found.select("kind", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
 
 
 @query(
@@ -193,12 +196,14 @@ def bad_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, abs(max(turn) - min(turn)) > 3 AS apart, list(turn ORDER BY turn) = list(turn ORDER BY turn, text) AS same_order FROM conversations GROUP BY conv_id"""
+    """SELECT conv_id, abs(max(turn) - min(turn)) > 3 AS apart, list(turn ORDER BY turn) = list(turn ORDER BY length(text), turn) AS same_order FROM conversations GROUP BY conv_id"""
 )
 def order_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordered lists compared; numbers within a tolerance."""
+    """The ordered lists of two tables compared; numbers within a tolerance."""
     listed = table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("ids"), F.array(F.max("turn").cast("double")).alias("a"), F.array(F.min("turn").cast("double")).alias("b"))
-    bad = checks.order_mismatch(listed, listed, ["conv_id"], "ids").select("conv_id", F.lit(True).alias("bad"))
+    by_length = F.array_sort(F.collect_list(F.struct(F.char_length("text").alias("n"), "turn")))
+    cached = table(spark, folder, "conversations").groupBy("conv_id").agg(F.transform(by_length, lambda x: x["turn"]).alias("ids"))
+    bad = checks.order_mismatch(listed, cached, ["conv_id"], "ids").select("conv_id", F.lit(True).alias("bad"))
     return listed.join(bad, "conv_id", "left").select("conv_id", checks.box_mismatch(F.col("a"), F.col("b"), 3.0).alias("apart"), F.col("bad").isNull().alias("same_order"))
 
 
@@ -235,7 +240,9 @@ def group_split(spark: SparkSession, folder: str) -> DataFrame:
 )
 def permutation(spark: SparkSession, folder: str) -> DataFrame:
     """K4, K8: an epoch's order; chunks of seven rows."""
-    return table(spark, folder, "supplier").select("s_suppkey", sampling.permutation(SEED, 3, "s_suppkey").alias("place"), ranking.chunk([], ["s_suppkey"], 7).alias("chunk"))
+    rows = sampling.permutation(table(spark, folder, "supplier").select("s_suppkey"), SEED, 3, "s_suppkey")
+    numbered = sampling.range_numbers(rows, "s_suppkey", "n")
+    return numbered.select("s_suppkey", "place", F.floor(F.col("n") / 7).alias("chunk"))
 
 
 def _batches(orders: DataFrame) -> DataFrame:
@@ -247,24 +254,13 @@ def _batches(orders: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT o_orderkey AS key, 1600 AS width, 2000 + o_custkey % 400 AS height, o_custkey % 9 AS dialogues, o_custkey % 7 AS candidates FROM orders WHERE o_orderkey < 2000),
+    f"""WITH p AS (SELECT o_orderkey AS key, 1600 AS width, 2000 + o_custkey % 400 AS height, o_custkey % 9 AS dialogues, o_custkey % 7 AS candidates FROM orders),
 n AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED + 1}|' || key), key) - 1 AS n FROM p), q AS (SELECT *, n // 128 AS pool FROM n),
 b AS (SELECT *, pool * 32 + (row_number() OVER (PARTITION BY pool ORDER BY round_even(8 * width / height, 0), dialogues * candidates, candidates, n) - 1) // 4 AS b FROM q)
 SELECT key, CAST(dense_rank() OVER (ORDER BY md5('{SEED + 1}|batch|' || b), b) - 1 AS BIGINT) AS batch FROM b"""
 )
 def bucketed_batches(spark: SparkSession, folder: str) -> DataFrame:
     """K5: batches of pages of like shape."""
-    return _batches(table(spark, folder, "orders").filter("o_orderkey < 2000"))
-
-
-@query(
-    f"""WITH p AS (SELECT o_orderkey AS key, 1600 AS width, 2000 + o_custkey % 400 AS height, o_custkey % 9 AS dialogues, o_custkey % 7 AS candidates FROM orders),
-n AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED + 1}|' || key), key) - 1 AS n FROM p), q AS (SELECT *, n // 128 AS pool FROM n),
-b AS (SELECT *, pool * 32 + (row_number() OVER (PARTITION BY pool ORDER BY round_even(8 * width / height, 0), dialogues * candidates, candidates, n) - 1) // 4 AS b FROM q)
-SELECT key, CAST(dense_rank() OVER (ORDER BY md5('{SEED + 1}|batch|' || b), b) - 1 AS BIGINT) AS batch FROM b"""
-)
-def bucketed_batches_all(spark: SparkSession, folder: str) -> DataFrame:
-    """K5: the same over all orders."""
     return _batches(table(spark, folder, "orders"))
 
 
@@ -350,14 +346,15 @@ def learning_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {_EPOCH}, b AS (SELECT run, epoch, metric, row_number() OVER (PARTITION BY run ORDER BY metric DESC, epoch) AS r FROM epoch),
-x AS (SELECT unnest(range(12)) * 20 AS run)
+x AS (SELECT unnest(range(CAST(max(user_id) + 11 AS BIGINT))) AS run FROM events)
 SELECT x.run, b.epoch, b.metric, b.metric - (SELECT metric FROM b WHERE r = 1 AND run = 20) AS delta FROM x LEFT JOIN b ON b.run = x.run AND r = 1"""
 )
 def ablation_table(spark: SparkSession, folder: str) -> DataFrame:
     """Best epoch of each expected run and its difference to a baseline."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     runs = table(spark, folder, "events").select(F.col("user_id").alias("run"), F.row_number().over(w).alias("epoch"), F.round("value").alias("metric"))
-    return metrics.ablation(runs, spark.range(0, 240, 20).withColumnRenamed("id", "run"), 20)
+    last = table(spark, folder, "events").agg(F.max("user_id")).first()[0] or 0  # ten runs that are missing are listed, too
+    return metrics.ablation(runs, spark.range(0, last + 11).withColumnRenamed("id", "run"), 20)
 
 
 # ---- decisions and edits ---------------------------------------------------------------
@@ -642,7 +639,7 @@ def stable_labels(spark: SparkSession, folder: str) -> DataFrame:
 SELECT pred, round(sum(v * n) / sum(n), 6) AS weighted, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS least, max(v) AS most, count(*) AS trials FROM m GROUP BY pred"""
 )
 def weighted_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """Weighted and plain summaries over books."""
+    """Weighted and plain summaries over books."""
     per = X.predicted_clusters(spark, folder).groupBy("book", "pred").agg(F.round(F.avg("truth"), 6).alias("v"), F.count(F.lit(1)).alias("n"))
     plain = metrics.trial_summary(per, ["pred"], "v")
     return per.groupBy("pred").agg(metrics.weighted("v", "n").alias("weighted")).join(plain, "pred")
@@ -673,11 +670,11 @@ def feature_stats(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.feature_statistics(X.instances(spark, folder), "vec")
 
 
-@query(f"WITH {_PROTO} SELECT book, label, round(prototype[1], 6) AS p1, round(prototype[33], 6) AS p33, round(prototype[64], 6) AS p64 FROM proto")
+@query(f"WITH {_PROTO} SELECT book, label, CAST(p AS BIGINT) AS position, round(prototype[p], 6) AS value FROM proto, range(1, 65) t(p)")
 def prototypes(spark: SparkSession, folder: str) -> DataFrame:
     """H8, L1: normalised mean vectors of identities."""
     found = vectors.prototypes(X.instances(spark, folder), ["book", "label"], "vec")
-    return found.select("book", "label", *(F.get("prototype", F.lit(i - 1)).alias(f"p{i}") for i in (1, 33, 64)))
+    return found.select("book", "label", F.posexplode("prototype").alias("p", "value")).select("book", "label", (F.col("p") + 1).alias("position"), "value")
 
 
 @query(
@@ -732,7 +729,13 @@ def gallery_query_map(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.retrieval(split, "book", "label", "vec_id", "vec")
 
 
-@query()
+@query(
+    f"""WITH {_SPLIT}, gm AS (SELECT book, label, p, avg(vec[p]) AS x FROM sp, range(1, 65) t(p) WHERE role = 'gallery' GROUP BY ALL),
+gp AS (SELECT book, label, list_transform(list(x ORDER BY p), lambda v: v / greatest(sqrt(list_sum(list_transform(list(x ORDER BY p), lambda y: y * y))), 1e-12)) AS prototype FROM gm GROUP BY book, label),
+s AS (SELECT q.book, q.vec_id, q.label = g.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.vec, g.prototype) DESC, g.label) AS rank FROM sp q JOIN gp g ON g.book = q.book WHERE q.role = 'query'),
+f AS (SELECT book, vec_id, min(rank) AS rank FROM s WHERE hit GROUP BY ALL)
+SELECT book, count(*) AS queries, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS rank1, round(avg(1 / rank), 6) AS mrr FROM f GROUP BY book"""
+)
 def prototype_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     """Few-shot prototypes of the gallery, rank metrics of the queries per book."""
     split = vectors.gallery_split(X.instances(spark, folder), ["book", "label"], "vec_id", SEED, 3)
@@ -754,7 +757,13 @@ def mutual_knn(spark: SparkSession, folder: str) -> DataFrame:
     return graph.mutual_edges(near, "book", "vec_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {I}, s AS (SELECT a.book, a.vec_id AS a, b.vec_id AS b, list_inner_product(a.vec, b.vec) / (sqrt(list_inner_product(a.vec, a.vec)) * sqrt(list_inner_product(b.vec, b.vec))) AS score FROM inst a JOIN inst b ON a.book = b.book AND a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s), n AS (SELECT * FROM k WHERE r <= 5),
+e AS (SELECT x.a, x.b FROM n x JOIN n y ON y.a = x.b AND y.b = x.a WHERE x.score >= 0.35),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM inst UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.node), l AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT i.book, i.vec_id, dense_rank() OVER (PARTITION BY i.book ORDER BY root) - 1 AS cluster FROM inst i JOIN l ON l.node = i.vec_id"""
+)
 def threshold_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Components of the mutual neighbour graph from a cosine of 0.35."""
     frame = X.instances(spark, folder)
@@ -776,7 +785,7 @@ def hdbscan_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def cluster_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """A grid of configurations, the adaptive choice per book and the metrics of that choice."""
+    """A grid of configurations, the adaptive choice per book and the metrics of that choice."""
     frame = X.instances(spark, folder)
     grid = [cluster.Parameters(d, 3, n, m) for d in (8, 16) for n, m in ((2, "eom"), (3, "leaf"))]
     swept = cluster.sweep(frame, "book", "vec_id", "vec", grid)
@@ -789,7 +798,13 @@ def cluster_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.join(scored.select("book", "clusters", "b_f1", "ari"), "book")
 
 
-@query()
+@query(
+    f"""WITH {_PROTO}, s AS (SELECT i.book, i.vec_id, i.label AS own, p.label, list_inner_product(i.vec, p.prototype) AS score FROM inst i JOIN proto p ON p.book = i.book),
+m AS (SELECT book, label, vec_id AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY book, label ORDER BY score DESC, vec_id) AS r FROM s WHERE own = label) WHERE r = 1),
+o AS (SELECT q.book, q.vec_id, other FROM m JOIN inst q ON q.vec_id = m.medoid JOIN LATERAL (SELECT o.vec_id AS other FROM inst o WHERE o.book = m.book AND o.label = m.label AND o.vec_id <> q.vec_id ORDER BY list_inner_product(q.vec, o.vec) DESC, o.vec_id LIMIT 1) ON true),
+e AS (SELECT s.book, s.vec_id AS query, s.label AS cluster, s.score, CASE WHEN m.medoid = s.vec_id THEN o.other ELSE m.medoid END AS example FROM s JOIN m ON m.book = s.book AND m.label = s.label LEFT JOIN o ON o.vec_id = s.vec_id)
+SELECT book, query, rank, cluster, example, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY book, query ORDER BY score DESC, cluster) AS rank FROM e WHERE example IS NOT NULL) WHERE rank <= 5"""
+)
 def identity_top5(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar identities of each vector with an example other than itself."""
     frame = X.instances(spark, folder).select("vec_id", "book", F.col("label").alias("cluster"), "vec")
@@ -815,15 +830,16 @@ def library_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT conv_id, sha256('[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn) || ']') AS signature FROM conversations GROUP BY conv_id"""
 )
 def cache_signature(spark: SparkSession, folder: str) -> DataFrame:
-    """Signature of a group's ordered inputs."""
+    """Signature of a group's ordered inputs."""
     return vectors.signature(table(spark, folder, "conversations"), ["conv_id"], "turn", ["turn", "role"])
 
 
-@query()
+@query(f"SELECT page_id, query, candidate, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, query ORDER BY score DESC, candidate) AS r FROM (SELECT page_id, query, candidate, round(4.0 * f26 - 6.0 * f14 - 2.0 * f17 + f36, 9) AS score FROM ({SQL['pair_features_45']}))) WHERE r = 1")
 def ranked_by_plugin(spark: SparkSession, folder: str) -> DataFrame:
     """M3, M4, 2.R: candidates scored by the built-in ranker over the 45 features, the best of each text."""
     edges = features_45(spark, folder).withColumn("text", F.lit(""))
     scored = plugins.score_queries(edges, ["page_id", "query"], "candidate", "features", "text", "linear")
+    scored = scored.withColumn("score", F.round("score", 9))
     return ranking.top_k(scored, ["page_id", "query"], "score", "candidate", 1).select("page_id", "query", "candidate", "score")
 
 
@@ -838,7 +854,7 @@ def component_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def component_apply(spark: SparkSession, folder: str) -> DataFrame:
-    """Annotations after merging duplicates, leaving out ambiguous ones and keeping the rest."""
+    """Annotations after merging duplicates, leaving out ambiguous ones and keeping the rest."""
     rows = curate.fixture_annotations(spark, folder)
     return rows.groupBy("source", "merge_reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
 
@@ -854,11 +870,11 @@ def resume(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id || chr(9) || '[' || string_agg('{"transcription":"' || role || '","points":[' || turn || ']}', ',' ORDER BY turn) || ']' AS value FROM conversations WHERE turn < 3 GROUP BY conv_id"""
+    """SELECT conv_id || chr(9) || '[' || string_agg('{"transcription":"' || role || '","points":[' || turn || ']}', ',' ORDER BY turn) || ']' AS value FROM conversations GROUP BY conv_id"""
 )
 def detector_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Label lines of pages, JSON arrays in order."""
-    rows = table(spark, folder, "conversations").filter("turn < 3").select("conv_id", F.col("turn").alias("ord"), F.col("role").alias("transcription"), F.array("turn").alias("points"))
+    rows = table(spark, folder, "conversations").select("conv_id", F.col("turn").alias("ord"), F.col("role").alias("transcription"), F.array("turn").alias("points"))
     pages = rows.select("conv_id").distinct().withColumn("image", F.col("conv_id").cast("string"))
     return writers.detector_labels(pages, rows, "conv_id", "image")
 
@@ -868,7 +884,7 @@ def detector_labels(spark: SparkSession, folder: str) -> DataFrame:
 p AS (SELECT p_partkey AS position FROM part) SELECT position, g FROM p JOIN c ON position >= st AND position < st + n"""
 )
 def regrouped_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Consecutive rows dealt to groups of given sizes."""
+    """consecutive rows dealt to groups of given sizes."""
     sizes = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("g"), (F.col("s_nationkey") % 4).alias("n"))
     rows = table(spark, folder, "part").select(F.col("p_partkey").alias("position"))
     return matching.regroup(rows, sizes, "g", "position").select("position", "g")
@@ -878,18 +894,18 @@ def regrouped_rows(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT s_suppkey AS id, 'tail' AS source FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT s_suppkey, 'detector' FROM supplier WHERE s_suppkey % 2 = 1"""
 )
 def injected_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of one source replaced; twice gives the same."""
+    """rows of one source replaced; twice gives the same."""
     base = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 1, "detector").otherwise("tail").alias("source"))
     fresh = table(spark, folder, "supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("id"))
     return matching.inject(matching.inject(base, fresh, "tail"), fresh, "tail")
 
 
 @query(
-    """SELECT l_orderkey, o_orderstatus, n_name, l_linenumber % 2 = 0 AS right_line, s_nationkey % 3 = 0 AS right_nation FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_quantity > 49"""
+    """SELECT l_orderkey, o_orderstatus, n_name, l_linenumber % 2 = 0 AS right_line, s_nationkey % 3 = 0 AS right_nation FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey"""
 )
 def chained_joins(spark: SparkSession, folder: str) -> DataFrame:
     """equi joins in a chain with two correctness flags."""
-    lines = table(spark, folder, "lineitem").filter("l_quantity > 49").select("l_orderkey", "l_suppkey", "l_linenumber")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
     suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")

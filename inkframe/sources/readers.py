@@ -189,6 +189,51 @@ def list_images(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     return files.select("path", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), sizes("content").alias("s")).select("path", "stem", "s.*")
 
 
+def _json_files(spark: SparkSession, folder: str, schema: str, suffix: str = "") -> DataFrame:
+    """key (the file's stem less ``suffix``) and d of the JSON files of a folder; a mark before the text is dropped."""
+    if not folder_exists(spark, folder):
+        return spark.createDataFrame([], f"key string, d struct<{schema}>")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}.json").load(folder)
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    return files.select(F.regexp_extract("path", rf"([^/]*){suffix}\.json$", 1).alias("key"), F.from_json(text, schema).alias("d"))
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _four_numbers(box: Column) -> Column:
+    """A box as four doubles, null if it has not four."""
+    return F.when(F.size(box) == 4, F.transform(box, lambda v: v.cast("double")))
+
+
+def ocr_lines(images: DataFrame, folder: str | None, key: str = "stem") -> DataFrame:
+    """Each image's stem and its lines (box, text) from the file of that stem; without folder, file or lines an empty list.
+
+    Lines whose box has not four numbers are left out.
+    """
+    spark = images.sparkSession
+    schema = "ocr_lines array<struct<box:array<string>,text_for_review_only:string>>"
+    found = _json_files(spark, folder, schema) if folder else spark.createDataFrame([], f"key string, d struct<{schema}>")
+    kept = F.filter(F.transform("d.ocr_lines", lambda x: F.struct(_four_numbers(x["box"]).alias("box"), F.coalesce(x["text_for_review_only"], F.lit("")).alias("text"))), lambda x: x["box"].isNotNull())
+    lines = found.select(F.col("key").alias(key), kept.alias("lines"))
+    return images.select(key).distinct().join(lines, key, "left").select(key, F.coalesce("lines", F.array().cast("array<struct<box:array<double>,text:string>>")).alias("lines"))
+
+
+def tail_boxes(images: DataFrame, folder: str | None, key: str = "stem") -> DataFrame:
+    """Each image's stem and its tail boxes, from <stem>_magiv3_all.json or else <stem>.json; boxes of other than four numbers are left out."""
+    spark = images.sparkSession
+    schema = "tails array<struct<box:array<string>>>"
+    stems = images.select(key).distinct()
+    sources = [_json_files(spark, folder, schema, suffix).withColumnRenamed("key", key) for suffix in ("_magiv3_all", "")] if folder else []
+    if not sources:
+        return stems.withColumn("tails", F.array().cast("array<array<double>>"))
+    kept = F.filter(F.transform("d.tails", lambda x: _four_numbers(x["box"])), lambda b: b.isNotNull())
+    found = first_available([x.join(stems, key, "left_semi") for x in sources], key).select(key, kept.alias("tails"))
+    return stems.join(found, key, "left").select(key, F.coalesce("tails", F.array().cast("array<array<double>>")).alias("tails"))
+
+
 def first_available(sources: list[DataFrame], key: str) -> DataFrame:
     """All rows of the first source that has the key, in the order of the list."""
     ranked = None

@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 
 from inkframe.functions.raster import polygon_mask, rect_polygon_iom
 from inkframe.operators import sampling
+from pyspark.sql import functions as F
+
 from inkframe.plans import catalog, plugins
 
 
@@ -45,7 +47,7 @@ def test_client_retries(spark):
         return prompt.upper()
 
     rows = spark.createDataFrame([(1, "hi"), (2, "no")], "id int, prompt string")
-    got = {r["id"]: (r["response"], r["status"], r["attempts"]) for r in plugins.ask(rows, client).collect()}
+    got = {r["id"]: (r["response"], r["status"], r["attempts"]) for r in plugins.ask(rows, client, unit=0.001).collect()}
     assert got == {1: ("HI", "ok", 1), 2: (None, "failed", 1)}
 
 
@@ -65,7 +67,7 @@ def test_batches_hold_like_shapes(spark):
 
 def test_batches_of_all_orders(spark, small):
     orders = spark.read.parquet(f"{small}/orders.parquet")
-    got = catalog.QUERIES["bucketed_batches_all"](spark, small)
+    got = catalog.QUERIES["bucketed_batches"](spark, small)
     assert got.select("key").exceptAll(orders.select("o_orderkey")).isEmpty() and got.count() == orders.count() > 0
 
 
@@ -74,3 +76,70 @@ def test_hash_numbers(spark):
     got = sampling.hash_numbers(rows, sampling.hash_order(3, "id"), "id", "n").orderBy("n").collect()
     want = [None, *sorted(range(9000), key=lambda i: hashlib.md5(f"3|{i}".encode()).hexdigest())]
     assert [r["id"] for r in got] == want and [r["n"] for r in got] == list(range(9001))
+
+
+def test_whole_groups_are_put_together():
+    import pandas as pd
+
+    from inkframe.operators.streams import whole_groups
+
+    frame = pd.DataFrame({"k": [1, 1, 2, 2, 2, 2, 3, 4, 4], "v": range(9)})
+    for cuts in ([9], [3, 6], [1, 2, 3, 4, 5, 6, 7, 8], [2], [6, 7], [0, 4]):
+        parts = [frame.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, 9], strict=True)]
+        got = list(whole_groups(iter(parts), ["k"]))
+        assert pd.concat(got)["v"].tolist() == list(range(9))
+        seen = [set(g["k"]) for g in got]
+        assert sum(map(len, seen)) == 4
+
+
+def test_bands_fold_as_they_do_in_a_loop(spark):
+    import random
+
+    from inkframe.operators import ranking
+
+    rng = random.Random(2)
+    rows = []
+    for page in range(40):
+        for key in range(rng.randrange(1, 9)):
+            y, x = rng.randrange(900), rng.randrange(900)
+            rows.append((page, key, y, y + rng.randrange(0, 500), x))
+    found = {}
+    for r in ranking.panel_order(spark.createDataFrame(rows, "page int, key long, y1 int, y2 int, x2 int"), "page", "key", "y1", "y2", "x2").collect():
+        found.setdefault(r["page"], {})[r["panel_rank"]] = r["panel"]
+    for page in range(40):
+        want = ranking.panel_bands([(k, float(a), float(b), float(x)) for p, k, a, b, x in rows if p == page])
+        assert [found[page][i] for i in range(len(want))] == want
+
+
+def test_average_linkage_against_a_plain_loop():
+    import numpy as np
+
+    from inkframe.operators import cluster
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 9, 17):
+        x = cluster.normalize(rng.normal(size=(n, 3)))
+        groups = [[i] for i in range(n)]
+        while len(groups) > 1:
+            rated = [(np.mean([x[a] @ x[b] for a in g for b in h]), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j]
+            score, i, j = max(rated)
+            if score < 0.5:
+                break
+            groups[i] += groups.pop(j)
+        got = cluster.average_linkage(x @ x.T, 0.5)
+        assert sorted(sorted(g) for g in groups) == sorted(np.flatnonzero(got == c).tolist() for c in set(got.tolist()))
+
+
+def test_vectors_without_a_kept_token(spark):
+    from inkframe.operators.vectors import masked_mean
+
+    rows = spark.createDataFrame([([[3.0, 4.0], [1.0, 1.0]], [1.0, 0.0]), ([[3.0, 4.0], [1.0, 1.0]], [0.0, 0.0])], "t array<array<double>>, m array<double>")
+    assert [r[0] for r in rows.select(masked_mean(F.col("t"), F.col("m"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_long_numbers_by_range(spark):
+    from inkframe.operators import sampling
+
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    assert [(r["k"], r["n"]) for r in sampling.range_numbers(keys, "k", "n").orderBy("k").collect()] == [(3 * i, i) for i in range(1000)]
+    assert sampling.range_numbers(keys.limit(0), "k", "n").count() == 0

@@ -66,3 +66,21 @@ def test_writers(spark, tmp_path):
     assert "?" in writers.markdown([{"a": None}], ["a"]) and "&lt;" in writers.report("t", [{"a": "<"}], ["a"])
     writers.write_vectors(spark.createDataFrame([(1, [1.0])], "id int, vec array<double>"), f"file://{tmp_path}/vec", "s1")
     assert spark.read.parquet(f"file://{tmp_path}/vec").first()["signature"] == "s1"
+
+
+def test_side_files_of_images(spark, tmp_path):
+    (tmp_path / "ocr").mkdir()
+    (tmp_path / "ocr" / "p1.json").write_text('\ufeff{"ocr_lines": [{"box": [1, 2, 3, 4.5], "text_for_review_only": "a"}, {"box": [1, 2, 3]}, {"box": [0, 0, 1, 1]}]}', encoding="utf-8")
+    (tmp_path / "ocr" / "p2.json").write_text("{}")
+    images = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "stem string")
+    got = {r["stem"]: [(x["box"], x["text"]) for x in r["lines"]] for r in readers.ocr_lines(images, f"file://{tmp_path}/ocr").collect()}
+    assert got == {"p1": [([1.0, 2.0, 3.0, 4.5], "a"), ([0.0, 0.0, 1.0, 1.0], "")], "p2": [], "p3": []}
+    for folder in (None, f"file://{tmp_path}/none"):
+        assert {len(r["lines"]) for r in readers.ocr_lines(images, folder).collect()} == {0}
+        assert {len(r["tails"]) for r in readers.tail_boxes(images, folder).collect()} == {0}
+    (tmp_path / "magi").mkdir()
+    (tmp_path / "magi" / "p1_magiv3_all.json").write_text('{"tails": [{"box": [1, 2, 3, 4]}, {"box": [1]}, {"box": null}]}')
+    (tmp_path / "magi" / "p1.json").write_text('{"tails": [{"box": [9, 9, 9, 9]}]}')
+    (tmp_path / "magi" / "p2.json").write_text('{"tails": [{"box": [5, 6, 7, 8]}]}')
+    got = {r["stem"]: r["tails"] for r in readers.tail_boxes(images, f"file://{tmp_path}/magi").collect()}
+    assert got == {"p1": [[1.0, 2.0, 3.0, 4.0]], "p2": [[5.0, 6.0, 7.0, 8.0]], "p3": []}
