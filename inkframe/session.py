@@ -30,13 +30,15 @@ def session(app: str = "inkframe", master: str | None = None, **conf: str) -> Sp
 
 #: What one Arrow batch holds at most. Spark's defaults let 10,000 long texts through at once.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Rows that are dealt by page stay where they are for joins on page and region.
+PLACING = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers that start from now on import this package, and bound Arrow batches unless the caller has."""
-    for key, bound in BATCH.items():
+    """Let Python workers that start from now on import this package, and set what the caller has not set: bounds of Arrow batches, joins without a needless shuffle."""
+    for key, value in (BATCH | PLACING).items():
         if spark.conf.get(key, None) is None:
-            spark.conf.set(key, bound)
+            spark.conf.set(key, value)
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
