@@ -135,11 +135,13 @@ def document_frequencies(texts: DataFrame, s: Settings) -> tuple[np.ndarray, int
 
 
 def sample_features(texts: DataFrame, n: int, s: Settings) -> tuple[list[np.ndarray], list[np.ndarray], list[str]]:
-    """Buckets, counts and label of at most about ``s.sample`` of the n texts."""
+    """Buckets, counts and label of at most ``s.sample`` of the n texts."""
     if not n:
         return [], [], []
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(s.seed), F.col("doc_id")), 11).cast("double") / F.lit(float(1 << 53))
-    chosen = texts.filter(draw < min(1.0, s.sample / n)).select("doc_id", "lang", "text")
+    # By id and text, so that rows which repeat an id are drawn apart; the order makes the bound hold for equal rows, too.
+    hashed = texts.withColumn("h", F.xxhash64(F.lit(s.seed), F.col("doc_id"), F.col("text")))
+    draw = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))
+    chosen = hashed.filter(draw < min(1.0, s.sample / n)).select("h", "doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,16 +153,14 @@ def sample_features(texts: DataFrame, n: int, s: Settings) -> tuple[list[np.ndar
                 pairs = [(bucket[a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(low, high - low),
-                        batch.column("lang").slice(low, high - low),
+                        *(batch.column(c).slice(low, high - low) for c in ("h", "doc_id", "lang")),
                         pa.array([p[0] for p in pairs], pa.binary()),
                         pa.array([p[1] for p in pairs], pa.binary()),
                     ],
-                    names=["doc_id", "lang", "bucket", "count"],
+                    names=["h", "doc_id", "lang", "bucket", "count"],
                 )
 
-    rows = chosen.mapInArrow(run, "doc_id long, lang string, bucket binary, count binary").toArrow()
-    rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")).slice(0, s.sample) if rows.num_rows else rows
+    rows = chosen.mapInArrow(run, "h long, doc_id string, lang string, bucket binary, count binary").orderBy("h", "doc_id", "lang").limit(s.sample).toArrow()
     unpack = lambda name: [np.frombuffer(x, np.int32) for x in rows.column(name).to_pylist()]
     return unpack("bucket"), unpack("count"), rows.column("lang").to_pylist()
 
@@ -248,7 +248,7 @@ def train(buckets: list[np.ndarray], counts: list[np.ndarray], labels: list[str]
 
 def learn(documents: DataFrame, s: Settings = Settings()) -> Model:
     """Learn from text and lang of the documents that are not held out; rows without text or lang teach nothing."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     teaching = rows.filter(~is_held_out(F.col("doc_id"))).filter("lang IS NOT NULL AND text IS NOT NULL")
     df, n = document_frequencies(teaching, s)
     return train(*sample_features(teaching, n, s), df, n, s)
