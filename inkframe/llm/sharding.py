@@ -79,11 +79,12 @@ def shard_of(key: Column, regions: tuple[Node, ...]) -> Column:
 def number_within(frame: DataFrame, shard: str, key: str, slot: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Gapless numbers from 0 in each shard without a task that holds a whole shard.
 
-    Rows are dealt to ``SLICES`` hash slices per shard, numbered inside the
-    slice, and moved by the sizes of the slices before it.
+    Rows are dealt to ``SLICES`` hash slices per shard by key and ``ties``, so
+    that rows of one key are spread, too, numbered inside the slice, and moved
+    by the sizes of the slices before it.
     """
     part = "__slice"
-    sliced = frame.withColumn(part, F.pmod(F.xxhash64(F.lit("slice"), F.col(key)), F.lit(SLICES)).cast("int"))
+    sliced = frame.withColumn(part, F.pmod(F.xxhash64(F.lit("slice"), F.col(key), *(F.col(c) for c in ties)), F.lit(SLICES)).cast("int"))
     sizes = sliced.groupBy(shard, part).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(shard, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
