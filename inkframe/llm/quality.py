@@ -25,8 +25,9 @@ class Settings:
     A line is frequent on a host if more distinct documents of the host have it
     than ``least_documents`` and than ``share`` of its distinct documents. A
     document is depleted if frequent lines hold more than ``depleted`` percent
-    of its words. Equal texts count as one document, so copies do not make
-    their own lines frequent.
+    of its words. Distinct documents are documents with distinct words: equal
+    texts count as one, as copies would make all of their own lines frequent
+    and reject each other, the first of them too.
     """
 
     least_words: int = 50
@@ -104,34 +105,34 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> _Lines:
     return _Lines(text[has], bounds[:-1][has] + base, bounds[1:][has] + base, key[has], n_words[has], W.sequence_keys(whole)[0])
 
 
-def measure(documents: DataFrame) -> DataFrame:
-    """doc_id, host, base counts, content hash and the hashes and word counts of lines."""
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measure(documents: DataFrame, counts: bool = True) -> DataFrame:
+    """doc_id, host, base counts (if wanted), content hash and the hashes and word counts of lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.buffers(batch.column("text"))
             for low, high in W.slices(offsets):
                 n = high - low
-                c = count(data, offsets[low : high + 1])
+                base = [pa.array(getattr(c, n).astype(np.int64)) for c in [count(data, offsets[low : high + 1])] for n in _COUNTS] if counts else []
                 found = lines(data, offsets[low : high + 1])
                 ends = pa.array(np.append(0, np.cumsum(np.bincount(found.text, minlength=n))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(low, n),
                         batch.column("host").slice(low, n),
-                        *(pa.array(x.astype(np.int64)) for x in (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words)),
+                        *base,
                         pa.array(found.content.view(np.int64)),
                         pa.ListArray.from_arrays(ends, pa.array(found.hash.view(np.int64))),
                         pa.ListArray.from_arrays(ends, pa.array(found.words.astype(np.int32))),
                     ],
-                    names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "line", "line_words"],
+                    names=["doc_id", "host", *(_COUNTS if counts else ()), "content", "line", "line_words"],
                 )
 
-    return documents.mapInArrow(
-        run,
-        "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
-        " n_repeat_words long, content long, line array<long>, line_words array<int>",
-    )
+    kinds = "".join(f"{n} long, " for n in _COUNTS) if counts else ""
+    return documents.mapInArrow(run, f"doc_id long, host string, {kinds}content long, line array<long>, line_words array<int>")
 
 
 def frequent_lines(measured: DataFrame, s: Settings) -> DataFrame:
@@ -165,12 +166,12 @@ def _base_failed(s: Settings) -> Column:
     return (F.col("n_words") < s.least_words) | (100 * F.col("n_repeat_words") > s.repeat_percent * F.col("n_words"))
 
 
-def _prepare(documents: DataFrame, host: str, s: Settings) -> tuple[DataFrame, DataFrame, int]:
+def _prepare(documents: DataFrame, host: str, s: Settings, counts: bool) -> tuple[DataFrame, DataFrame, int]:
     store = Store(documents.sparkSession, "lines")
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").alias("text")
     )
-    measured = store.put("measured", measure(rows))
+    measured = store.put("measured", measure(rows, counts))
     frequent = store.put("frequent", frequent_lines(measured, s))
     return measured, frequent, frequent.count()
 
@@ -183,14 +184,16 @@ def assess(documents: DataFrame, host: str = "source", s: Settings = Settings())
     alike and count as one document of their host. An empty table gives an
     empty result. Columns other than doc_id, text and ``host`` are not read.
     """
-    measured, frequent, rows = _prepare(documents, host, s)
+    measured, frequent, rows = _prepare(documents, host, s, counts=True)
     judged = _with_frequent(measured, F.col("host"), frequent, rows, s)
-    pairs = F.filter(F.arrays_zip("line", "line_words"), lambda x: F.array_contains(F.col("__frequent"), x["line"]))
-    removed = F.aggregate(pairs, F.lit(0).cast("long"), lambda total, x: total + x["line_words"])
+    # The few lines of a text that are frequent are found by a hash set, then counted.
+    judged = judged.withColumn("__hit", F.array_intersect("line", "__frequent"))
+    pairs = F.filter(F.arrays_zip("line", "line_words"), lambda x: F.array_contains(F.col("__hit"), x["line"]))
+    removed = F.when(F.size("__hit") == 0, F.lit(0).cast("long")).otherwise(F.aggregate(pairs, F.lit(0).cast("long"), lambda total, x: total + x["line_words"]))
     failed = _base_failed(s)
     return judged.withColumn("removed_words", removed).select(
         "doc_id",
-        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
+        *_COUNTS,
         failed.alias("base_failed"),
         "removed_words",
         (~failed & (100 * F.col("removed_words") <= s.depleted * F.col("n_words"))).alias("kept"),
@@ -203,7 +206,7 @@ def clean(documents: DataFrame, host: str = "source", s: Settings = Settings())
     The verdicts are those of ``assess``; the same edge cases hold. A column
     n_chars, if there is one, is set to the length of the new text.
     """
-    _, frequent, rows = _prepare(documents, host, s)
+    _, frequent, rows = _prepare(documents, host, s, counts=False)
     names = documents.columns
     frame = _with_frequent(documents, F.col(f"`{host}`"), frequent, rows, s)
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
