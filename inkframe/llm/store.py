@@ -14,10 +14,15 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests
-    in local mode) a temporary folder of this user."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, local
+    mode takes a temporary folder of this user and a cluster is an error, as
+    its executors share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or "file://" + os.path.join(tempfile.gettempdir(), f"inkframe-{os.getuid()}")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"inkframe-{os.getuid()}")
 
 
 class Store:
