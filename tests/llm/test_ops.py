@@ -172,6 +172,44 @@ def test_weights_move_only_what_they_must(spark):
     assert all(r["b"] == 3 for r in moved if rack(r["a"]) == 0)
 
 
+def test_draws_against_a_second_implementation(spark):
+    """Every level picks the node of the least exponential draw; the hashes are Spark's, the descent is not."""
+    import math
+
+    weights = {i: 1.0 + i % 5 for i in range(16)}
+    regions = sharding.tree(16, weights)
+    keys = spark.range(300)
+    nodes = {"region": regions, "rack": [k for r in regions for k in r.children], "shard": [s for r in regions for k in r.children for s in k.children]}
+    hashes = {name: F.xxhash64(F.lit(level), F.lit(n.number), F.col("id")) for level, found in nodes.items() for n in found for name in [f"{level}{n.number}"]}
+    rows = keys.select("id", sharding.shard_of(F.col("id"), regions).alias("got"), *(h.alias(name) for name, h in hashes.items())).collect()
+
+    def pick(row, level, found):
+        def draw(n):
+            return -math.log((((row[f"{level}{n.number}"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)) / n.weight
+
+        return min(found, key=draw)
+
+    for row in rows:
+        region = pick(row, "region", regions)
+        rack = pick(row, "rack", region.children)
+        assert row["got"] == pick(row, "shard", rack.children).number
+
+
+def test_shares_follow_the_weights(spark):
+    weights = {i: float(1 + i % 4) for i in range(16)}
+    n = 60_000
+    got = {r["s"]: r["count"] for r in spark.range(n).groupBy(sharding.shard_of(F.col("id"), sharding.tree(16, weights)).alias("s")).count().collect()}
+    for shard, weight in weights.items():
+        want = n * weight / sum(weights.values())
+        assert abs(got[shard] - want) < 5 * want**0.5
+
+
+def test_one_id_is_spread_over_slices(spark):
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    got = sharding.shard_documents(rows).collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(3000))
+
+
 # ---- 2 near-duplicates ----------------------------------------------------------------
 
 
@@ -443,6 +481,13 @@ def test_lists_are_opened_until_they_hold_enough():
     assert ann.candidates(np.array([2.0, 1.0, 2.0, 2.0, 3.0]), 2).tolist() == [0, 1, 2, 3]
 
 
+def test_vectors_of_several_lengths_and_clashing_names(spark):
+    rows = [(i, [float(i % 7), 1.0], 1) for i in range(20)] + [(100 + i, [1.0], 1) for i in range(5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int").withColumns({c: F.lit(3) for c in ("id", "list", "rank", "score", "query_id")})
+    got = ann.search(frame, "id % 50 = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [7, 14, 1, 8, 15] and {r["query_id"] for r in got} == {0}
+
+
 # ---- 6 quality --------------------------------------------------------------------------------------
 
 
@@ -543,6 +588,96 @@ def test_leader_shrinks_unused_weights():
     assert w[0, 0] > w[0, 1] and w[1, 1] > w[1, 0] and (w[2:] == 0).all()
 
 
+def plain_grams(text, orders):
+    """Character n-grams of lower-cased letters, other runs as one space, as tuples of code points."""
+    out, last = [], None
+    for c in text:
+        low = c.lower() if len(c.lower()) == 1 else c
+        x = ord(low) if c.isalpha() else 0
+        if x or last != 0:
+            out.append(x)
+        last = x
+    return Counter(tuple(out[i : i + k]) for k in range(1, orders + 1) for i in range(len(out) - k + 1))
+
+
+def test_grams_against_a_plain_loop():
+    import pyarrow as pa
+
+    s = langid.Settings(buckets=1 << 30)
+    texts = [t for _, t in AWKWARD if t is not None and len(t) < 5000] + ["Ab  ab, AB!", " x", "ÀÉ ß İ"]
+    data, offsets = words.buffers(pa.array(texts))
+    bucket, owner, has = langid.grams(data, offsets, s)
+    names = {}
+    for i, t in enumerate(texts):
+        want = plain_grams(t, s.orders)
+        got = Counter(bucket[owner == i].tolist())
+        assert sorted(got.values()) == sorted(want.values()) and bool(has[i]) == any(c.isalpha() for c in t)
+        for gram, n in want.items():  # one bucket per gram, whatever the text
+            names.setdefault(gram, set()).update(b for b, m in got.items() if m == n)
+    assert all(names.values())
+
+
+def test_training_against_a_plain_loop():
+    """FTRL, elastic net, temperature and logits, number by number, from the published update rule."""
+    import math
+
+    import pyarrow as pa
+
+    s = langid.Settings(buckets=64, epochs=2, l1=0.01, l2=0.1, alpha=0.3)
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcde " if i % 2 else "defgh ", k=rng.randrange(5, 40))) for i in range(20)]
+    labels = ["xx" if i % 2 else "yy" for i in range(20)]
+    data, offsets = words.buffers(pa.array(texts))
+    bucket, owner, _ = langid.grams(data, offsets, s)
+    counted = [Counter(bucket[owner == i].tolist()) for i in range(20)]
+    df = np.array([sum(b in c for c in counted) for b in range(64)])
+    model = langid.train([np.array(sorted(c), np.int32) for c in counted], [np.array([c[b] for b in sorted(c)], np.int32) for c in counted], labels, df, 20, s)
+
+    idf = [math.log((1 + 20) / (1 + d)) + 1 for d in df]
+    x = [{**{b: n / sum(c.values()) * idf[b] * s.scale for b, n in c.items()}, 64: 1.0} for c in counted]
+    z, m = [[[0.0] * 2 for _ in range(65)] for _ in range(2)]
+
+    def weight(b, k):
+        shrunk = math.copysign(max(abs(z[b][k]) - s.l1, 0.0), z[b][k])
+        return -shrunk / ((s.beta + math.sqrt(m[b][k])) / s.alpha + s.l2)
+
+    def probabilities(i, t=1.0):
+        raw = [sum(v * weight(b, k) for b, v in x[i].items()) / t for k in range(2)]
+        e = [math.exp(r - max(raw)) for r in raw]
+        return [v / sum(e) for v in e]
+
+    draw = np.random.default_rng(s.seed)
+    order = draw.permutation(20)
+    for _ in range(s.epochs):
+        for i in draw.permutation(order[4:]).tolist():
+            p = probabilities(i)
+            p[labels[i] == "yy"] -= 1.0
+            now = {b: [weight(b, k) for k in range(2)] for b in x[i]}
+            for b, v in x[i].items():
+                for k in range(2):
+                    g = v * p[k]
+                    z[b][k] += g - (math.sqrt(m[b][k] + g * g) - math.sqrt(m[b][k])) / s.alpha * now[b][k]
+                    m[b][k] += g * g
+    grid = [math.exp(math.log(0.05) + i * (math.log(20) - math.log(0.05)) / 240) for i in range(241)]
+    loss = [-sum(math.log(max(probabilities(i, t)[labels[i] == "yy"], 1e-300)) for i in order[:4].tolist()) for t in grid]
+    assert model.temperature == pytest.approx(grid[loss.index(min(loss))])
+    logits, _ = model.logits(data, offsets)
+    for i in range(20):
+        assert langid.softmax(logits)[i].tolist() == pytest.approx(probabilities(i, model.temperature), abs=1e-4)
+
+
+def test_ids_that_are_no_integers(spark):
+    rows = spark.createDataFrame([(f"id{i}", "der die das und" if i % 2 else "the of and to", "de" if i % 2 else "en") for i in range(80)], "doc_id string, text string, lang string")
+    got = langid.predict(rows, langid.learn(rows)).collect()
+    assert all(r["held_out"] == (zlib.crc32(r["doc_id"].encode()) % 4 == 2) for r in got)
+    assert all(r["lang_pred"] == ("de" if int(r["doc_id"][2:]) % 2 else "en") for r in got)
+
+
+def test_sample_is_bounded_for_equal_rows(spark):
+    rows = spark.createDataFrame([(1, "the same text again", "en")] * 50, "doc_id string, text string, lang string")
+    assert len(langid.sample_features(rows, 50, langid.Settings(sample=20))[2]) <= 20
+
+
 # ---- 8 urls ------------------------------------------------------------------------------------------------
 
 
@@ -700,6 +835,11 @@ def test_files_follow_the_public_format(spark, awkward, tmp_path):
     assert plain == want
 
 
+def test_token_files_with_clashing_columns(spark, clashing, tmp_path):
+    tokenfile.write_tokens(clashing.withColumns({"tie": F.lit(1), "name": F.lit(2)}), f"file://{tmp_path}/c", public_tokenizers.path("word_bpe_49k.json"))
+    assert tokenfile.read_tokens(spark, f"file://{tmp_path}/c").count() == len(AWKWARD)
+
+
 def test_fetch_reads_only_files_that_hold_the_ids(spark, small, tmp_path):
     docs = table(spark, small)
     folder = f"file://{tmp_path}/files"

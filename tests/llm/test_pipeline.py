@@ -4,6 +4,7 @@ import hashlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkframe.llm import bpe, minhash, mixing, quality
@@ -48,7 +49,27 @@ def test_run(spark, small):
 def test_stages_on_nothing(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, small).columns == docs.columns
+        found = stage(spark, docs, small)
+        assert found.columns == docs.columns and found.count() == 0
+    assert corpus_pipeline.encode_tokens(spark, docs, small).count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in every column, repeated rows and ids, and columns with names that the stages use."""
+    text = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"other{i}" for i in range(80))
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text + " x", None, None, None), (None, text, "en", "a", 1), (None, None, None, None, None), (3, "", "en", "a", 0), (1, other, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(5) for c in ("tie", "rep", "k1", "host", "kept", "n_removed", "kept_text", "topic", "ids_x")})
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns
+        kept[name] = sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str)
+    assert kept["quality_rules"] == sorted([(i, t) for i, t, *_ in rows if t and len(t) > 9], key=str)
+    assert kept["near_dedup"] == sorted([(1, text), (1, other), (None, text), (None, None), (3, "")], key=str)
+    assert kept["substring_dedup"] == sorted([(1, text), (1, text), (2, "x"), (None, text), (None, None), (3, ""), (1, other)], key=str)
+    assert corpus_pipeline.encode_tokens(spark, docs, "").count() == len(rows)
 
 
 def test_last_stage_decodes(spark, awkward_texts):
