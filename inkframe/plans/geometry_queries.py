@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as G
@@ -225,14 +225,32 @@ def rank_normalized(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _page_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Text-body pairs (t_*, b_*) with their panels pt and pb and the text's panel as p_*.
+
+    A page's frames, then its bodies, are gathered by windows over the page, so
+    one shuffle by page serves panels and pairs and nothing is joined.
+    """
+    page = ranking.Window.partitionBy("page_id")
+    sides = ("x1", "y1", "x2", "y2")
+    listed = lambda cls, *fields: F.collect_list(F.when(F.col("cls") == cls, F.struct("region_id", *sides, *fields))).over(page)
+    own = Box.of()
+
+    def rank(f: Column) -> Column:
+        inside = G.contains_centre(Box.field(f), own)
+        order = F.when(inside, G.ordering_area(Box.field(f))).otherwise(-G.intersection(own, Box.field(f))).cast("double")
+        return F.struct((~inside).alias("outside"), order.alias("order"), f["region_id"].alias("panel"))
+
+    usable = lambda f: G.contains_centre(Box.field(f), own) | (G.intersection(own, Box.field(f)) > 0)
+    rows = X.regions(spark, folder).withColumn("frames", listed("frame")).withColumn("panel", F.array_min(F.transform(F.filter("frames", usable), rank))["panel"])
+    rows = rows.withColumn("bodies", listed("body", "panel")).filter("cls = 'text'").withColumn("p", F.get(F.filter("frames", lambda f: f["region_id"] == F.col("panel")), F.lit(0)))
+    texts = rows.select("page_id", F.col("region_id").alias("t_region_id"), *(F.col(c).alias(f"t_{c}") for c in sides), F.col("panel").alias("pt"), *(F.col(f"p.{c}").alias(f"p_{c}") for c in sides), F.explode("bodies").alias("b"))
+    return texts.select("*", F.col("b.region_id").alias("b_region_id"), *(F.col(f"b.{c}").alias(f"b_{c}") for c in sides), F.col("b.panel").alias("pb")).drop("b")
+
+
 def features_45(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, query, candidate and the 45 features of a text and a body, in their fixed order."""
-    regions = X.regions(spark, folder)
-    frames = frames_of(regions, "pt")
-    panel = panels_of(regions)
-    pairs = _pairs(spark, folder)
-    pairs = pairs.join(panel.withColumnsRenamed({"region_id": "t_region_id", "panel": "pt"}), ["page_id", "t_region_id"])
-    pairs = pairs.join(panel.withColumnsRenamed({"region_id": "b_region_id", "panel": "pb"}), ["page_id", "b_region_id"]).join(frames, ["page_id", "pt"], "left")
+    pairs = _page_pairs(spark, folder)
     group = ["page_id", "t_region_id"]
     one = F.lit(1.0)
     # Doubled coordinates keep the ranked distance a whole number.
@@ -240,14 +258,13 @@ def features_45(spark: SparkSession, folder: str) -> DataFrame:
     same = F.coalesce(F.col("pt") == F.col("pb"), F.lit(False))
     w = ranking.Window.partitionBy(*group)
     by_distance = w.orderBy("__d", "b_region_id")
-    in_panel = ranking.Window.partitionBy(*group, "__same").orderBy("__d", "b_region_id")
     ranked = pairs.withColumns({"__d": dx2 * dx2 + dy2 * dy2, "__same": same})
     ranked = ranked.withColumns(
         {
             "__n": F.count(F.lit(1)).over(w),
             "__ns": F.count_if("__same").over(w),
             "__r": F.row_number().over(by_distance),
-            "__rs": F.row_number().over(in_panel),
+            "__rs": F.count_if("__same").over(by_distance),  # the rank among those of the panel, for rows of the panel
         }
     )
     width, height = F.lit(float(X.PAGE_WIDTH)), F.lit(float(X.PAGE_HEIGHT))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that all executors read; local mode may do without ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"inkframe-{os.getuid()}")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

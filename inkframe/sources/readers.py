@@ -81,10 +81,28 @@ def read_character_names(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(_book().alias("book"), F.explode("character").alias("c")).select("book", F.col("c._id").alias("character_id"), F.coalesce("c._name", F.lit("")).alias("name"))
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """book, page, id and the first text of each text element, white space kept."""
+def read_transcripts(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """book, page, id and the first text of each text element, white space kept. If strict, an id twice on a page is an error."""
     rows = _pages(spark, path, "text array<struct<_id:string,_VALUE:string>>", strip=False)
-    return rows.select("book", "page", F.explode("text").alias("t")).select("book", "page", F.col("t._id").alias("id"), F.coalesce("t._VALUE", F.lit("")).alias("text"))
+    flat = rows.select("book", "page", F.explode("text").alias("t")).select("book", "page", F.col("t._id").alias("id"), F.coalesce("t._VALUE", F.lit("")).alias("text"))
+    if not strict:
+        return flat
+    again = F.count(F.lit(1)).over(Window.partitionBy("book", "page", "id")) > 1
+    error = F.raise_error(F.concat(F.lit("duplicate id on a page: "), F.coalesce("id", F.lit("null")))).cast("string")
+    return flat.withColumn("text", F.when(again, error).otherwise(F.col("text")))
+
+
+def read_boxes(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("text", "body")) -> DataFrame:
+    """book, page, cls, id and box of texts and bodies; a missing coordinate is 0, a missing page size 1."""
+    schema = ", ".join(["_index int, _width int, _height int", *(f"{k} array<struct<_id:string, {BOX}>>" for k in kinds)])
+    rows = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
+    out = None
+    for kind in kinds:
+        size = (F.coalesce(f"_{c}", F.lit(1)).alias(c) for c in ("width", "height"))
+        part = rows.select(_book().alias("book"), F.col("_index").alias("page"), *size, F.lit(kind).alias("cls"), F.explode(kind).alias("t"))
+        out = part if out is None else out.unionByName(part)
+    sides = (("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))
+    return out.select("book", "page", "width", "height", "cls", F.col("t._id").alias("id"), *(F.coalesce(F.col(f"t._{s}").cast("double"), F.lit(0.0)).alias(a) for s, a in sides))
 
 
 def read_nested_texts(spark: SparkSession, path: str, element: str = "text") -> DataFrame:
