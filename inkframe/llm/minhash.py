@@ -99,13 +99,17 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows, dtype=np.uint8))])
 
 
+def _rows(documents: DataFrame) -> DataFrame:
+    """doc_id, text and a hash that tells the texts of one doc_id apart."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
+
+
 def sketch(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, sequence key (k1, k2), n_shingles, and for texts with words their bands and short signature."""
+    """doc_id, hash of the text, sequence key (k1, k2), n_shingles, and for texts with words their bands and short signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.buffers(batch.column("text"))
-            ids = batch.column("doc_id")
             for low, high in W.slices(offsets):
                 w = W.split(data, offsets[low : high + 1], lower=True)
                 n = high - low
@@ -119,18 +123,17 @@ def sketch(documents: DataFrame, s: Settings) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(low, n),
+                        *(batch.column(c).slice(low, n) for c in ("doc_id", "h")),
                         pa.array(k1.view(np.int64)),
                         pa.array(k2.view(np.int64)),
                         pa.array(np.bincount(text, minlength=n).astype(np.int64)),
                         lists,
                         _fixed((signature & np.uint32(255)).astype(np.uint8)),
                     ],
-                    names=["doc_id", "k1", "k2", "n_shingles", "bands", "short"],
+                    names=["doc_id", "h", "k1", "k2", "n_shingles", "bands", "short"],
                 )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, short binary")
+    return _rows(documents).mapInArrow(run, "doc_id long, h long, k1 long, k2 long, n_shingles long, bands array<long>, short binary")
 
 
 def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -173,25 +176,25 @@ def close_signatures(buckets: DataFrame, s: Settings) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, sequence key, signature and sorted distinct shingle hashes of each document, as bytes."""
+    """Every column but text, and the signature and sorted distinct shingle hashes of each document, as bytes."""
+    keep = [c for c in documents.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.buffers(batch.column("text"))
             for low, high in W.slices(offsets):
                 n = high - low
-                w = W.split(data, offsets[low : high + 1], lower=True)
-                text, h = shingles(w, s.shingle)
+                text, h = shingles(W.split(data, offsets[low : high + 1], lower=True), s.shingle)
                 signature, _ = minima(text, h, n, s)
                 bounds = np.append(0, np.cumsum(np.bincount(text, minlength=n))).astype(np.int32) * 8
                 sets = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(h))])
-                keys = [pa.array(k.view(np.int64)) for k in W.sequence_keys(w)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, n), *keys, _fixed(signature.view(np.uint8).reshape(n, -1)), sets],
-                    names=["doc_id", "k1", "k2", "signature", "shingles"],
+                    [*(batch.column(c).slice(low, n) for c in keep), _fixed(signature.view(np.uint8).reshape(n, -1)), sets],
+                    names=[*keep, "signature", "shingles"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, signature binary, shingles binary")
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
+    return documents.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", signature binary, shingles binary")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -249,7 +252,8 @@ def _link(documents: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         "reps",
         sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+        .agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+        .select("k1", "k2", F.col("least.doc_id").alias("rep"), F.col("least.h").alias("rep_h"), "n_shingles", "bands", "short")
         .withColumn("node", F.monotonically_increasing_id()),  # fixed by the written table
     )
     spots = reps.select("node", F.explode("bands").alias("bucket"))
@@ -259,13 +263,11 @@ def _link(documents: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     families = store.put("families", components(close, store, "family").withColumnRenamed("component", "family"))
     store.release()
 
-    known = families.join(reps.select("node", "k1", "k2", "rep", (8 * F.col("n_shingles")).alias("volume")), "node")
+    known = families.join(reps.select("node", "rep", "rep_h", (8 * F.col("n_shingles")).alias("volume")), "node")
     sizes = known.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("volume").alias("total"))
-    listed = known.select("node", "k1", "k2", "rep", "family").join(sizes, "family")
-    # One row per rep and text; a text of the rep that is of another class goes at the second join.
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
-    texts = rows.join(listed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "h"])
-    sets = full_sets(texts, s).join(listed, ["k1", "k2"]).filter("doc_id = rep")
+    listed = known.select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"), "node", "family").join(sizes, "family")
+    texts = _rows(documents).join(listed, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])  # a class's least row, once
+    sets = full_sets(texts, s)
     links = store.put("links", true_links(deal_blocks(sets, "family", F.col("members"), "node", s.block, F.col("total"), s.block_bytes), s))
     labels = store.put("labels", components(links, store, "component"))
     store.drop("close", "families")
