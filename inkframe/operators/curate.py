@@ -97,5 +97,9 @@ def fixture_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 
 
 def fixture_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    from inkframe.session import scratch
+
     a, b = fixture_sources(spark, folder)
-    return apply_components(a, b, fixture_components(spark, folder))
+    path = scratch(spark, "components")  # three joins read them; they are found and classified once
+    fixture_components(spark, folder).write.parquet(path)
+    return apply_components(a, b, spark.read.parquet(path))

@@ -83,8 +83,11 @@ def bucketed_batches(pages: DataFrame, key: str, seed: int, epoch: int, batch: i
 
 def identity_batches(frame: DataFrame, identity: str, key: str, seed: int, identities: int, rows: int) -> DataFrame:
     """Batches of ``identities`` x ``rows``: members in hash order, repeated from the start if there are too few."""
-    members = F.transform(F.array_sort(F.collect_list(F.struct(hash_order(seed, key).alias("o"), F.col(key).alias("k")))), lambda s: s["k"])
-    listed = frame.groupBy(identity).agg(members.alias("__m"))
+    # Spark prunes the window to the first ``rows`` members before the shuffle; more are never drawn.
+    place = F.row_number().over(Window.partitionBy(identity).orderBy(hash_order(seed, key), key))
+    first = frame.select(identity, key, place.alias("__r")).filter(F.col("__r") <= rows)
+    members = F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(key).alias("k")))), lambda s: s["k"])
+    listed = first.groupBy(identity).agg(members.alias("__m"))
     drawn = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.get("__m", F.pmod(i, F.size("__m"))))
     number = F.row_number().over(Window.orderBy(hash_order(seed + 1, identity), identity)) - 1
     numbered = listed.withColumn("__n", number)

@@ -837,7 +837,8 @@ def cache_signature(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT page_id, query, candidate, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, query ORDER BY score DESC, candidate) AS r FROM (SELECT page_id, query, candidate, round(4.0 * f26 - 6.0 * f14 - 2.0 * f17 + f36, 9) AS score FROM ({SQL['pair_features_45']}))) WHERE r = 1")
 def ranked_by_plugin(spark: SparkSession, folder: str) -> DataFrame:
     """M3, M4, 2.R: candidates scored by the built-in ranker over the 45 features, the best of each text."""
-    edges = features_45(spark, folder).withColumn("text", F.lit(""))
+    rounded = F.transform("features", lambda x: F.round(x, 9))  # as the query of the features gives them
+    edges = features_45(spark, folder).withColumn("features", rounded).withColumn("text", F.lit(""))
     scored = plugins.score_queries(edges, ["page_id", "query"], "candidate", "features", "text", "linear")
     scored = scored.withColumn("score", F.round("score", 9))
     return ranking.top_k(scored, ["page_id", "query"], "score", "candidate", 1).select("page_id", "query", "candidate", "score")
