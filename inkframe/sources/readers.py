@@ -239,12 +239,12 @@ def ocr_lines(images: DataFrame, folder: str | None, key: str = "stem") -> DataF
     return images.select(key).distinct().join(lines, key, "left").select(key, F.coalesce("lines", F.array().cast("array<struct<box:array<double>,text:string>>")).alias("lines"))
 
 
-def tail_boxes(images: DataFrame, folder: str | None, key: str = "stem") -> DataFrame:
-    """Each image's stem and its tail boxes, from <stem>_magiv3_all.json or else <stem>.json; boxes of other than four numbers are left out."""
+def tail_boxes(images: DataFrame, folder: str | None, suffixes: tuple[str, ...] = ("_all", ""), key: str = "stem") -> DataFrame:
+    """Each image's stem and its tail boxes, from the first of <stem><suffix>.json that exists; boxes of other than four numbers are left out."""
     spark = images.sparkSession
     schema = "tails array<struct<box:array<string>>>"
     stems = images.select(key).distinct()
-    sources = [_json_files(spark, folder, schema, suffix).withColumnRenamed("key", key) for suffix in ("_magiv3_all", "")] if folder else []
+    sources = [_json_files(spark, folder, schema, suffix).withColumnRenamed("key", key) for suffix in suffixes] if folder else []
     if not sources:
         return stems.withColumn("tails", F.array().cast("array<array<double>>"))
     kept = F.filter(F.transform("d.tails", lambda x: _four_numbers(x["box"])), lambda b: b.isNotNull())

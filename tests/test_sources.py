@@ -78,9 +78,9 @@ def test_side_files_of_images(spark, tmp_path):
     for folder in (None, f"file://{tmp_path}/none"):
         assert {len(r["lines"]) for r in readers.ocr_lines(images, folder).collect()} == {0}
         assert {len(r["tails"]) for r in readers.tail_boxes(images, folder).collect()} == {0}
-    (tmp_path / "magi").mkdir()
-    (tmp_path / "magi" / "p1_magiv3_all.json").write_text('{"tails": [{"box": [1, 2, 3, 4]}, {"box": [1]}, {"box": null}]}')
-    (tmp_path / "magi" / "p1.json").write_text('{"tails": [{"box": [9, 9, 9, 9]}]}')
-    (tmp_path / "magi" / "p2.json").write_text('{"tails": [{"box": [5, 6, 7, 8]}]}')
-    got = {r["stem"]: r["tails"] for r in readers.tail_boxes(images, f"file://{tmp_path}/magi").collect()}
+    (tmp_path / "tails").mkdir()
+    (tmp_path / "tails" / "p1_v3_all.json").write_text('{"tails": [{"box": [1, 2, 3, 4]}, {"box": [1]}, {"box": null}]}')
+    (tmp_path / "tails" / "p1.json").write_text('{"tails": [{"box": [9, 9, 9, 9]}]}')
+    (tmp_path / "tails" / "p2.json").write_text('{"tails": [{"box": [5, 6, 7, 8]}]}')
+    got = {r["stem"]: r["tails"] for r in readers.tail_boxes(images, f"file://{tmp_path}/tails", ("_v3_all", "")).collect()}
     assert got == {"p1": [[1.0, 2.0, 3.0, 4.0]], "p2": [[5.0, 6.0, 7.0, 8.0]], "p3": []}
