@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm import ann, bpe, langid, minhash, mixing, quality, sharding, substring, tokenfile, urlfilter
+from inkframe.llm import ann, bpe, codes, langid, minhash, mixing, negatives, quality, sharding, subspace, substring, tokenfile, urlfilter
 from inkframe.llm.store import Store
 from inkframe.session import prepare, table
 
@@ -64,6 +64,24 @@ def op10_ipf_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.assign(table(prepare(spark), folder, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    made = codes.compress(table(prepare(spark), folder, "embeddings"))
+    digits = F.concat_ws("", F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")))
+    books = ",".join(str(x) for x in made.books.ravel().tolist())
+    found = codes.with_label_error(made.rows)
+    return found.select("vec_id", digits.alias("code"), "error", "label_error", F.sha2(F.lit(books), 256).alias("codebooks_sha256"))
+
+
+def op12_subspace_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return subspace.near_vectors(table(prepare(spark), folder, "embeddings"))
+
+
+def op13_ball_tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(prepare(spark), folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), "id % 50 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_tree": op1_shard_tree,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -75,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_bloom_cascade": op8_url_bloom_cascade,
     "op9_token_files": op9_token_files,
     "op10_ipf_mixture": op10_ipf_mixture,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_subspace_near_dedup": op12_subspace_near_dedup,
+    "op13_ball_tree_negatives": op13_ball_tree_negatives,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -129,10 +150,51 @@ r AS (SELECT *, CASE WHEN {_FITS.format("example.org", "/en/1")} THEN 'example.o
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IN ('com/fr/', 'org/') THEN 'allow'
   WHEN left(md5(host), 1) = '7' THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_ROUND11 = """a{n} AS MATERIALIZED (
+  SELECT vec_id, p, min_by(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT vec_id, part.p, e, list_sum(list_transform(list_zip(part.v, book.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM part JOIN b{n} AS book ON book.p = part.p)
+  GROUP BY vec_id, p),
+m{n} AS (
+  SELECT p, e, list((s - ((s % n + n) % n)) // n ORDER BY i) AS v FROM (
+    SELECT p, e, i, sum(v[i]) AS s, count(*) AS n FROM a{n} JOIN part USING (vec_id, p), range(1, 9) t(i) GROUP BY p, e, i) GROUP BY p, e),
+b{next} AS MATERIALIZED (SELECT p, e, coalesce(m.v, b.v)::BIGINT[] AS v FROM b{n} AS b LEFT JOIN m{n} AS m USING (p, e)),"""
+_SQL11 = f"""WITH d AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_FINITE}),
+part AS MATERIALIZED (SELECT vec_id, p, v[p * 8 + 1:p * 8 + 8] AS v FROM d, range(8) t(p)),
+b0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM d QUALIFY e < 16) JOIN part USING (vec_id)),
+{" ".join(_ROUND11.format(n=n, next=n + 1) for n in range(6))}
+{_ROUND11.format(n=6, next=7).split(",\nm6")[0]},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id),
+k AS (SELECT sha256(string_agg(CAST(v[i] AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM b6, range(1, 9) t(i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM c JOIN d USING (vec_id), k"""
+
+_SQL12 = f"""WITH RECURSIVE d AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+link AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM d a JOIN d b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) >= 0.93 * sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AND list_inner_product(a.v, a.v) > 0 AND list_inner_product(b.v, b.v) > 0),
+reach AS (SELECT a AS node, a AS root FROM link UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.node),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.node = e.vec_id"""
+
+_SQL13 = f"""WITH d AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM d a JOIN d r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
 #: The others need checksums, tokenizers, sketches or iteration that SQL lacks; tests hold them against brute force.
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": _SQL2,
     "op4_rlz_substring_dedup": _SQL4,
     "op6_line_frequency_quality": _SQL6,
     "op8_url_bloom_cascade": _SQL8,
+    "op11_vector_codes": _SQL11,
+    "op12_subspace_near_dedup": _SQL12,
+    "op13_ball_tree_negatives": _SQL13,
 }
