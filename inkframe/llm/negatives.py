@@ -42,7 +42,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class Tree:
-    """Rows in the order of a balanced tree; node i has rows low[i] to high[i], and children 2i + 1 and 2i + 2 unless it is a leaf."""
+    """Rows in the order of the tree; node i has rows low[i] to high[i], and the children child[i] and child[i] + 1, or 0 at a leaf."""
 
     x: np.ndarray
     ids: np.ndarray
@@ -51,33 +51,37 @@ class Tree:
     radius: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    child: np.ndarray
 
     def is_leaf(self, node: int) -> bool:
-        return 2 * node + 2 >= len(self.low)
+        return self.child[node] == 0
 
 
 def build(x: np.ndarray, ids: np.ndarray, labels: np.ndarray, leaf: int) -> Tree:
-    """Halves rows along the line from the row farthest from the centre to the row farthest from that one."""
-    depth = max(0, int(np.ceil(np.log2(max(1, len(x)) / leaf))))
-    nodes = 2 ** (depth + 1) - 1
+    """Cuts rows along the line from the row farthest from the centre to the row
+    farthest from that one, at the widest gap of the middle half, down to ``leaf`` rows."""
     order = np.arange(len(x))
-    low, high = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
-    centre, radius = np.zeros((nodes, x.shape[1])), np.zeros(nodes)
-    high[0] = len(x)
-    for node in range(nodes):
+    low, high, child, centre, radius = [0], [len(x)], [0], [], []
+    node = 0
+    while node < len(low):
         a, b = low[node], high[node]
         held = x[order[a:b]]
-        centre[node] = held.mean(axis=0)
+        centre.append(held.mean(axis=0))
         away = ((held - centre[node]) ** 2).sum(axis=1)
-        radius[node] = np.sqrt(away.max())
-        if 2 * node + 2 < nodes:
+        radius.append(np.sqrt(away.max()))
+        if b - a > max(leaf, 1):
             one = held[away.argmax()]
-            line = held[((held - one) ** 2).sum(axis=1).argmax()] - one
-            middle = (b - a) // 2
-            order[a:b] = order[a:b][np.argpartition(held @ line, middle)]
-            low[2 * node + 1], high[2 * node + 1] = a, a + middle
-            low[2 * node + 2], high[2 * node + 2] = a + middle, b
-    return Tree(x[order], ids[order], labels[order], centre, radius, low, high)
+            along = held @ (held[((held - one) ** 2).sum(axis=1).argmax()] - one)
+            by = np.argsort(along, kind="stable")
+            order[a:b] = order[a:b][by]
+            first, last = max(1, (b - a) // 4), max(2, 3 * (b - a) // 4)
+            cut = a + first + int(np.diff(along[by])[first - 1 : last - 1].argmax())
+            child[node] = len(low)
+            low += [a, cut]
+            high += [cut, b]
+            child += [0, 0]
+        node += 1
+    return Tree(x[order], ids[order], labels[order], np.array(centre), np.array(radius), np.array(low), np.array(high), np.array(child))
 
 
 @dataclass(frozen=True)
@@ -161,7 +165,7 @@ def search(tree: Tree, asked: Asked, k: int) -> tuple[Best, int]:
             score(node, questions)
             continue
         # The child with the higher bounds is popped first.
-        children = [(alive(child, questions), child) for child in (2 * node + 1, 2 * node + 2)]
+        children = [(alive(child, questions), child) for child in (tree.child[node], tree.child[node] + 1)]
         children.sort(key=lambda x: x[0][1])
         waiting.extend((child, met) for (met, _), child in children)
     return best, scored
