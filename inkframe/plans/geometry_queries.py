@@ -352,8 +352,8 @@ _AT, _AB = "(greatest(1, t_w) * greatest(1, t_h))", "(greatest(1, b_w) * greates
 _D = "(((t_x1 + t_x2) - (b_x1 + b_x2)) * ((t_x1 + t_x2) - (b_x1 + b_x2)) + ((t_y1 + t_y2) - (b_y1 + b_y2)) * ((t_y1 + t_y2) - (b_y1 + b_y2)))"
 
 
-@query(
-    f"""WITH {_pair_sql()}, {PANEL_SQL},
+#: Rows k of pairs with all that the features are computed from.
+PAIRS_45_SQL = f"""{_pair_sql()}, {PANEL_SQL},
 j AS (
   SELECT p.*, pt.panel AS pt, pb.panel AS pb, coalesce(pt.panel = pb.panel, false) AS same, {_D} AS d, f.w AS fw, f.h AS fh
   FROM pair p JOIN panel pt ON pt.region_id = t_region_id JOIN panel pb ON pb.region_id = b_region_id LEFT JOIN region f ON f.region_id = pt.panel
@@ -363,7 +363,11 @@ k AS (
     row_number() OVER (PARTITION BY page_id, t_region_id, same ORDER BY d, b_region_id) AS rs, {IW} AS iw, {IH} AS ih, {_AT} AS area_t, {_AB} AS area_b,
     (b_x1 + b_x2) - (t_x1 + t_x2) AS dx2, (b_y1 + b_y2) - (t_y1 + t_y2) AS dy2, greatest(0, t_x1 - b_x2, b_x1 - t_x2) AS gx, greatest(0, t_y1 - b_y2, b_y1 - t_y2) AS gy
   FROM j WINDOW g AS (PARTITION BY page_id, t_region_id)
-)
+)"""
+
+
+@query(
+    f"""WITH {PAIRS_45_SQL}
 SELECT page_id, t_region_id AS query, b_region_id AS candidate, {", ".join(f"CAST(round({x}, 9) AS DOUBLE) AS f{i}" for i, x in enumerate(_FEATURES))}
 FROM k""",
     digits=9,

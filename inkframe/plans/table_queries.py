@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkframe.functions import answers, text as text_fn
-from inkframe.operators import checks, cluster, curate, decide, graph, lifecycle, matching, metrics, ranking, review, sampling, vectors
+from inkframe.operators import checks, cluster, curate, decide, density, graph, lifecycle, matching, metrics, ranking, review, sampling, vectors
 from inkframe.plans import fixtures as X
 from inkframe.plans import plugins
 from inkframe.plans.geometry_queries import features_45
@@ -774,13 +774,13 @@ def threshold_clusters(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def book_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters of each book by the size-adaptive protocol."""
-    return cluster.cluster_vectors(X.instances(spark, folder), "book", "vec_id", "vec", "book")
+    return density.cluster_vectors(X.instances(spark, folder), "book", "vec_id", "vec", "book")
 
 
 @query()
 def hdbscan_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Density clusters of each book, noise as singletons."""
-    return cluster.cluster_vectors(X.instances(spark, folder), "book", "vec_id", "vec", "hdbscan", min_cluster_size=3, min_samples=2, method="leaf")
+    return density.cluster_vectors(X.instances(spark, folder), "book", "vec_id", "vec", "hdbscan", min_cluster_size=3, min_samples=2, method="leaf")
 
 
 @query()
@@ -788,7 +788,7 @@ def cluster_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """A grid of configurations, the adaptive choice per book and the metrics of that choice."""
     frame = X.instances(spark, folder)
     grid = [cluster.Parameters(d, 3, n, m) for d in (8, 16) for n, m in ((2, "eom"), (3, "leaf"))]
-    swept = cluster.sweep(frame, "book", "vec_id", "vec", grid)
+    swept = density.sweep(frame, "book", "vec_id", "vec", grid)
     sizes = swept.withColumn("key", F.concat_ws("|", "config", "book"))
     found = metrics.cluster_sizes(sizes, "key", "cluster")
     diagnostics = found.select(F.split("key", "\\|")[0].cast("int").alias("config"), F.split("key", "\\|")[1].cast("long").alias("book"), "clusters", "singletons", "largest_ratio")
