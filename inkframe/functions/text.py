@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-import itertools
 import unicodedata
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from inkframe.functions import blocks
+
 
 @F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
@@ -40,13 +40,13 @@ def clean_label(text: Column) -> Column:
 
 def matching_ratio(a: str, b: str) -> float:
     """2 x matched characters / all characters by recursive longest blocks; the order of a and b matters."""
-    return difflib.SequenceMatcher(None, a, b).ratio()
+    return float(blocks.ratios([a], [b])[0])
 
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """``matching_ratio`` of two columns; null counts as empty, two empty texts are equal."""
-    return pd.Series([matching_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(blocks.ratios(a.fillna("").to_list(), b.fillna("").to_list()), dtype="float64")
 
 
 def guarded_similarity(a: Column, b: Column) -> Column:
@@ -60,29 +60,17 @@ def either_contains(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
-#: Up to this many pieces are tried in every order.
-PERMUTED = 6
-
-
 def best_concat(target: str, pieces: list[str]) -> tuple[str, float]:
     """The order of the non-empty pieces whose concatenation is most similar to the target, the first at ties."""
-    pieces = [p for p in pieces if p]
-    if not pieces:
-        return "", 0.0
-    orders = itertools.permutations(pieces) if len(pieces) <= PERMUTED else [tuple(pieces)]
-    best = ("", -1.0)
-    for joined in map("".join, orders):
-        score = matching_ratio(target, joined)
-        if score > best[1]:
-            best = (joined, score)
-    return best
+    texts, scores = blocks.best_orders([target], [pieces])
+    return texts[0], float(scores[0])
 
 
 @F.pandas_udf(StructType([StructField("joined", StringType()), StructField("score", DoubleType())]))
 def best_concat_match(target: pd.Series, pieces: pd.Series) -> pd.DataFrame:
     """``best_concat`` of core texts."""
-    found = [best_concat(t or "", [x for x in (p if p is not None else []) if x]) for t, p in zip(target, pieces, strict=True)]
-    return pd.DataFrame(found, columns=["joined", "score"])
+    texts, scores = blocks.best_orders(target.fillna("").to_list(), [[] if p is None else list(p) for p in pieces])
+    return pd.DataFrame({"joined": texts, "score": scores})
 
 
 @F.pandas_udf(StringType())

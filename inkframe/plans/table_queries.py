@@ -10,8 +10,9 @@ from inkframe.functions import answers, text as text_fn
 from inkframe.operators import checks, cluster, curate, decide, density, graph, lifecycle, matching, metrics, ranking, review, sampling, vectors
 from inkframe.plans import fixtures as X
 from inkframe.plans import plugins
-from inkframe.plans.geometry_queries import features_45
+from inkframe.plans.geometry_queries import IH, IW, MEET, _pair_sql, features_45
 from inkframe.plans.registry import SQL, query
+from inkframe.plans.text_sql import SIMILARITY_SQL, components_sql
 from inkframe.session import table
 from inkframe.sources import writers
 
@@ -115,7 +116,7 @@ def text_containment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query(SIMILARITY_SQL)
 def text_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """Normal forms, similarity and best concatenation of part names."""
     part = table(spark, folder, "part")
@@ -847,13 +848,23 @@ def ranked_by_plugin(spark: SparkSession, folder: str) -> DataFrame:
 # ---- curation, jobs and sinks ------------------------------------------------------------------
 
 
-@query()
+_CLASSED = f"WITH RECURSIVE {components_sql(_pair_sql(), f'{MEET} AND {IW} * {IH} / least(t_w * t_h, b_w * b_h) >= 0.35')}"
+
+
+@query(f"{_CLASSED} SELECT category, count(*) AS n, round(avg(similarity), 6) AS similarity FROM classed GROUP BY category")
 def component_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Categories of the overlap components of two text sources."""
     return curate.fixture_components(spark, folder).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("similarity"))
 
 
-@query()
+@query(
+    f"""{_CLASSED}, taken AS (SELECT unnest(a_ids) AS id, CAST(NULL AS VARCHAR) AS reason, category FROM classed UNION ALL SELECT unnest(b_ids), category, category FROM classed),
+used AS (SELECT * FROM taken WHERE category IN ('exact_duplicate', 'near_duplicate', 'group_duplicate', 'near_group_duplicate', 'partial_overlap', 'complex_overlap', 'many_to_many')),
+r AS (
+  SELECT page_id, CASE WHEN cls = 'text' THEN 'first' ELSE 'second' END AS source, CAST(NULL AS VARCHAR) AS merge_reason FROM region JOIN part ON p_partkey = part_key WHERE cls IN ('text', 'body') AND region_id NOT IN (SELECT id FROM used)
+  UNION ALL SELECT page_id, 'merged', reason FROM used JOIN region ON region_id = id WHERE reason IS NOT NULL AND category IN ('exact_duplicate', 'near_duplicate', 'group_duplicate', 'near_group_duplicate'))
+SELECT source, merge_reason, count(*) AS n, count(DISTINCT page_id) AS pages FROM r GROUP BY ALL"""
+)
 def component_apply(spark: SparkSession, folder: str) -> DataFrame:
     """Annotations after merging duplicates, leaving out ambiguous ones and keeping the rest."""
     rows = curate.fixture_annotations(spark, folder)
