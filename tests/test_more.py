@@ -143,3 +143,25 @@ def test_long_numbers_by_range(spark):
     keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
     assert [(r["k"], r["n"]) for r in sampling.range_numbers(keys, "k", "n").orderBy("k").collect()] == [(3 * i, i) for i in range(1000)]
     assert sampling.range_numbers(keys.limit(0), "k", "n").count() == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(-6, 25), st.integers(-6, 25)), max_size=7), min_size=1, max_size=8), st.integers(-4, 12), st.integers(-4, 12))
+def test_spans_count_as_rasters_do(spark, polygons, x, y):
+    """Triangles, concave and crossing polygons, off the page and of too few points: the fold over spans counts what two rasters hold."""
+    from inkframe.functions.raster import raster_iom
+
+    rows = [(i, [{"x": float(a), "y": float(b) + (0.5 if i % 2 else 0.0)} for a, b in p]) for i, p in enumerate(polygons)]
+    frame = spark.createDataFrame(rows, "id int, p array<struct<x double, y double>>")
+    rect = (x, y, x + 9.5, y + 7)
+    got = {r["id"]: r["v"] for r in frame.select("id", raster_iom(*(F.lit(float(v)) for v in rect), F.col("p")).alias("v")).collect()}
+    for i, p in rows:
+        assert got[i] == rect_polygon_iom(rect, [(q["x"], q["y"]) for q in p])
+
+
+def test_spans_of_concave_polygons():
+    """A notch that reaches inside is left out, its edges are not."""
+    notched = [(0, 0), (10, 0), (10, 10), (5, 4), (0, 10)]
+    mask = polygon_mask(notched, 11, 11)
+    assert mask[4].all() and mask[10].tolist() == [True] + [False] * 9 + [True]
+    assert mask[7].tolist() == [True] * 3 + [False] * 5 + [True] * 3  # the edges cross the row at 2.5 and 7.5
