@@ -9,7 +9,7 @@ from inkframe.functions import geometry as G
 from inkframe.plans import fixtures as X
 from inkframe.plans.registry import query
 from inkframe.session import scratch, table
-from inkframe.sources import readers, writers
+from inkframe.sources import packs as packs_, readers, versions, writers
 
 R, I = X.REGION_SQL, X.INSTANCE_SQL
 _SIDES = ("x1", "y1", "x2", "y2")
@@ -157,6 +157,30 @@ def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("vec_id", "signature", (F.get("vec", F.lit(0)) + F.get("vec", F.lit(63))).alias("ends"))
 
 
+@query(f"""WITH {I} SELECT vec_id, input_type, round(vec[1] + vec[64], 6) AS ends FROM inst""")
+def array_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors, ids and texts written as packs of arrays and read back row by row, aligned by their place."""
+    rows = X.instances(spark, folder).select("vec_id", "input_type", "vec", F.format_string("pack%09d", F.expr("vec_id div 100")).alias("pack"))
+    one = F.array_sort(F.collect_list(F.struct("vec_id", "input_type", "vec")))  # at most 100 rows
+    packs = rows.groupBy("pack").agg(one.alias("r")).withColumn("n", F.size("r").cast("long"))
+    none, text = F.lit(None).cast("array<double>"), F.lit(None).cast("array<string>")
+    array = lambda name, kind, shape, values, texts: F.struct(F.lit(name).alias("array"), F.lit(kind).alias("kind"), shape.alias("shape"), values.alias("values"), texts.alias("texts"))
+    numbers = lambda field: F.transform("r", lambda x: x[field].cast("double"))
+    arrays = F.array(
+        array("ids", "int64", F.array("n"), numbers("vec_id"), text),
+        array("vectors", "float64", F.array("n", F.lit(64).cast("long")), F.flatten(F.transform("r", lambda x: x["vec"])), text),
+        array("types", "text", F.array("n"), none, F.transform("r", lambda x: x["input_type"])),
+    )
+    path = scratch(spark, "packs")
+    packs_.write_packs(packs.select("pack", F.explode(arrays).alias("a")).select("pack", "a.*"), path)
+    found = packs_.read_packs(spark, path).filter(F.col("array").isin("ids", "vectors", "types"))
+    of = lambda name, column: F.max(F.when(F.col("array") == name, F.col(column)))
+    back = found.groupBy("pack").agg(of("ids", "values").alias("ids"), of("vectors", "values").alias("flat"), of("types", "texts").alias("types"))
+    each = back.select("flat", "types", F.posexplode("ids").alias("at", "id"))
+    ends = F.get("flat", F.col("at") * 64) + F.get("flat", F.col("at") * 64 + 63)
+    return each.select(F.col("id").cast("long").alias("vec_id"), F.get("types", F.col("at")).alias("input_type"), ends.alias("ends"))
+
+
 @query("""SELECT event_type, count(*) AS n, CAST(sum(attempt) AS BIGINT) AS attempts FROM events, (SELECT unnest([1, 2]) AS attempt) GROUP BY event_type""")
 def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Audit rows appended twice, without credentials."""
@@ -170,6 +194,31 @@ def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("attempt").alias("attempts"))
 
 
+@query(
+    """WITH e AS (SELECT event_type, event_id, value, (event_id % 4 + 1)::BIGINT AS epoch FROM events), m AS (SELECT epoch, event_type, avg(value) AS metric FROM e GROUP BY ALL),
+b AS (SELECT v AS version, event_type, max(metric) AS best, arg_max(epoch, [metric, -epoch]) AS best_epoch FROM m, range(1, 5) t(v) WHERE epoch <= v GROUP BY ALL)
+SELECT version, 'epoch ' || version AS note, event_type, best_epoch, round(best, 6) AS best, (SELECT count(DISTINCT event_type) FROM m WHERE epoch <= version) AS rows FROM b"""
+)
+def version_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The best epoch so far as a table that each epoch replaces; all versions with their history."""
+    metrics = table(spark, folder, "events").groupBy((F.col("event_id") % 4 + 1).alias("epoch"), "event_type").agg(F.avg("value").alias("metric"))
+    store = versions.Versions(spark, scratch(spark, "versions"))
+    for epoch in range(1, 5):
+        fresh = metrics.filter(F.col("epoch") == epoch)
+
+        def better(old: DataFrame | None, fresh: DataFrame = fresh) -> DataFrame:
+            rows = fresh if old is None else old.unionByName(fresh)
+            best = F.max(F.struct("metric", (-F.col("epoch")).alias("before")))
+            return rows.groupBy("event_type").agg(best.alias("b")).select("event_type", (-F.col("b.before")).alias("epoch"), F.col("b.metric").alias("metric"))
+
+        store.publish(better, f"epoch {epoch}")
+    found = [store.read(v).select(F.lit(v).cast("long").alias("version"), "event_type", F.col("epoch").alias("best_epoch"), F.col("metric").alias("best")) for v in store.versions()]
+    rows = found[0]
+    for other in found[1:]:
+        rows = rows.unionAll(other)
+    return rows.join(store.history(), "version").select("version", "note", "event_type", "best_epoch", "best", "rows")
+
+
 @query("""SELECT d.doc_id, coalesce(b.text, '') AS text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id""")
 def aligned_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Texts in the order of an index; a missing one is empty."""
