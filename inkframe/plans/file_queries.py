@@ -235,3 +235,82 @@ def padded_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes scaled to a long side and padded to whole patches."""
     rows = X.regions(spark, folder)
     return rows.select("region_id", G.fit_dimensions(F.col("w"), F.col("h"), 896, 16).alias("d")).select("region_id", "d.*")
+
+
+# ---- files beside images -------------------------------------------------------------------
+
+_STEM = "'img' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0')"
+
+
+def _images(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as images: stem, key and the size that their headers give."""
+    key = F.col("s_suppkey")
+    return table(spark, folder, "supplier").select(F.format_string("img%06d", key).alias("stem"), key.alias("key"), (key * 7 % 900 + 1).alias("width"), (key * 11 % 1300 + 1).alias("height"), "s_name")
+
+
+def _written_images(spark: SparkSession, rows: DataFrame) -> str:
+    """Headers of PNG and GIF files, and files of other kinds, in one folder."""
+    big = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    little = lambda c: F.unhex(F.concat(F.lpad(F.hex(c % 256), 2, "0"), F.lpad(F.hex(F.floor(c / 256)), 2, "0")))
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), big(F.col("width")), big(F.col("height")))
+    gif = F.concat(F.lit("GIF89a").cast("binary"), little(F.col("width")), little(F.col("height")))
+    kind = F.col("key") % 4
+    suffix = F.when(kind == 0, ".gif").when(kind == 1, ".PNG").when(kind == 2, ".png").otherwise(".txt")
+    path = scratch(spark, "images")
+    packs_.write_files(rows.select(F.concat("stem", suffix).alias("name"), F.when(kind == 0, gif).otherwise(png).alias("content")), path)
+    return path
+
+
+@query(f"SELECT {_STEM} AS stem, s_suppkey * 7 % 900 + 1 AS width, s_suppkey * 11 % 1300 + 1 AS height FROM supplier WHERE s_suppkey % 4 <> 3")
+def listed_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of a folder with the sizes in their headers; files of other kinds are no images."""
+    path = _written_images(spark, _images(spark, folder))
+    found = readers.list_images(spark, path, suffixes=("png", "PNG", "gif"))
+    return found.select("stem", "width", "height")
+
+
+@query(
+    f"""SELECT {_STEM} AS stem, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 ELSE 0 END AS lines, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 5 > 0 THEN s_name || ' 0' ELSE '' END AS text,
+  CASE WHEN s_suppkey % 4 = 0 THEN 2 WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS tails, CASE WHEN s_suppkey % 4 = 0 THEN 1.5 WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey AS DOUBLE) END AS x FROM supplier"""
+)
+def side_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and tails of each image from files of its stem; the first name that exists is taken, boxes without four numbers are not."""
+    rows = _images(spark, folder)
+    box = lambda *v: F.array(*(x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in v))
+    key = F.col("key")
+    number = F.sequence(F.lit(0).cast("long"), key % 5)
+    lines = F.transform(number, lambda i: F.struct(F.when(i == key % 5, box(1, 2)).otherwise(box(i, 0, 9, 9)).alias("box"), F.concat(F.col("s_name"), F.lit(" "), i.cast("string")).alias("text_for_review_only")))
+    tails = lambda *boxes: F.to_json(F.struct(F.array(*(F.struct(b.alias("box")) for b in boxes)).alias("tails")))
+    bundles, ends = scratch(spark, "bundles"), scratch(spark, "tails")
+    packs_.write_files(rows.filter("key % 3 = 0").select(F.concat("stem", F.lit(".json")).alias("name"), F.to_json(F.struct(lines.alias("ocr_lines"))).alias("content")), bundles)
+    full = rows.filter("key % 4 = 0").select(F.concat("stem", F.lit("_all.json")).alias("name"), tails(box(1.5, 0, 1, 1), box(2, 0, 1, 1), box(3)).alias("content"))
+    other = rows.filter("key % 5 = 0").select(F.concat("stem", F.lit(".json")).alias("name"), tails(box(key, 0, 1, 1)).alias("content"))
+    packs_.write_files(full.unionAll(other), ends)
+    found = readers.ocr_lines(rows, bundles).join(readers.tail_boxes(rows, ends), "stem")
+    first = lambda c: F.get(c, F.lit(0))
+    return found.select("stem", F.size("lines").alias("lines"), F.coalesce(first("lines")["text"], F.lit("")).alias("text"), F.size("tails").alias("tails"), F.get(first("tails"), F.lit(0)).alias("x"))
+
+
+@query("SELECT 'book' || n_nationkey AS book, r_name AS text, CAST(n_nationkey + 5 AS DOUBLE) AS x2 FROM nation JOIN region ON r_regionkey = n_regionkey")
+def book_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One file of marks per book, whose name is the book; files of other names are passed over."""
+    nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    page = F.format_string('<book><pages><page index="1"><text id="t" xmin="1" ymin="2" xmax="%d" ymax="4">%s</text></page></pages></book>', F.col("n_nationkey") + 5, F.col("r_name"))
+    path = scratch(spark, "books")
+    files = nations.select(F.concat(F.lit("book"), F.col("n_nationkey").cast("string")).alias("book"), page.alias("content"))
+    packs_.write_files(files.select(F.concat("book", F.lit(".xml")).alias("name"), "content").unionAll(files.select(F.concat("book", F.lit(".txt")).alias("name"), "content")), path)
+    return readers.read_rectangles(spark, f"{path}/*.xml").select("book", "text", "x2")
+
+
+@query(
+    """WITH r AS (SELECT event_type AS run, CAST(round(avg(value), 3) AS VARCHAR) AS metric FROM events GROUP BY event_type), e AS (SELECT unnest(['click', 'absent', 'view', 'purchase', 'gone']) AS run, unnest(range(5)) AS i)
+SELECT '# Runs' || chr(10) || chr(10) || '| run | metric |' || chr(10) || '| --- | --- |' || chr(10) || (SELECT string_agg('| ' || e.run || ' | ' || coalesce(metric, '?') || ' |', chr(10) ORDER BY i) FROM e LEFT JOIN r ON r.run = e.run)
+  || coalesce(chr(10) || chr(10) || 'Missing files:' || chr(10) || chr(10) || (SELECT string_agg('- `' || run || '`', chr(10) ORDER BY i) FROM e WHERE run NOT IN (SELECT run FROM r)), '') || chr(10) AS text"""
+)
+def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """A comparison of expected runs as text, with question marks and a list of what is missing, written and read back."""
+    runs = table(spark, folder, "events").groupBy(F.col("event_type").alias("run")).agg(F.round(F.avg("value"), 3).cast("string").alias("metric"))
+    text = writers.comparison("Runs", runs, ["click", "absent", "view", "purchase", "gone"], "run", ["metric"])
+    path = scratch(spark, "comparison")
+    packs_.write_files(spark.createDataFrame([("comparison.md", text)], "name string, content string"), path)
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 SCHEMA = "pack string, array string, kind string, shape array<long>, values array<double>, texts array<string>"
@@ -111,61 +112,53 @@ class Reader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Pack names and the hidden files that one task wrote."""
+    """Names and the hidden files that one task wrote."""
 
     files: dict[str, str]
 
 
-class Writer(DataSourceArrowWriter):
+class TwoPhase(DataSourceArrowWriter):
+    """Files of given names: hidden while tasks run, moved by the driver when all have succeeded.
+
+    A subclass says which (name, bytes) a task's rows give.
+    """
+
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
         self.job = f"{PENDING}{uuid.uuid4().hex}"
 
+    def files_of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes | memoryview]]:
+        raise NotImplementedError
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, folder = _at(self.path)
         attempt = f"{self.job}/{uuid.uuid4().hex}"
         files.create_dir(f"{folder}/{attempt}", recursive=True)
         written: dict[str, str] = {}
-        pack, arrays = None, {}
-
-        def close() -> None:
-            if pack is None:
-                return
-            if not pack or "/" in pack or pack.startswith("_"):
-                raise ValueError(f"{pack!r} is no name of a pack")
-            if pack in written:
-                raise ValueError(f"rows of pack {pack} are not together")
-            held = io.BytesIO()
-            np.savez_compressed(held, **arrays)
-            written[pack] = f"{attempt}/{pack}{SUFFIX}"
-            with files.open_output_stream(f"{folder}/{written[pack]}") as sink:
-                sink.write(held.getbuffer())
-
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if row["pack"] != pack:
-                    close()
-                    pack, arrays = row["pack"], {}
-                if row["array"] in arrays:
-                    raise ValueError(f"pack {pack} has two arrays {row['array']}")
-                arrays[row["array"]] = array_of(row)
-        close()
+        for name, content in self.files_of(iterator):
+            if not name or "/" in name or name.startswith(("_", ".")):
+                raise ValueError(f"{name!r} is no name of a file")
+            if name in written:
+                raise ValueError(f"{name} is written twice")
+            written[name] = f"{attempt}/{name}"
+            with files.open_output_stream(f"{folder}/{written[name]}") as sink:
+                sink.write(content)
         return Written(written)
 
     def commit(self, messages: list[Written | None]) -> None:
         files, folder = _at(self.path)
-        before = _packs(files, folder)
+        before = [f.base_name for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.is_file]
         moved: dict[str, str] = {}
         for message in messages:
-            for pack, hidden in (message.files if message else {}).items():
-                if pack in moved:
-                    raise ValueError(f"rows of pack {pack} are in two tasks")
-                moved[pack] = hidden
-        for pack, hidden in moved.items():
-            files.move(f"{folder}/{hidden}", f"{folder}/{pack}{SUFFIX}")
+            for name, hidden in (message.files if message else {}).items():
+                if name in moved:
+                    raise ValueError(f"{name} is written by two tasks")
+                moved[name] = hidden
+        for name, hidden in moved.items():
+            files.move(f"{folder}/{hidden}", f"{folder}/{name}")
         if self.overwrite:
-            for pack in before.keys() - moved.keys():
-                files.delete_file(f"{folder}/{pack}{SUFFIX}")
+            for name in set(before) - moved.keys():
+                files.delete_file(f"{folder}/{name}")
         self._clear(files, folder)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -176,6 +169,37 @@ class Writer(DataSourceArrowWriter):
             files.delete_dir(f"{folder}/{self.job}")
 
 
+class Writer(TwoPhase):
+    """Packs; a task holds one at a time."""
+
+    def files_of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, memoryview]]:
+        pack, arrays = None, {}
+
+        def packed() -> Iterator[tuple[str, memoryview]]:
+            if pack is not None:
+                held = io.BytesIO()
+                np.savez_compressed(held, **arrays)
+                yield f"{pack}{SUFFIX}", held.getbuffer()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["pack"] != pack:
+                    yield from packed()
+                    pack, arrays = row["pack"], {}
+                if row["array"] in arrays:
+                    raise ValueError(f"pack {pack} has two arrays {row['array']}")
+                arrays[row["array"]] = array_of(row)
+        yield from packed()
+
+
+class FileWriter(TwoPhase):
+    """Rows of a name and a content."""
+
+    def files_of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            yield from zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True)
+
+
 def array_of(row: dict) -> np.ndarray:
     """The array of one row, in its kind and shape."""
     if row["kind"] == "text":
@@ -215,3 +239,23 @@ def write_packs(frame: DataFrame, path: str, mode: str = "append") -> None:
     frame.sparkSession.dataSource.register(ArrayPacks)
     rows = frame.select("pack", "array", "kind", "shape", "values", "texts")
     rows.repartition("pack").sortWithinPartitions("pack", "array").write.format("arraypack").mode(mode).save(path)
+
+
+class NamedFiles(DataSource):
+    """``format("namedfiles")``: a file for each row, with the same commit as packs. Spark's ``binaryFile`` reads them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "namedfiles"
+
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> FileWriter:
+        return FileWriter(self.options, overwrite)
+
+
+def write_files(frame: DataFrame, path: str, mode: str = "append") -> None:
+    """A file for each row (name, content); texts are written as UTF-8."""
+    frame.sparkSession.dataSource.register(NamedFiles)
+    frame.select("name", F.col("content").cast("binary").alias("content")).write.format("namedfiles").mode(mode).save(path)

@@ -196,14 +196,14 @@ def image_size(head: bytes) -> tuple[int, int]:
     return 0, 0
 
 
-def list_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, stem, width and height of image files."""
+def list_images(spark: SparkSession, path: str, recursive: bool = True, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png", "webp", "bmp", "gif")) -> DataFrame:
+    """path, stem, width and height of files with one of the suffixes."""
 
     @F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
     def sizes(heads: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([image_size(h) for h in heads], columns=["width", "height"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{jpg,jpeg,png,webp,bmp,gif}").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(path)
     return files.select("path", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), sizes("content").alias("s")).select("path", "stem", "s.*")
 
 

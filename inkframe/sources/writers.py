@@ -62,6 +62,18 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
     return "\n".join([line(columns), line(["---"] * len(columns)), *body])
 
 
+def comparison(title: str, runs: DataFrame, expected: list[str], name: str, columns: list[str]) -> str:
+    """A table of the expected runs in their order, ``?`` where one is missing or has no value, and the list of missing files.
+
+    ``expected`` are the files that runs are stored in; there is a row for each.
+    """
+    found = {r[name]: r.asDict() for r in runs.filter(F.col(name).isin(expected)).select(name, *columns).collect()}  # one row a run
+    rows = [found.get(e, {}) | {name: e} for e in expected]
+    missing = [e for e in expected if e not in found]
+    lines = [f"# {title}", "", markdown(rows, [name, *columns])]
+    return "\n".join(lines + (["", "Missing files:", "", *(f"- `{e}`" for e in missing)] if missing else [])) + "\n"
+
+
 def report(title: str, rows: list[dict], columns: list[str]) -> str:
     """An HTML table of a few rows, escaped."""
     cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
