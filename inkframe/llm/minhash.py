@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.llm import words as W
+from inkframe.llm.columns import passing
 from inkframe.llm.components import components
 from inkframe.llm.pairs import Forest, compare_groups, deal_blocks
 from inkframe.llm.store import Store
@@ -305,8 +306,14 @@ def deduplicate(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row of each group of near-duplicates, all columns: one of least doc_id.
 
     Links are those of ``near_duplicates``. Of rows that repeat a doc_id in one
-    group one stays. Rows without words, whose doc_id or text is null, all stay.
+    group one stays: of rows that are equal in doc_id and text but not in other
+    columns, that is any of them. Rows without words, whose doc_id or text is
+    null, all stay. An empty table stays empty; columns of any other name pass.
     """
+    return passing(documents, ("doc_id", "text"), lambda d: _deduplicate(d, s))
+
+
+def _deduplicate(documents: DataFrame, s: Settings) -> DataFrame:
     names = documents.columns
     _, classes = _link(documents, s)
     kept = classes.filter("node = least.node").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("rep").alias("__rep"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.llm import words as W
+from inkframe.llm.columns import passing
 from inkframe.llm.store import Store
 
 #: Every source or language that is not among the largest, if Settings bounds them.
@@ -337,7 +338,11 @@ def assign(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def mix(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The sampled documents, all columns, decided as in ``assign``."""
+    """The sampled documents, all columns, decided as in ``assign``, with its edge cases; columns of any other name pass."""
+    return passing(documents, ("doc_id", "text", "source", "lang"), lambda d: _mix(d, s))
+
+
+def _mix(documents: DataFrame, s: Settings) -> DataFrame:
     labelled = label(documents, s, ["doc_id", "source", "lang"])
     plan = plan_mixture(Store(documents.sparkSession, "mixture").put("labels", labelled), s)
     whole = label(documents, s, documents.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.llm import words as W
+from inkframe.llm.columns import passing
 from inkframe.llm.store import Store
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -203,9 +204,15 @@ def assess(documents: DataFrame, host: str = "source", s: Settings = Settings())
 def clean(documents: DataFrame, host: str = "source", s: Settings = Settings()) -> DataFrame:
     """The kept documents, all columns, without their frequent lines.
 
-    The verdicts are those of ``assess``; the same edge cases hold. A column
-    n_chars, if there is one, is set to the length of the new text.
+    The verdicts are those of ``assess``; the same edge cases hold: null and
+    empty texts go, repeated rows stay or go together, an empty table stays
+    empty, and columns of any other name pass. A column n_chars, if there is
+    one, is set to the length of the new text.
     """
+    return passing(documents, ("doc_id", "text", "n_chars", host), lambda d: _clean(d, host, s))
+
+
+def _clean(documents: DataFrame, host: str, s: Settings) -> DataFrame:
     _, frequent, rows = _prepare(documents, host, s, counts=False)
     names = documents.columns
     frame = _with_frequent(documents, F.col(f"`{host}`"), frequent, rows, s)

@@ -2,8 +2,11 @@
 
 The index holds blocks of 13 words. An entry maps a block to its reference: the
 least document that has it, and where it starts there. A document is parsed
-greedily: a factor starts at the first indexed block and is extended word by
-word as long as the reference goes on with the same words. Only blocks around
+greedily: a factor starts at the first indexed block and is extended by the
+blocks after it for as long as their references follow each other in the same
+document. Where the least document changes, the factor ends and the next one
+starts, even if another reference would go on; so a passage may be several
+factors, but what is removed is the same. Only blocks around
 an anchor that two documents share are looked up; anchors are sampled so that
 equal blocks sample alike, and a block is known by its anchor and its own hash.
 """
@@ -37,8 +40,9 @@ class Settings:
     window: int = 13
     gram: int = 5
     hot: int = 10_000
-    #: Runs that a task looks up at once.
+    #: Runs, and blocks in them, that a task looks up at once, or a few more: those of one Arrow batch.
     runs: int = 100_000
+    blocks: int = 1_000_000
 
 
 def anchors(w: W.Words, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +198,8 @@ def look_up(runs: DataFrame, s: Settings) -> DataFrame:
     """Blocks that an earlier document has, as runs that are contiguous in it, too.
 
     Runs come sorted, so the first row with a block is its reference. A task
-    holds ``s.runs`` runs, and of the last anchor the references so far.
+    holds ``s.runs`` runs or ``s.blocks`` blocks, however many of them a run
+    has, and of the last anchor the references so far: its distinct blocks.
     """
 
     def find(carried: _Blocks, held: list[_Blocks]) -> tuple[_Blocks, pa.RecordBatch]:
@@ -224,15 +229,15 @@ def look_up(runs: DataFrame, s: Settings) -> DataFrame:
         none = np.zeros(0, np.int64)
         carried = _Blocks(none, none, none, none, none)
         held: list[_Blocks] = []
-        size = 0
+        runs = blocks = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(_Blocks.read(batch))
-            size += batch.num_rows
-            if size >= s.runs:
+            runs, blocks = runs + batch.num_rows, blocks + len(held[-1].block)
+            if runs >= s.runs or blocks >= s.blocks:
                 carried, out = find(carried, held)
-                held, size = [], 0
+                held, runs, blocks = [], 0, 0
                 yield out
         if held:
             yield find(carried, held)[1]

@@ -963,3 +963,41 @@ def test_query_columns(spark, small):
     for n, columns in wanted.items():
         assert set(columns.split()) <= set(QUERIES[names[n]](spark, small).columns)
     assert set(SQL) <= set(QUERIES)
+
+
+def test_texts_of_one_word_are_looked_up_in_parts(spark, monkeypatch):
+    """One run may hold a whole text; a task closes by blocks, and what it holds stays near that bound."""
+    most = []
+    read = substring._Blocks.read
+    docs = spark.createDataFrame([(i, " ".join(["same"] * 3000)) for i in range(40)], "doc_id long, text string")
+    s = substring.Settings(blocks=6000)
+    got = by_id(substring.duplicate_spans(docs, s))
+    assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == 3000 for i in range(1, 40))
+
+    # The same on arrays, where the blocks at hand can be counted.
+    held = 0
+
+    def counted(batch):
+        nonlocal held
+        found = read(batch)
+        held += len(found.block)
+        most.append(held)
+        return found
+
+    monkeypatch.setattr(substring._Blocks, "read", counted)
+    finder = {}
+    monkeypatch.setattr("pyspark.sql.DataFrame.mapInArrow", lambda self, f, schema: finder.setdefault("f", f))
+    substring.look_up(spark.createDataFrame([], "anchor long, doc_id long, tie long, at int, blocks array<long>"), s)
+    import pyarrow as pa
+
+    def batches():
+        nonlocal held
+        for i in range(20):
+            blocks = pa.array([[7] * 2000], pa.list_(pa.int64()))
+            one = [pa.array([1], pa.int64()), pa.array([i], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*one, blocks], names=["anchor", "doc_id", "tie", "at", "blocks"])
+
+    for out in finder["f"](batches()):
+        assert out.num_rows
+        held = 0
+    assert max(most) <= 6000

@@ -78,3 +78,17 @@ def test_last_stage_decodes(spark, awkward_texts):
     for i, text in texts_of(awkward_texts).items():
         assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
         assert got[i]["ids_sha256"] == want[i]["ids_sha256"] and len(got[i]["ids"]) == got[i]["n_tokens"]
+
+
+def test_stages_with_the_names_that_operators_make(spark):
+    """Names with two underscores, quotes and spaces pass every stage with their values."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "a", 1), (2, text, "en", "a", 1), (3, " ".join(f"other{i}" for i in range(80)), None, "b", 1)]
+    names = ("__frequent", "__k1", "__k2", "__free", "__n_removed", "__kept_text", "__tokens", "__topic", "__host", "__s", "__draw", "__sampled", "passed0", "passed6", "a b", "size")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select(*(F.lit(f"{n} kept").alias(n) for n in names[:8]), "*", *(F.lit(f"{n} kept").alias(n) for n in names[8:]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns
+        got = found.collect()
+        assert got and all(r[n] == f"{n} kept" for r in got for n in names)
