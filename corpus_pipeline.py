@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.llm import bpe, minhash, mixing, quality, substring
+from inkframe.llm.columns import passing
 from inkframe.llm.store import Store
 from inkframe.session import prepare
 
@@ -31,10 +32,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts spans that start in an earlier document, and drops documents of which nothing is left."""
     prepare(spark)
+    return passing(docs, ("doc_id", "text", "n_chars"), _without_duplicates)
+
+
+def _without_duplicates(docs: DataFrame) -> DataFrame:
     found = substring.duplicate_spans(docs, keep=tuple(docs.columns), prefix="__")
     left = found.filter("__n_removed = 0 OR __kept_text <> ''")
     text = F.when(F.col("__n_removed") == 0, F.col("text")).otherwise(F.col("__kept_text"))
-    columns = {"text": text, "n_chars": F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.char_length(text)).cast("long")}
+    columns = {"text": text, "n_chars": F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.char_length(text)).cast("long")} if "n_chars" in docs.columns else {"text": text}
     return left.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
 
 
