@@ -986,8 +986,9 @@ def test_texts_of_one_word_are_looked_up_in_parts(spark, monkeypatch):
 
     monkeypatch.setattr(substring._Blocks, "read", counted)
     finder = {}
-    monkeypatch.setattr("pyspark.sql.DataFrame.mapInArrow", lambda self, f, schema: finder.setdefault("f", f))
-    substring.look_up(spark.createDataFrame([], "anchor long, doc_id long, tie long, at int, blocks array<long>"), s)
+    none = spark.createDataFrame([], "anchor long, doc_id long, tie long, at int, blocks array<long>")
+    monkeypatch.setattr(type(none), "mapInArrow", lambda self, f, schema: finder.setdefault("f", f))
+    substring.look_up(none, s)
     import pyarrow as pa
 
     def batches():
