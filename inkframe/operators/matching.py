@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.functions.geometry import Shape, area, contains_centre, intersection, ordering_area
+from inkframe.operators.sampling import range_sums
 
 
 def spatial_pairs(left: DataFrame, right: DataFrame, on: list[str], condition: Column) -> DataFrame:
@@ -110,9 +111,6 @@ def regroup(rows: DataFrame, sizes: DataFrame, group: str, position: str) -> Dat
     ``position``. Ranges are built from the sizes alone and exploded, so rows
     are joined by equality.
     """
-    from pyspark.sql.window import Window
-
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.filter("n > 0").withColumn("__s", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
-    owner = starts.select(group, F.explode(F.sequence(F.col("__s"), F.col("__s") + F.col("n") - 1)).alias(position))
+    starts = range_sums(sizes.filter("n > 0"), group, "n", "__first").withColumn("__first", F.col("__first").cast("long"))
+    owner = starts.select(group, F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("n") - 1)).alias(position))
     return rows.join(owner, position)

@@ -15,12 +15,11 @@ def hash_order(seed: int, key: str) -> Column:
 def group_split(frame: DataFrame, group: str, seed: int, train: int, validation: int) -> DataFrame:
     """group and split: the first ``train`` groups in hash order, then ``validation``, the rest test.
 
-    The window is over distinct groups, not rows.
+    Distinct groups are numbered by ranges of their hash.
     """
-    groups = frame.select(group).distinct()
-    number = F.row_number().over(Window.orderBy(hash_order(seed, group), group))
-    return groups.withColumn("__n", number).select(
-        group, F.when(F.col("__n") <= train, "train").when(F.col("__n") <= train + validation, "val").otherwise("test").alias("split")
+    numbered = hash_numbers(frame.select(group).distinct(), hash_order(seed, group), group, "__n")
+    return numbered.select(
+        group, F.when(F.col("__n") < train, "train").when(F.col("__n") < train + validation, "val").otherwise("test").alias("split")
     )
 
 
@@ -54,15 +53,7 @@ def range_numbers(frame: DataFrame, key: str, name: str, ranges: int = 64) -> Da
     Quantiles cut the key into ranges; rows are numbered inside a range and
     moved by the sizes before it. Only the quantiles come to the driver.
     """
-    bounds = frame.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    place = F.lit(0)
-    for bound in sorted(set(bounds)):
-        place = place + (F.col(key) > bound).cast("int")
-    cut = frame.withColumn("__r", F.coalesce(place, F.lit(-1)))
-    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("__r").agg(F.count(F.lit(1)).alias("__c")).select("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
-    inside = F.row_number().over(Window.partitionBy("__r").orderBy(key)) - 1
-    return cut.withColumn("__i", inside).join(F.broadcast(starts), "__r").withColumn(name, F.col("__i") + F.col("__s")).drop("__r", "__i", "__s")
+    return _numbered(_ranges(frame, key, ranges), key, name)
 
 
 def bucketed_batches(pages: DataFrame, key: str, seed: int, epoch: int, batch: int, pool: int = 32) -> DataFrame:
@@ -89,12 +80,44 @@ def identity_batches(frame: DataFrame, identity: str, key: str, seed: int, ident
     members = F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(key).alias("k")))), lambda s: s["k"])
     listed = first.groupBy(identity).agg(members.alias("__m"))
     drawn = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.get("__m", F.pmod(i, F.size("__m"))))
-    number = F.row_number().over(Window.orderBy(hash_order(seed + 1, identity), identity)) - 1
-    numbered = listed.withColumn("__n", number)
+    numbered = hash_numbers(listed, hash_order(seed + 1, identity), identity, "__n")
     return numbered.select(F.floor(F.col("__n") / identities).alias("batch"), identity, F.explode(drawn).alias(key))
 
 
 def dense_ids(frame: DataFrame, column: str) -> DataFrame:
-    """Distinct values in order, numbered from 0."""
+    """Distinct values in order, numbered from 0.
+
+    Texts are cut into ranges by their first two characters, numbers by
+    quantiles; no task numbers all values.
+    """
     values = frame.select(column).filter(F.col(column).isNotNull()).distinct()
-    return values.withColumn("id", (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    if dict(frame.dtypes)[column] != "string":
+        return range_numbers(values, column, "id").select(column, F.col("id").cast("long").alias("id"))
+    return _numbered(values.withColumn("__r", F.substring(column, 1, 2)), column, "id").select(column, F.col("id").cast("long").alias("id"))
+
+
+def _numbered(cut: DataFrame, key: str, name: str, amount: Column | None = None) -> DataFrame:
+    """Rows of ascending ranges __r, numbered from 0 by ``key`` over all ranges; with ``amount``, the sum of the amounts before each row.
+
+    Ranges are summed first. Their sums are a row per range, and the sums
+    before a range are a window over those rows alone.
+    """
+    value = F.lit(1) if amount is None else amount
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("__r").agg(F.sum(value).alias("__c")).select("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("__i", inside).join(starts, "__r").withColumn(name, F.col("__i") + F.col("__s")).drop("__r", "__i", "__s")
+
+
+def _ranges(frame: DataFrame, key: str, ranges: int) -> DataFrame:
+    """Rows with __r, the quantile range of a numeric key; -1 for null."""
+    bounds = frame.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    place = F.lit(0)
+    for bound in sorted(set(bounds)):
+        place = place + (F.col(key) > bound).cast("int")
+    return frame.withColumn("__r", F.coalesce(place, F.lit(-1)))
+
+
+def range_sums(frame: DataFrame, key: str, amount: str, name: str, ranges: int = 64) -> DataFrame:
+    """Rows with the sum of ``amount`` over all rows of a smaller key, without a task that holds all rows."""
+    return _numbered(_ranges(frame, key, ranges), key, name, F.col(amount))

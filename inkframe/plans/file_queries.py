@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkframe.functions import geometry as G
 from inkframe.plans import fixtures as X
@@ -107,14 +108,17 @@ def xml_transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT c_nationkey AS nation, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS place, c_custkey AS customer, c_name AS name FROM customer""")
 def json_document(spark: SparkSession, folder: str) -> DataFrame:
-    """One nested, pretty document, read whole and indexed again."""
-    rows = table(spark, folder, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").alias("customer"), F.col("c_name").alias("name"))
-    groups = writers.nested(rows, ["nation"], "customer", ["customer", "name"], "members")
+    """Nested, pretty documents of a thousand customers each, read whole and indexed again."""
+    rows = table(spark, folder, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").alias("customer"), F.col("c_name").alias("name"), F.expr("c_custkey div 1000").alias("part"))
+    groups = writers.nested(rows, ["part", "nation"], "customer", ["customer", "name"], "members")
+    documents = groups.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("nation", "members"))).alias("groups"))
     path = scratch(spark, "document")
-    writers.write_json(groups.agg(F.array_sort(F.collect_list(F.struct("nation", "members"))).alias("groups")), path, pretty=True)
+    text = F.to_json(F.struct("groups"), {"ignoreNullFields": "false", "pretty": "true"})
+    packs_.write_files(documents.select(F.format_string("part%09d.json", "part").alias("name"), text.alias("content")), path)
     found = readers.read_document(spark, path, "groups array<struct<nation:long,members:array<struct<customer:long,name:string>>>>")
-    flat = found.select(F.explode("groups").alias("g")).select("g.nation", F.posexplode("g.members").alias("place", "m"))
-    return flat.select("nation", "place", "m.customer", "m.name")
+    flat = found.select(F.explode("groups").alias("g")).select("g.nation", F.explode("g.members").alias("m")).select("nation", "m.*")
+    place = F.row_number().over(Window.partitionBy("nation").orderBy("customer")) - 1
+    return flat.select("nation", place.alias("place"), "customer", "name")
 
 
 @query("""SELECT event_id, event_type, value, CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id END AS user_id FROM events""")

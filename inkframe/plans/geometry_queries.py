@@ -228,28 +228,29 @@ def rank_normalized(spark: SparkSession, folder: str) -> DataFrame:
 def _page_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Text-body pairs (t_*, b_*) with their panels pt and pb and the text's panel as p_*.
 
-    A page's frames, then its bodies, are gathered by windows over the page, so
-    one shuffle by page serves panels and pairs and nothing is joined.
+    The frames of a page are listed once; every box of the page finds its panel
+    in that list, and brings the panel's box along. Texts then meet the bodies
+    of their page. All of it is dealt by page, so nothing is shuffled again.
     """
-    page = ranking.Window.partitionBy("page_id")
     sides = ("x1", "y1", "x2", "y2")
-    listed = lambda cls, *fields: F.collect_list(F.when(F.col("cls") == cls, F.struct("region_id", *sides, *fields))).over(page)
+    regions = X.regions(spark, folder)
+    frames = regions.filter("cls = 'frame'").groupBy("page_id").agg(F.collect_list(F.struct("region_id", *sides)).alias("frames"))
     own = Box.of()
 
     def rank(f: Column) -> Column:
         inside = G.contains_centre(Box.field(f), own)
         order = F.when(inside, G.ordering_area(Box.field(f))).otherwise(-G.intersection(own, Box.field(f))).cast("double")
-        return F.struct((~inside).alias("outside"), order.alias("order"), f["region_id"].alias("panel"))
+        return F.struct((~inside).alias("outside"), order.alias("order"), f["region_id"].alias("panel"), *(f[c].alias(c) for c in sides))
 
     usable = lambda f: G.contains_centre(Box.field(f), own) | (G.intersection(own, Box.field(f)) > 0)
-    rows = X.regions(spark, folder).withColumn("frames", listed("frame")).withColumn("panel", F.array_min(F.transform(F.filter("frames", usable), rank))["panel"])
-    rows = rows.withColumn("bodies", listed("body", "panel")).filter("cls = 'text'").withColumn("p", F.get(F.filter("frames", lambda f: f["region_id"] == F.col("panel")), F.lit(0)))
-    texts = rows.select("page_id", F.col("region_id").alias("t_region_id"), *(F.col(c).alias(f"t_{c}") for c in sides), F.col("panel").alias("pt"), *(F.col(f"p.{c}").alias(f"p_{c}") for c in sides), F.explode("bodies").alias("b"))
-    return texts.select("*", F.col("b.region_id").alias("b_region_id"), *(F.col(f"b.{c}").alias(f"b_{c}") for c in sides), F.col("b.panel").alias("pb")).drop("b")
+    boxes = regions.filter("cls IN ('text', 'body')").select("page_id", "cls", "region_id", *sides).join(frames, "page_id", "left")
+    boxes = boxes.withColumn("p", F.array_min(F.transform(F.filter("frames", usable), rank))).drop("frames")
+    side = lambda cls, prefix, *more: boxes.filter(F.col("cls") == cls).select("page_id", *(F.col(c).alias(f"{prefix}_{c}") for c in ("region_id", *sides)), F.col("p.panel").alias(f"p{prefix}"), *more)
+    return side("text", "t", *(F.col(f"p.{c}").alias(f"p_{c}") for c in sides)).join(side("body", "b"), "page_id")
 
 
-def features_45(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, query, candidate and the 45 features of a text and a body, in their fixed order."""
+def _features(spark: SparkSession, folder: str) -> tuple[DataFrame, list[Column]]:
+    """Pairs of texts and bodies, and the 45 features over them in their fixed order."""
     pairs = _page_pairs(spark, folder)
     group = ["page_id", "t_region_id"]
     one = F.lit(1.0)
@@ -297,7 +298,13 @@ def features_45(spark: SparkSession, folder: str) -> DataFrame:
         flag(dx < 0), flag(dx > 0), flag(dy < 0), flag(dy > 0),
         flag(G.contains_point(T, B.cx, B.cy)), flag(G.contains_point(B, T.cx, T.cy)),
     ]
-    return ranked.select("page_id", F.col("t_region_id").alias("query"), F.col("b_region_id").alias("candidate"), F.array(*(f.cast("double") for f in features)).alias("features"))
+    return ranked, [f.cast("double") for f in features]
+
+
+def features_45(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, query, candidate and the 45 features of a text and a body as an array."""
+    pairs, features = _features(spark, folder)
+    return pairs.select("page_id", F.col("t_region_id").alias("query"), F.col("b_region_id").alias("candidate"), F.array(*features).alias("features"))
 
 
 #: The 45 features in SQL, in their order.
@@ -374,7 +381,8 @@ FROM k""",
 )
 def pair_features_45(spark: SparkSession, folder: str) -> DataFrame:
     """The 45 text-body features in their order."""
-    return features_45(spark, folder).select("page_id", "query", "candidate", *(F.get("features", F.lit(i)).alias(f"f{i}") for i in range(45)))
+    pairs, features = _features(spark, folder)
+    return pairs.select("page_id", F.col("t_region_id").alias("query"), F.col("b_region_id").alias("candidate"), *(f.alias(f"f{i}") for i, f in enumerate(features)))
 
 
 @query(

@@ -337,11 +337,13 @@ def epochs_since_best(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(range + 1 AS BIGINT) AS epoch, round(CASE WHEN range + 1 <= 5 THEN (range + 1) / 5 * 0.001 ELSE 0.00001 + (0.001 - 0.00001) * 0.5 * (1 + cos(least(1.0, (range + 1 - 5) / 45) * pi())) END, 6) AS rate FROM range(50)"""
+    f"""WITH {_EPOCH}, d AS (SELECT DISTINCT epoch FROM epoch)
+SELECT epoch, round(CASE WHEN epoch <= 5 THEN epoch / 5 * 0.001 ELSE 0.00001 + (0.001 - 0.00001) * 0.5 * (1 + cos(least(1.0, (epoch - 5) / 45) * pi())) END, 6) AS rate FROM d"""
 )
 def learning_rate(spark: SparkSession, folder: str) -> DataFrame:
-    """Linear warm-up, then cosine decay."""
-    epochs = spark.range(1, 51).withColumnRenamed("id", "epoch")
+    """Linear warm-up, then cosine decay, for every epoch that some run reached."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    epochs = table(spark, folder, "events").select(F.row_number().over(w).cast("long").alias("epoch")).distinct()
     return epochs.select("epoch", ranking.learning_rate(F.col("epoch"), 0.001, 5, 50, 0.00001).alias("rate"))
 
 
