@@ -957,9 +957,12 @@ def test_query_columns(spark, small):
         8: "page_id host path rule verdict",
         9: "doc_id start n_tokens ids_crc32",
         10: "doc_id sampled probability",
+        11: "vec_id code error label_error codebooks_sha256",
+        12: "vec_id n_links component_id kept",
+        13: "anchor_id positive_id rank negative_id positive_score negative_score",
     }
     names = {int(re.match(r"op(\d+)_", n)[1]): n for n in QUERIES}
-    assert sorted(names) == list(range(1, 11))
+    assert sorted(names) == list(range(1, 14))
     for n, columns in wanted.items():
         assert set(columns.split()) <= set(QUERIES[names[n]](spark, small).columns)
     assert set(SQL) <= set(QUERIES)
