@@ -39,7 +39,7 @@ def test_same_as_sql(spark, small, other, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", ["tail_rays"])
+@pytest.mark.parametrize("name", ["tail_rays", "tail_fusion"])
 def test_tail_without_direction(spark, tmp_path, name):
     """A text and its tail have one centre; of the two bodies in their panel, one contains it."""
     c = duckdb.connect()
