@@ -108,8 +108,10 @@ class Encoder:
     The tokenizer's normaliser and splitter never look across the six bytes of
     ASCII white space, so a text's ids are those of its words in turn. New words
     are normalised in one call and cut with the splitter's own pattern; new
-    parts are encoded in one call, and the ids dealt back: the last id of a
-    part, and no other, ends a word. Words beyond the Latin blocks, on which
+    parts are encoded in one call by the same model, past the normaliser and
+    the splitter, and the ids dealt back: the last id of a part, and no other,
+    ends a word. For words of the Latin blocks the normaliser only lower-cases,
+    which is held against it once. Words beyond the Latin blocks, on which
     libraries of patterns may differ, and words with white space beyond ASCII
     or a special token's text are encoded alone.
     """
@@ -126,6 +128,10 @@ class Encoder:
         if not suffix or splitter["type"] != "Split" or not splitter["invert"] or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"{path} has another normaliser or splitter than this encoder knows")
         self.split = regex.compile(splitter["pattern"]["Regex"] + "| ")
+        self.cut = tokenizers.Tokenizer.from_str(json.dumps(listed | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None}))
+        self.letters = _letters(tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+        latin = " ".join(c for c in map(chr, range(0x250)) if _LATIN(c) and c != " ")
+        self.lowers = self.whole.normalizer.normalize_str(latin) == latin.lower()
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
@@ -140,7 +146,8 @@ class Encoder:
         young = self.parts.young
         for at in range(0, len(parts), self.GROUP):
             group = parts[at : at + self.GROUP]
-            ids = np.array(self.whole.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            spelt = " ".join(group).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.cut.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(group):
                 young.update((part, self._alone(part)) for part in group)
@@ -159,7 +166,7 @@ class Encoder:
             words, joined = rest, b" ".join(rest).decode()
         if not words:
             return
-        made = joined.lower() if joined.isascii() else self.whole.normalizer.normalize_str(joined)
+        made = joined.lower() if self.lowers or joined.isascii() else self.whole.normalizer.normalize_str(joined)
         parts = self.split.findall(made)
         distinct = set(parts)
         distinct.discard(" ")
@@ -195,6 +202,15 @@ class Encoder:
 
 #: Words of the Latin blocks, without white space beyond ASCII (U+001C to U+001F, U+0085, U+00A0).
 _LATIN = re.compile("[ -~\u00a1-\u024f]+").fullmatch
+
+
+def _letters(level: tokenizers.pre_tokenizers.ByteLevel) -> dict[int, str]:
+    """The letter by which the library spells each byte of UTF-8; a space stays, as it is between parts only."""
+    sample = "".join(map(chr, [*range(0x800), *range(0x800, 0xD800, 0x800), *range(0xE000, 0x10000, 0x800), *range(0x10000, 0x110000, 0x10000)]))
+    spelt = "".join(piece for piece, _ in level.pre_tokenize_str(sample))
+    return dict(zip(sample.encode(), spelt, strict=True)) | {32: " "}
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -1005,3 +1005,12 @@ def test_texts_of_one_word_are_looked_up_in_parts(spark, monkeypatch):
         assert out.num_rows
         held = 0
     assert max(most) <= 6000
+
+
+def test_latin_words_pass_neither_normaliser_nor_splitter():
+    """Their parts go to the model alone, with the ids of the whole tokenizer."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = tokenfile.Encoder(path)
+    whole, made.whole = made.whole, None
+    text = "Don't it's 12½ " + " ".join(chr(i) + "Aé" + chr(i) for i in range(0xA1, 0x250) if len(chr(i).lower()) == 1 and ord(chr(i).lower()) < 0x250)
+    assert np.frombuffer(made.encode([text.encode()])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
