@@ -52,6 +52,19 @@ def test_tail_without_direction(spark, tmp_path, name):
     assert len(theirs) == 2 and sorted(map(tuple, frame.collect())) == sorted(theirs)
 
 
+def test_fused_sign_of_zero(spark, tmp_path):
+    """Six times the prior and the score cancel but for the last bit: -0.0 on two pages."""
+    c = duckdb.connect()
+    rows = "(3, 6, 2689, 163, 8), (5, 7, 5626, 319, 6), (1, 1, 229, 826, 23), (1, 3, 951, 1327, 35), (1002, 3, 11540, 776, 16), (1007, 4, 13379, 889, 37), (1009, 5, 19441, 298, 29), (1004, 1, 9070, 660, 17)"
+    c.sql(f"""COPY (SELECT o::BIGINT AS l_orderkey, n::INT AS l_linenumber, p::BIGINT AS l_partkey, s::BIGINT AS l_suppkey, q::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice,
+      0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, TIMESTAMP '1995-01-01' AS l_shipdate FROM (VALUES {rows}) t(o, n, p, s, q)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)""")
+    c.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet'")
+    frame = catalog.QUERIES["tail_fusion"](spark, str(tmp_path))
+    theirs = c.execute(f"SELECT {', '.join(frame.columns)} FROM ({catalog.SQL['tail_fusion']})").fetchall()
+    assert [math.copysign(1, r[frame.columns.index("fused")]) for r in theirs] == [-1, -1]
+    assert sorted(map(repr, map(tuple, frame.collect()))) == sorted(map(repr, theirs))
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, small, name):
     assert catalog.QUERIES[name](spark, small).count() > 0
